@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forms, leaks, neardup
+from . import bpe, forms, garble, leaks, neardup, prose
 from .batches import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return garble.garbled_documents(table(spark, d, "documents"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garble.restored(table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = neardup.near_duplicates(table(spark, d, "documents"), k=3, similarity=0.5, min_words=20)
     return neardup.document_pairs(members, links)
@@ -31,6 +39,14 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.consistent_form(table(spark, d, "documents"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return prose.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
