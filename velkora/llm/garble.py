@@ -35,6 +35,8 @@ LETTERS = "ĉĝĥĵŝŭĈĜĤĴŜŬäöüßÄÖÜàâæçèéêëîïôœùûü
 MARKS = "“”„‚‘’–—…«»¿¡½€° "
 #: Letters that sound words of the corpus languages hold (æ and ÿ are too rare in them).
 SOUND = frozenset(LETTERS) - frozenset("æÿ")
+#: The commoner of them, to choose between encoding pairs that explain as much.
+FREQUENT = frozenset("ĉĝĥĵŝŭáéíóúñäöüßàèêçąćęłńśżźĈĜŜŬ“”–’")
 SINGLE_BYTE = ("iso8859_3", "cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso8859_15", "mac_roman", "cp437", "cp850", "cp852")
 READ_AS = ("cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso8859_3", "iso8859_15", "cp1251", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r")
 _NO_INK = frozenset("­​‌‍⁠﻿")
@@ -54,8 +56,9 @@ def _read(data: bytes, enc: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def patterns() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
-    """(garbled sequence -> original for longer forms, pair -> {character -> original})."""
+def patterns() -> tuple[dict[str, str], dict[str, dict[str, str]], dict[str, str]]:
+    """(garbled sequence -> original for longer forms, pair -> {character -> original},
+    longer forms that sound text may hold, restored only beside certain ones)."""
     long: dict[str, str] = {}
     for ch in LETTERS + MARKS:
         for enc in READ_AS:
@@ -65,7 +68,9 @@ def patterns() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
         for enc in ("cp1252", "iso8859_1", "cp1250"):
             twice = _read(_read(ch.encode("utf-8"), enc).encode("utf-8"), enc)
             long.setdefault(twice, ch)
-    long = {k: v for k, v in long.items() if len(k) > 1 and k != v and not all(c in _NO_INK or c in _LIKE or c in SOUND for c in k)}
+    long = {k: v for k, v in long.items() if len(k) > 1 and k != v}
+    weak = {k: v for k, v in long.items() if all(c in _NO_INK or c in _LIKE or c in SOUND for c in k)}
+    long = {k: v for k, v in long.items() if k not in weak}
     single: dict[str, dict[str, str]] = {}
     for was in SINGLE_BYTE:
         for enc in READ_AS:
@@ -81,14 +86,14 @@ def patterns() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
                     m.setdefault(g, ch)
             if m:
                 single[f"{was}>{enc}"] = m
-    return long, single
+    return long, single, weak
 
 
 @functools.lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
 
-    long, single = patterns()
+    long, single, _ = patterns()
     a = ahocorasick.Automaton()
     for k, v in long.items():
         a.add_word(k, (k, v))
@@ -115,6 +120,8 @@ def _single_hit(text: str, i: int) -> bool:
     """Is the lone character at ``i`` garbling, by its place in the word?"""
     c = text[i]
     before = text[i - 1] if i else " "
+    if i > 1 and not before.isalpha() and before in automaton() and text[i - 2].isalpha():
+        before = text[i - 2]  # two garbled letters side by side
     after = text[i + 1] if i + 1 < len(text) else " "
     if c == LOST or "\x80" <= c <= "\x9f":
         return True
@@ -218,7 +225,7 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
     lone = [text[s] for s, e, v in found if not v and text[s] not in "?" + LOST]
     best: dict[str, str] = {}
     if lone:
-        best = max(patterns()[1].values(), key=lambda m: (sum(c in m and m[c] in SOUND for c in lone), sum(c in m for c in lone)))
+        best = max(patterns()[1].values(), key=lambda m: (sum(c in m and m[c] in SOUND for c in lone), sum(c in m and m[c] in FREQUENT for c in lone), sum(c in m for c in lone)))
     out, at, left = [], 0, 0
     for s, e, v in found:
         if s < at:
@@ -229,6 +236,10 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
         at = e
     out.append(text[at:])
     back = "".join(out)
+    if any(v for _, _, v in found):
+        for k, v in patterns()[2].items():
+            if k[-1] in _NO_INK and k in back:
+                back = back.replace(k, v)
     if any(len(v) for _, _, v in found) and back != text:
         again, n2, _ = restore(back) if len(back) < len(text) else (back, 0, 0)
         back = again if n2 else back

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 
 from . import codepoints as C
-from . import prose
+from . import garble, prose
 
 #: Most documents a fit reads.
 MAX_DOCUMENTS = 40_000
@@ -79,5 +79,77 @@ def profiles(folder: str) -> None:
     print(len(g), "lines of prose,", len(b), "others")
 
 
+def residue(folder: str, rounds: int = 6, prior: float = 0.01, trust: float = 3.0, smooth: float = 0.05) -> None:
+    """Positive-unlabelled naive Bayes by expectation-maximization over passages.
+
+    Trusted passages (``residue.TRUSTED`` and passages with a placeholder, counted without
+    their words) keep the label; every other passage is unlabelled and takes the posterior
+    of the round before.
+    """
+    from . import residue as R
+
+    texts = _table(folder, "documents", "text")["text"].combine_chunks()
+    toks, lens, barred = [], [], []
+    fw = _common(folder)
+    for lo in range(0, len(texts), 1000):
+        part = texts.slice(lo, 1000)
+        c, o = prose.clean(part)
+        rows = C.encode(c, o).to_pylist()
+        total, good = prose.judged(prose.Lines(c, o, fw))
+        # noise and text with lost letters is never a message
+        bad = [g < 0.5 * n or bool(garble.spans(t)) for t, n, g in zip(rows, total, good, strict=True)]
+        cut, flag = [], []
+        for t, x in zip(rows, bad, strict=True):
+            ps = _passages(t)
+            cut += ps
+            flag += [x] * len(ps)
+        h, woff, marks = R.tokens(pa.array(cut, pa.string()))
+        toks.append(h[np.repeat(marks == 0, np.diff(woff))])
+        lens.append(np.diff(woff)[marks == 0])
+        barred.append(np.array(flag, bool)[marks == 0])
+    h, woff, _ = R.tokens(pa.array(R.TRUSTED, pa.string()))
+    n_trusted = len(R.TRUSTED)
+    h = np.concatenate([h, *toks])
+    size = np.concatenate([np.diff(woff), *lens])
+    barred = np.concatenate([np.zeros(n_trusted, bool), *barred])
+    off = np.concatenate([[0], np.cumsum(size)])
+    passage = np.repeat(np.arange(len(size)), size)
+    p2 = R.pairs(h)
+    inner = np.ones(len(h), bool)
+    inner[off[1:][size > 0] - 1] = False
+    feats = np.concatenate([h, p2[inner]])
+    where = np.concatenate([passage, passage[inner]])
+    token, idx, count = np.unique(feats, return_inverse=True, return_counts=True)
+    first = np.zeros(len(size), np.uint64)
+    first[size > 1] = p2[off[:-1][size > 1]]
+    opening = R.pairs(R.tokens(pa.array(["lorem ipsum"]))[0])[0]
+    sure = (np.arange(len(size)) < n_trusted) | ((first == opening) & ~barred)  # filler that opens as filler does
+    post = sure.astype(float)
+    keep = count >= 3
+    for r in range(rounds):
+        w = np.where(sure, trust, 1.0)
+        pos = np.bincount(idx, weights=(post * w)[where], minlength=len(token))
+        neg = np.bincount(idx, weights=(1 - post)[where], minlength=len(token))
+        lp = np.log((pos + smooth) / (pos.sum() + smooth * len(token))) - np.log((neg + smooth * 20) / (neg.sum() + smooth * 20 * len(token)))
+        lp = np.where(pos < 0.5, np.minimum(lp, -0.5), lp)  # never seen in a message: no evidence for one
+        # the score of a passage: one weight for each word and pair; long passages are not more certain
+        s = np.bincount(where, weights=np.clip(lp[idx], -6, 6), minlength=len(size))
+        s = s / np.maximum(size, 1) ** 0.5 * 2.0
+        new = 1 / (1 + np.exp(-np.clip(s + np.log(prior / (1 - prior)), -30, 30)))
+        new[(size < 4) | barred] = 0.0
+        new[sure] = 1.0
+        print("round", r, "positive passages", int((new > 0.5).sum()), "of", len(size))
+        post = new
+    unknown = -0.7
+    np.savez_compressed(R.MODEL, token=token[keep | (pos > 1)], weight=np.clip(lp, -6, 6)[keep | (pos > 1)].astype(np.float16), unknown=unknown, placeholder=100.0)
+
+
+def _passages(text: str) -> list[str]:
+    """Sentences; a line break ends one unless the next line goes on in small letters."""
+    import regex
+
+    return [p for p in regex.split(r"(?<=[.!?…])[”“\"]?\s+|\n(?!\s*\p{Ll})", text) if p.strip()]
+
+
 if __name__ == "__main__":
     globals()[sys.argv[1]](sys.argv[2])
