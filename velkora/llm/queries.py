@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forms, garble, leaks, neardup, prose
+from . import bpe, forms, garble, languages, leaks, neardup, prose, residue
 from .batches import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return garble.garbled_documents(table(spark, d, "documents"))
 
@@ -63,6 +71,14 @@ def p7_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), *_items(spark, d), exact=False)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_scores(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 

@@ -37,17 +37,17 @@ NUMBER, PLACEHOLDER = U64(0x11), U64(0x22)
 SHAPES = (
     r"\{\{\{?\s*[\w.#/-]+\s*(?:\|[\w\s.]*)?\}?\}\}",
     r"\$\{\s*[\w.]+\s*\}",
-    r"(?<![\w{$%])\{\s*[^\W\d][\w.]*\s*\}(?!\})",
-    r"\{%-?\s*[^\W\d][\w.\s]*?-?%\}",
-    r"<%[=-]?\s*[^\W\d][\w.\s]*?%>",
+    r"(?<![\w{$%])\{\s*[^\W\d_][\w.]*\s*\}(?!\})",
+    r"\{%-?\s*[^\W\d_][\w.\s]*?-?%\}",
+    r"<%[=-]?\s*[^\W\d_][\w.\s]*?%>",
     r"(?<![\w%])%[A-ZĈĜĤĴŜŬ][A-ZĈĜĤĴŜŬ0-9_.]+%(?!\w)",
-    r"%\(\s*[^\W\d][\w.]*\s*\)[sdSD]",
+    r"%\(\s*[^\W\d_][\w.]*\s*\)[sdSD]",
     r"(?<!\w)__[^\W\d_][\w.]*?__(?!\w)",
-    r"##\s*[^\W\d][\w.]*\s*##",
-    r"@@\s*[^\W\d][\w.]*\s*@@",
-    r"\[\[\s*[^\W\d][\w.]*\s*\]\]",
+    r"##\s*[^\W\d_][\w.]*\s*##",
+    r"@@\s*[^\W\d_][\w.]*\s*@@",
+    r"\[\[\s*[^\W\d_][\w.]*\s*\]\]",
     r"\[[A-ZĈĜĤĴŜŬ][A-ZĈĜĤĴŜŬ0-9.]*(?:[ _\n][A-ZĈĜĤĴŜŬ0-9.]+)+\]",
-    r"(?:&lt;|<)\s*(?!/?(?:b|i|u|p|a|br|hr|em|ul|ol|li|td|tr|th|div|span|img|pre|sub|sup|code)\b)[^\W\d][\w.]*\s*(?:&gt;|>)",
+    r"(?:&lt;|<)\s*(?!/?(?:b|i|u|p|a|br|hr|em|ul|ol|li|td|tr|th|div|span|img|pre|sub|sup|code)\b)[^\W\d_][\w.]*\s*(?:&gt;|>)",
 )
 
 # Trusted records, written for this engine: what sites and servers tell their visitors,

@@ -151,5 +151,120 @@ def _passages(text: str) -> list[str]:
     return [p for p in regex.split(r"(?<=[.!?…])[”“\"]?\s+|\n(?!\s*\p{Ll})", text) if p.strip()]
 
 
+def languages(folder: str, epochs: int = 6, reg: float = 1e-5) -> None:
+    """Linear support vector machines on stretches whose label and common words agree.
+
+    The class of no language is taught filler and lines of documents that are no prose.
+    """
+    from . import languages as L
+
+    t = _table(folder, "documents", "text", "lang")
+    texts, labels = t["text"].combine_chunks(), t["lang"].to_pylist()
+    cw = _table(folder, "common_words", "lang", "word").to_pandas()
+    of = {}
+    for lang, g in cw.groupby("lang"):
+        c, o = C.unify(*C.decode(pa.array(g["word"].tolist(), pa.string())))
+        of[L.LANGUAGES.index(lang)] = np.unique(C.word_hashes(C.lower_table()[c], *C.words(c, o)[:2]))
+    opening = C.word_hashes(*(lambda c, o: (c, *C.words(c, o)[:2]))(*C.decode(pa.array(["lorem ipsum"]))))
+    fw = _common(folder)
+    rows_w, rows_t, ys, base, vocab = [], [], [], 0, {}
+    data = []
+    for lo in range(0, len(texts), 1000):
+        c, o = prose.clean(texts.slice(lo, 1000))
+        total, good = prose.judged(prose.Lines(c, o, fw))
+        w = L.Words(c, o)
+        votes = np.stack([np.add.reduceat(np.isin(w.h, of[k]).astype(float), w.seg_start) for k in range(7)], axis=1)
+        code = np.array([_code(x) for x in labels[lo : lo + 1000]])[w.seg_row]
+        top = votes.argmax(1)
+        second = np.sort(votes, axis=1)[:, -2]
+        y = np.where((votes.max(1) >= 2) & (votes.max(1) > second) & (top == code) & (w.seg_size >= 5), top, -1)
+        # a tie between languages goes to the label where clear stretches of the document agree with it
+        clear = np.zeros((w.n_rows, 7))
+        np.add.at(clear, (w.seg_row[y >= 0], y[y >= 0]), 1)
+        sure = (clear.sum(1) >= 2) & (clear.max(1) == clear.sum(1))
+        tie = (code >= 0) & (votes.max(1) >= 1) & (votes[np.arange(len(code)), np.maximum(code, 0)] == votes.max(1)) & sure[w.seg_row] & (clear.argmax(1)[w.seg_row] == code)
+        y = np.where((y < 0) & tie & (w.seg_size >= 5), code, y)
+        lorem = np.add.reduceat(np.isin(w.h, opening).astype(float), w.seg_start)
+        filler = np.isin(w.seg_row, w.seg_row[lorem >= 1]) & (votes.max(1) == 0) & (w.seg_size >= 4) & (good[w.seg_row] > 0)
+        y = np.where(filler | ((good == 0) & (total > 0))[w.seg_row] & (w.seg_size >= 3) & (votes.max(1) <= 1), L.NONE, y)
+        data.append((w, y))
+    words, counts = np.unique(np.concatenate([w.h[np.isin(w.seg, np.flatnonzero(y >= 0))] for w, y in data]), return_counts=True)
+    words = words[counts >= 4]
+    # feature lists of each stretch
+    feat, val, row, target, size, n = [], [], [], [], [], 0
+    for w, y in data:
+        order = np.argsort(w.tri_word, kind="stable")
+        tri, tw = w.tri[order], w.tri_word[order]
+        toff = np.searchsorted(tw, np.arange(len(w.uniq) + 1))
+        take = np.isin(w.seg, np.flatnonzero(y >= 0))
+        inv, seg = w.inv[take], w.seg[take]
+        local = np.cumsum(np.concatenate([[0], (y >= 0)[:-1]]))[seg] + n
+        p = np.searchsorted(words, w.uniq[inv])
+        p[p == len(words)] = 0
+        known = words[p] == w.uniq[inv]
+        feat.append(p[known]); val.append(np.ones(known.sum())); row.append(local[known])  # noqa: E702
+        k = (toff[1:] - toff[:-1])[inv]
+        at = np.repeat(toff[inv] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        feat.append(tri[at] + len(words)); val.append(np.repeat(w.tri_weight[inv], k)); row.append(np.repeat(local, k))  # noqa: E702
+        target.append(y[y >= 0]); size.append(w.seg_size[y >= 0])  # noqa: E702
+        n += int((y >= 0).sum())
+    feat, val, row = np.concatenate(feat), np.concatenate(val), np.concatenate(row)
+    y, size = np.concatenate(target), np.concatenate(size)
+    order = np.argsort(row, kind="stable")
+    feat, val, row = feat[order], val[order] / size[row[order]], row[order]
+    off = np.searchsorted(row, np.arange(n + 1))
+    print("stretches by class", np.bincount(y), "words", len(words))
+    family = np.array([0, 0, 1, 1, 2, 2, 3, 4])[y]
+    t_ = np.full((n, 8), np.nan)
+    for f in range(5):
+        t_[:, f] = np.where(family == f, 1, -1)
+    for k in range(3):
+        t_[y == 2 * k, 5 + k], t_[y == 2 * k + 1, 5 + k] = 1, -1
+    weight = np.minimum(2000 / np.bincount(y, minlength=8), 1.0)[y]
+    rng = np.random.default_rng(3)
+    held_out = rng.random(n) < 0.1
+    W, b = np.zeros((len(words) + L.BUCKETS, 8)), np.zeros(8)
+    h2 = np.full(len(W), 1e-8)
+    train = np.flatnonzero(~held_out)
+    p = weight[train] / weight[train].sum()
+    for ep in range(epochs):
+        for _ in range(len(train) // 256):
+            i = rng.choice(train, 256, p=p)
+            k = off[i + 1] - off[i]
+            at = np.repeat(off[i] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            r = np.repeat(np.arange(256), k)
+            f, v = feat[at], val[at]
+            s = np.zeros((256, 8))
+            np.add.at(s, r, W[f] * v[:, None])
+            s += b
+            yt = t_[i]
+            loss = np.where(np.isnan(yt), 0.0, np.maximum(0, 1 - yt * s))
+            g = -np.where(loss > 0, np.nan_to_num(yt), 0.0) / 16  # hinge
+            uf, ui = np.unique(f, return_inverse=True)
+            G = np.zeros((len(uf), 8))
+            np.add.at(G, ui, g[r] * v[:, None])
+            G += reg * W[uf]
+            h2[uf] += (G**2).mean(1)
+            W[uf] -= 0.4 * G / np.sqrt(h2[uf])[:, None]
+            b -= 0.01 * g.mean(0)
+        test = np.flatnonzero(held_out)
+        s = np.zeros((n, 8))
+        for k in range(8):
+            s[:, k] = np.bincount(row, weights=W[feat, k] * val, minlength=n) + b[k]
+        guess, _ = L.decide(s[test])
+        print("epoch", ep, "held-out accuracy", round(float((guess == y[test]).mean()), 5), [round(float((guess == y[test])[y[test] == k].mean()), 4) for k in range(8)])
+    np.savez_compressed(L.MODEL, word=words, word_weight=W[: len(words)].astype(np.float16), tri_weight=W[len(words) :].astype(np.float16), bias=b.astype(np.float32))
+
+
+def _code(label: str | None) -> int:
+    """Index of the language a label names, or -1."""
+    from . import languages as L
+
+    head = "".join(ch if ch.isalpha() else " " for ch in (label or "")).split()
+    code = head[0].lower() if head else ""
+    code = L.ISO3.get(code, code)
+    return L.LANGUAGES.index(code) if code in L.LANGUAGES else -1
+
+
 if __name__ == "__main__":
     globals()[sys.argv[1]](sys.argv[2])
