@@ -48,7 +48,7 @@ def word_tokenise(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DOCS} SELECT doc_id, len({TOK}) + coalesce(list_sum(list_transform(list_filter({TOK}, lambda t: regexp_full_match(t, '[0-9]+')), lambda t: length(t) - 1)), 0)::INTEGER AS n FROM docs")
 def digit_split(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.size(T.split_digits(T.word_tokens(F.col("text")))).alias("n"))
+    return docs(spark, d).select("doc_id", F.size(T.split_digits(T.word_tokens(F.col("text")))).cast("long").alias("n"))
 
 
 _ENDS = " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 2} THEN '{e}'" for e, *_ in T.ENDINGS)
