@@ -88,9 +88,9 @@ def decompose(word: str, d: Dictionary = Dictionary()) -> list[str]:
 
 def kind(m: str, d: Dictionary = Dictionary()) -> str:
     """prefix, suffix, ending, particle or root, in that order of preference."""
-    if m in d.prefixes and m not in d.roots:
+    if m in d.prefixes:
         return "prefix"
-    if m in d.suffixes and m not in d.roots:
+    if m in d.suffixes:
         return "suffix"
     return "ending" if m in ENDINGS else "particle" if closed_class(m) else "root"
 

@@ -62,8 +62,8 @@ def pos_of(word: Column) -> Column:
 
 
 def accusative(phrase: Column) -> Column:
-    """``n`` after every word of a phrase that inflects (ends in o, a, oj or aj)."""
-    return F.array_join(F.transform(F.split(phrase, " "), lambda w: F.when(w.rlike("(o|a|oj|aj)$"), F.concat(w, F.lit("n"))).otherwise(w)), " ")
+    """``n`` after every word of a phrase that inflects (ends in o, a, oj or aj; not the article)."""
+    return F.array_join(F.transform(F.split(phrase, " "), lambda w: F.when(w.rlike("(o|a|oj|aj)$") & (w != "la"), F.concat(w, F.lit("n"))).otherwise(w)), " ")
 
 
 def plural(word: Column) -> Column:
@@ -110,7 +110,7 @@ def length_excess(c: Column, free: int = 50, full: int = 150) -> Column:
 
 def demorph(c: Column) -> Column:
     """Readable text from morpheme tokens: control tokens and boundary marks become blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("<w>"), F.lit(" ")), r"<\|[a-z_]+\|>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("<w>"), F.lit(" ")), r"<\|[a-z_]+\|>|</?s>|<pad>|<unk>", " "), r"\s+", " "))
 
 
 def numeric_answer(c: Column) -> Column:

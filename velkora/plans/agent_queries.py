@@ -100,7 +100,7 @@ def realize_setting(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EV}, s AS (SELECT trace_id, pos, event_id, action, roles['theme'] AS theme, coalesce(roles['agent'], 'io') AS agent FROM ev), f AS (SELECT *, CASE WHEN agent IS DISTINCT FROM lag(agent) OVER (PARTITION BY trace_id ORDER BY pos, event_id) THEN 1 ELSE 0 END AS new FROM s),
 i AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) AS island FROM f),
 c AS (SELECT *, regexp_replace(action, 'i$', 'is') || CASE WHEN theme IS NOT NULL THEN ' la ' || regexp_replace(theme, '[0-9]+$', '') || CASE WHEN regexp_matches(regexp_replace(theme, '[0-9]+$', ''), '(o|a|oj|aj)$') THEN 'n' ELSE '' END ELSE '' END AS clause FROM i)
-SELECT trace_id, CAST(island AS BIGINT) AS island, 'La ' || regexp_replace(agent, '[0-9]+$', '') || ' ' || string_agg(clause, ', poste ' ORDER BY pos, event_id) || '.' AS text FROM c GROUP BY trace_id, island, agent""".replace("' la ' || regexp_replace(theme, '[0-9]+$', '')", "' lan ' || regexp_replace(theme, '[0-9]+$', '')"))
+SELECT trace_id, CAST(island AS BIGINT) AS island, 'La ' || regexp_replace(agent, '[0-9]+$', '') || ' ' || string_agg(clause, ', poste ' ORDER BY pos, event_id) || '.' AS text FROM c GROUP BY trace_id, island, agent""")
 def realize_events(spark: SparkSession, d: str) -> DataFrame:
     return realize.events_text(state(spark, d))
 

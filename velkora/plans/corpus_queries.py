@@ -130,7 +130,7 @@ def block_pack(spark: SparkSession, d: str) -> DataFrame:
     return sequences.block_pack(t, "source", "doc_id", "w", 64).select("source", "block", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform(list_slice({LW}, 1, 6), lambda w: CASE WHEN regexp_matches(w, '(o|a|oj|aj)$') THEN w || 'n' ELSE w END), ' ') AS phrase FROM docs")
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform(list_slice({LW}, 1, 6), lambda w: CASE WHEN regexp_matches(w, '(o|a|oj|aj)$') AND w <> 'la' THEN w || 'n' ELSE w END), ' ') AS phrase FROM docs")
 def accusative_phrase(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.accusative(F.array_join(F.slice(T.letter_words(F.col("text")), 1, 6), " ")).alias("phrase"))
 
