@@ -56,20 +56,18 @@ def _read(data: bytes, enc: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def patterns() -> tuple[dict[str, str], dict[str, dict[str, str]], dict[str, str]]:
-    """(garbled sequence -> original for longer forms, pair -> {character -> original},
+def patterns() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]], dict[str, str]]:
+    """(garbled sequence -> {encoding it was read with -> original} for longer forms, pair -> {character -> original},
     longer forms that sound text may hold, restored only beside certain ones)."""
-    long: dict[str, str] = {}
+    long: dict[str, dict[str, str]] = {}
     for ch in LETTERS + MARKS:
         for enc in READ_AS:
             once = _read(ch.encode("utf-8"), enc)
-            long.setdefault(once, ch)
-    for ch in LETTERS + MARKS:
-        for enc in ("cp1252", "iso8859_1", "cp1250"):
-            twice = _read(_read(ch.encode("utf-8"), enc).encode("utf-8"), enc)
-            long.setdefault(twice, ch)
-    long = {k: v for k, v in long.items() if len(k) > 1 and k != v}
-    weak = {k: v for k, v in long.items() if all(c in _NO_INK or c in _LIKE or c in SOUND for c in k)}
+            long.setdefault(once, {}).setdefault(enc, ch)
+            if enc in ("cp1252", "iso8859_1", "cp1250"):
+                long.setdefault(_read(once.encode("utf-8"), enc), {}).setdefault(enc, ch)
+    long = {k: v for k, v in long.items() if len(k) > 1}
+    weak = {k: next(iter(v.values())) for k, v in long.items() if all(c in _NO_INK or c in _LIKE or c in SOUND for c in k)}
     long = {k: v for k, v in long.items() if k not in weak}
     single: dict[str, dict[str, str]] = {}
     for was in SINGLE_BYTE:
@@ -96,7 +94,7 @@ def automaton():
     long, single, _ = patterns()
     a = ahocorasick.Automaton()
     for k, v in long.items():
-        a.add_word(k, (k, v))
+        a.add_word(k, (k, next(iter(v.values()))))
     for m in single.values():
         for g in m:
             if g not in a and g not in SOUND and g not in MARKS and g not in _NO_INK and g not in _LIKE:
@@ -226,10 +224,20 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
     best: dict[str, str] = {}
     if lone:
         best = max(patterns()[1].values(), key=lambda m: (sum(c in m and m[c] in SOUND for c in lone), sum(c in m and m[c] in FREQUENT for c in lone), sum(c in m for c in lone)))
+    # where a longer form is open between encodings, the one that explains most of the text decides
+    votes: dict[str, int] = {}
+    for s, e, v in found:
+        if v:
+            for enc in patterns()[0][text[s:e]]:
+                votes[enc] = votes.get(enc, 0) + 1
+    ranked = sorted(votes, key=lambda enc: (-votes[enc], READ_AS.index(enc)))
     out, at, left = [], 0, 0
     for s, e, v in found:
         if s < at:
             continue
+        if v:
+            options = patterns()[0][text[s:e]]
+            v = next(options[enc] for enc in ranked if enc in options)
         v = v or best.get(text[s], "")
         left += not v
         out += [text[at:s], v or text[s:e]]
