@@ -148,9 +148,34 @@ def _single_hit(text: str, i: int) -> bool:
     return c.isupper() and before.islower()
 
 
+@functools.lru_cache(maxsize=1)
+def _suspects():
+    """What can open a garbled span: telling characters, pairs without one, inner capitals."""
+    import re
+
+    long, single, _ = patterns()
+    plain = SOUND | set(MARKS) | _NO_INK | _LIKE | {"?"}
+    telling = frozenset({c for k in long for c in k[:2]} | {g for m in single.values() for g in m} | {LOST}) - plain
+    pairs = sorted({k[:2] for k in long if telling.isdisjoint(k[:2])})
+    caps = frozenset(c for c in LETTERS if c.isupper())
+    small = "".join(c for c in LETTERS if c.islower())
+    look = [rf"[a-z{small}][{''.join(sorted(caps))}]", *map(re.escape, pairs)]
+    return telling, caps | {p[0] for p in pairs}, re.compile("|".join(look)), re.compile(r"\?[^\W\d_]")
+
+
+def _suspicious(text: str) -> bool:
+    """Quick look, so that sound texts skip the automaton."""
+    telling, openers, look, lost = _suspects()
+    if not telling.isdisjoint(text):
+        return True
+    if "?" in text and lost.search(text):
+        return True
+    return not openers.isdisjoint(text) and look.search(text) is not None
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """Garbled spans (start, end, original or '' where not known from the span alone)."""
-    if not text or text.isascii() and "?" not in text:
+    if not text or not _suspicious(text):
         return []
     out: list[tuple[int, int, str]] = []
     soft = -1

@@ -160,6 +160,30 @@ def divergence(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Profiles whose divergence is worked out for a line: the nearest in Hellinger distance,
+#: which bounds the Jensen-Shannon divergence from both sides.
+SHORT_LIST = 6
+
+
+def nearest(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """Index of the nearest profile of each line."""
+    if len(profiles) <= SHORT_LIST:
+        return divergence(x, profiles).argmin(1)
+    weight = np.sqrt(np.repeat(GROUP_WEIGHT, np.diff(GROUPS)))
+    a, b = np.sqrt(x) * weight, np.sqrt(profiles) * weight
+    far = (b**2).sum(1) - 2 * a @ b.T
+    short = np.argpartition(far, SHORT_LIST, axis=1)[:, :SHORT_LIST]
+    w = np.repeat(GROUP_WEIGHT, np.diff(GROUPS))
+    hp = (_entropy(profiles) * w).sum(1)
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for j in range(SHORT_LIST):
+        k = short[:, j]
+        d = (_entropy((x + profiles[k]) / 2) * w).sum(1) - hp[k] / 2
+        better = (d < best) | ((d == best) & (k < at))
+        best, at = np.where(better, d, best), np.where(better, k, at)
+    return at
+
+
 @functools.lru_cache(maxsize=1)
 def model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Profiles, their kinds (1 prose, 0 other) and names."""
@@ -172,7 +196,7 @@ def prose_lines(ln: Lines) -> np.ndarray:
     if not len(ln.x):
         return np.zeros(0, bool)
     profiles, prose, _ = model()
-    ok = prose[divergence(ln.x, profiles).argmin(1)].astype(bool)
+    ok = prose[nearest(ln.x, profiles)].astype(bool)
     # a basic count: a dozen words in a row without one common word are no sentence
     ok &= (ln.n_words < BARE_WORDS) | (ln.common > 0) | (ln.tail == 0)
     # a short line that ends a sentence begun on a prose line above is part of it
@@ -226,7 +250,7 @@ def text_statistics(df: DataFrame, common: DataFrame, id_col: str = "doc_id", te
             }
         profiles, _, names = model()
         mean = np.stack([by(ln.x[:, k] * ln.weight) for k in range(ln.x.shape[1])], axis=1) / np.maximum(total, 1)[:, None] if len(ln.x) else np.zeros((n, int(GROUPS[-1])))
-        near = names[divergence(mean, profiles).argmin(1)]
+        near = names[nearest(mean, profiles)]
         blank = total == 0
         out = {k: pa.array(np.where(blank | ~np.isfinite(v), 0.0, v), mask=blank | ~np.isfinite(v)) for k, v in cols.items()}
         return batch_of(id=b.column(0), n_words=pa.array(words.astype(np.int64), mask=blank), **out, profile=pa.array(near.tolist(), pa.string(), mask=blank))
