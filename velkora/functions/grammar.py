@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.parallel import spread
 from .morphology import CORRELATIVES, PARTICLES, PRONOUNS, Dictionary, decompose, known_stem, split_ending
 
 WORD = re.compile(r"[A-Za-zĈĉĜĝĤĥĴĵŜŝŬŭ]+")
@@ -247,7 +248,7 @@ def verified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chec
             rows = [one(t) for t in b[text_col]]
             yield pd.DataFrame({id_col: b[id_col], "n_sentences": [r[0] for r in rows], "n_clean": [r[1] for r in rows], "diagnostics": [[dict(zip(("check", "start", "end", "text"), x, strict=True)) for x in r[2]] for r in rows], "claims": [[dict(zip(("subject", "relation", "object", "confidence"), x, strict=True)) for x in r[3]] for r in rows]})
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, {RESULT}")
+    return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} {kind}, {RESULT}")
 
 
 def claim_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
