@@ -40,7 +40,7 @@ def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordB
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def batch_of(**cols: object) -> pa.RecordBatch:
@@ -76,12 +76,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def scan_parts(df: DataFrame, rows: int = 2_000) -> DataFrame:
-    """Spread a scan that has fewer splits than cores before a costly Python stage.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer splits than there are cores.
 
-    Tables of many files or splits are returned unchanged (no shuffle).
+    Inputs of many splits (any large table) come back unchanged, without a shuffle.
     """
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df if have >= cores else df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
