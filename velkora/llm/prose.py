@@ -199,10 +199,19 @@ def prose_lines(ln: Lines) -> np.ndarray:
     ok = prose[nearest(ln.x, profiles)].astype(bool)
     # a basic count: a dozen words in a row without one common word are no sentence
     ok &= (ln.n_words < BARE_WORDS) | (ln.common > 0) | (ln.tail == 0)
-    # a short line that ends a sentence begun on a prose line above is part of it
-    prev = np.zeros(len(ok), bool)
-    prev[1:] = ok[:-1] & (ln.row[1:] == ln.row[:-1]) & (ln.tail[:-1] != 0) & (ln.n_words[:-1] >= 5)
-    return ok | (prev & (ln.tail == 0) & (ln.n_words <= 6))
+    # lines of a wrapped sentence follow the prose line they continue or that continues them
+    same = ln.row[1:] == ln.row[:-1]
+    plain = (ln.chars[:, 0] + ln.chars[:, 2] > 0.85 * ln.chars.sum(1)) & (ln.head <= 1)
+    runs_on = (ln.tail != 0) & (ln.tail != 4) & (ln.tail != 3) & (ln.n_words >= 5)
+    short_end = (ln.tail == 0) & (ln.n_words <= 6)
+    member = plain & (short_end | (ln.n_words >= 5) & (ln.common > 0))
+    for _ in range(3):
+        down = np.zeros(len(ok), bool)
+        down[1:] = ok[:-1] & runs_on[:-1] & same & member[1:]
+        up = np.zeros(len(ok), bool)
+        up[:-1] = ok[1:] & (ln.head[1:] == 1) & runs_on[:-1] & same & member[:-1]
+        ok = ok | down | up
+    return ok
 
 
 def judged(ln: Lines) -> tuple[np.ndarray, np.ndarray]:
