@@ -41,7 +41,7 @@ SINGLE_BYTE = ("iso8859_3", "cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso88
 READ_AS = ("cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso8859_3", "iso8859_15", "cp1251", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r")
 _NO_INK = frozenset("­​‌‍⁠﻿")
 _LIKE = frozenset("аеорсухіјѕАВЕКМНОРСТХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ")
-LOST = "�"
+LOST, NBSP = "�", "\xa0"
 
 
 def _read(data: bytes, enc: str) -> str:
@@ -67,7 +67,7 @@ def patterns() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]], di
             if enc in ("cp1252", "iso8859_1", "cp1250"):
                 long.setdefault(_read(once.encode("utf-8"), enc), {}).setdefault(enc, ch)
     long = {k: v for k, v in long.items() if len(k) > 1}
-    weak = {k: next(iter(v.values())) for k, v in long.items() if all(c in _NO_INK or c in _LIKE or c in SOUND for c in k)}
+    weak = {k: next(iter(v.values())) for k, v in long.items() if all(c in _NO_INK or c in _LIKE or c in SOUND for c in k) or k[0] in _LIKE and all(c in _NO_INK or c in _LIKE or c == NBSP for c in k[1:])}
     long = {k: v for k, v in long.items() if k not in weak}
     single: dict[str, dict[str, str]] = {}
     for was in SINGLE_BYTE:
@@ -126,6 +126,8 @@ def _single_hit(text: str, i: int) -> bool:
     if c == "?":
         if not after.isalpha() or _url_like(text, i):
             return False
+        if before.isalpha() and text[i + 2 : i + 3] in (" ", "\n", "") and (text[i + 3 : i + 4].isupper() or text[i + 3 : i + 4] == ""):
+            return False  # the last letter and the mark changed places
         return before.isalpha() or (before in " \n„“(«" or i == 0) and after.islower()
     if not c.isalpha():
         if c in _RARELY_INWORD:
@@ -133,12 +135,12 @@ def _single_hit(text: str, i: int) -> bool:
         return before.isalpha() and after.isalpha() or before.isalpha() and after in " ,.;!?\n" and c not in "•…" or after.islower() and not before.isalnum() and c not in "•"
     # a letter of no corpus language: sound only in a name (capital first, the rest small)
     s = i
-    while s and (text[s - 1].isalpha() or text[s - 1] in "­​‌‍⁠﻿"):
+    while s and (text[s - 1].isalpha() or text[s - 1] in _NO_INK):
         s -= 1
     e = i + 1
-    while e < len(text) and text[e].isalpha():
+    while e < len(text) and (text[e].isalpha() or text[e] in _NO_INK):
         e += 1
-    word = text[s:e]
+    word = "".join(x for x in text[s:e] if x not in _NO_INK)
     if any(x in _LIKE for x in word):
         return False
     if len(word) == 1 or word[0].islower():

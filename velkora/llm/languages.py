@@ -40,6 +40,8 @@ NONE = len(LANGUAGES)
 MIN_WORDS = 8
 #: A stretch of fewer words, or of a smaller margin, follows its neighbour.
 SURE_WORDS, SURE_MARGIN = 4, 0.5
+#: A stretch in the related other language of a document needs this margin.
+PAIR_MARGIN = 0.7
 BUCKETS = 1 << 13
 U64 = np.uint64
 
@@ -53,7 +55,14 @@ class Words:
 
     def __init__(self, c: np.ndarray, o: np.ndarray) -> None:
         low = C.lower_table()[c]
-        s, e, woff = C.words(low, o)
+        s, e, _ = C.words(low, o)
+        if len(s):  # addresses and assignments are no words of a language
+            token = np.cumsum(np.isin(c, np.array([9, 10, 32], np.uint32)) | C._row_starts(o, len(c)))
+            odd = np.zeros(token[-1] + 1, bool)
+            odd[token[np.isin(c, np.array([ord(x) for x in "/=@\\\\"], np.uint32))]] = True
+            keep = ~odd[token[s]]
+            s, e = s[keep], e[keep]
+        woff = np.searchsorted(s, o)
         self.woff, self.n_rows = woff, len(o) - 1
         self.h = C.word_hashes(low, s, e)
         self.uniq, at, self.inv = np.unique(self.h, return_index=True, return_inverse=True)
@@ -75,6 +84,11 @@ class Words:
         self.tri_weight = 1.0 / np.sqrt(np.maximum(size - 2, 1))
         # stretches: cut after a sentence end or a line break
         cut = np.isin(c, np.array([ord(x) for x in ".!?…\n"], np.uint32))
+        if len(c) > 1:  # a mark inside a word (a lost letter, a number) ends nothing
+            letter = C.alnum_table()[c]
+            inner = np.zeros(len(c), bool)
+            inner[1:-1] = letter[:-2] & letter[2:]
+            cut &= ~(inner & (c != 10))
         seg = np.concatenate([[0], np.cumsum(cut)])[s] if len(s) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(self.n_rows), np.diff(woff))
         new = np.ones(len(s), bool)
@@ -84,6 +98,12 @@ class Words:
         self.seg_row = row[self.seg_start]
         self.seg_size = np.diff(np.append(self.seg_start, len(s)))
         self.char_start, self.char_end = s, e
+        # names say nothing of the language: capital first, small after, not opening a stretch
+        up = low != c
+        self.name = np.zeros(len(s), bool)
+        if len(s):
+            self.name = up[s] & ~up[np.minimum(s + 1, e - 1)] & (e - s > 1)
+            self.name[self.seg_start] = False
 
 
 @functools.lru_cache(maxsize=1)
@@ -127,6 +147,7 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         return z, z, z, np.zeros(0), z
     _, _, _, bias = model()
     sc = word_scores(w)[w.inv]
+    sc[w.name] = 0.0
     acc = np.add.reduceat(sc, w.seg_start, axis=0)
     lang, margin = decide(acc / w.seg_size[:, None] + bias)
     weak = (w.seg_size < SURE_WORDS) | (margin < SURE_MARGIN)
@@ -140,6 +161,7 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     nxt = np.minimum.accumulate(nxt_idx[::-1])[::-1]
     ok_next = (nxt < len(lang)) & (w.seg_row[np.minimum(nxt, len(lang) - 1)] == w.seg_row)
     lang = np.where(weak & ok_prev, lang[np.maximum(prev, 0)], np.where(weak & ok_next, lang[np.minimum(nxt, len(lang) - 1)], lang))
+    lang = _pairs_settled(w, lang, margin)
     new = first.copy()
     new[1:] |= lang[1:] != lang[:-1]
     start = np.flatnonzero(new)
@@ -148,6 +170,19 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return w.seg_row[start], lang[start], size, 1 / (1 + np.exp(-2.0 * conf)), w.seg_start[start]
 
 
+def _pairs_settled(w: Words, lang: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """A short or doubtful stretch of the closely related other language of a document goes
+    to the one that most of the document is in (the two differ in few words)."""
+    for least in (0, 2 * MIN_WORDS):  # doubtful stretches first, then what is left of a few words
+        size = np.zeros((w.n_rows, NONE + 1))
+        np.add.at(size, (w.seg_row, lang), w.seg_size)
+        other = np.array([1, 0, 3, 2, 5, 4, 6, 7])[lang]
+        minor = (size[w.seg_row, other] > size[w.seg_row, lang]) & (other != lang)
+        weak = (margin < PAIR_MARGIN) | (size[w.seg_row, lang] < least)
+        lang = np.where(minor & weak, other, lang)
+    return lang
+
+
 def held(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, language, confidence) of every language a row holds."""
     row, lang, size, conf, _ = stretches(Words(c, o))

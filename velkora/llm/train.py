@@ -188,15 +188,18 @@ def languages(folder: str, epochs: int = 6, reg: float = 1e-5) -> None:
         filler = np.isin(w.seg_row, w.seg_row[lorem >= 1]) & (votes.max(1) == 0) & (w.seg_size >= 4) & (good[w.seg_row] > 0)
         y = np.where(filler | ((good == 0) & (total > 0))[w.seg_row] & (w.seg_size >= 3) & (votes.max(1) <= 1), L.NONE, y)
         data.append((w, y))
-    words, counts = np.unique(np.concatenate([w.h[np.isin(w.seg, np.flatnonzero(y >= 0))] for w, y in data]), return_counts=True)
-    words = words[counts >= 4]
+    words, counts = np.unique(np.concatenate([w.h[np.isin(w.seg, np.flatnonzero(y >= 0)) & ~w.name] for w, y in data]), return_counts=True)
+    named, times = np.unique(np.concatenate([w.h[w.name] for w, _ in data]), return_counts=True)
+    at = np.minimum(np.searchsorted(named, words), len(named) - 1)
+    as_name = np.where(named[at] == words, times[at], 0)
+    words = words[(counts >= 4) & (as_name * 2 < counts)]  # names are no features, nor where they open a sentence
     # feature lists of each stretch
     feat, val, row, target, size, n = [], [], [], [], [], 0
     for w, y in data:
         order = np.argsort(w.tri_word, kind="stable")
         tri, tw = w.tri[order], w.tri_word[order]
         toff = np.searchsorted(tw, np.arange(len(w.uniq) + 1))
-        take = np.isin(w.seg, np.flatnonzero(y >= 0))
+        take = np.isin(w.seg, np.flatnonzero(y >= 0)) & ~w.name
         inv, seg = w.inv[take], w.seg[take]
         local = np.cumsum(np.concatenate([[0], (y >= 0)[:-1]]))[seg] + n
         p = np.searchsorted(words, w.uniq[inv])
