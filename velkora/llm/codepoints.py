@@ -276,15 +276,20 @@ def lower_table() -> np.ndarray:
 
 @functools.lru_cache(maxsize=1)
 def base_table() -> np.ndarray:
-    """Lower-case letter without accents; 0 for combining marks."""
+    """Lower-case letter without accents; 0 for combining marks.  A small letter whose
+    capital looks like a Latin one counts as that one (the text was disguised, then lowered)."""
     s = lower_table().copy()
+    for o in (*range(0x370, 0x530),):
+        up = chr(o).upper()
+        if chr(o) not in LOOKALIKES and up in LOOKALIKES:
+            s[o] = ord(LOOKALIKES[up].lower())
     for o in (*range(0x80, 0x3400), *range(0x1E00, 0x2000)):
         if unicodedata.combining(chr(o)):
             s[o] = 0
             continue
         d = unicodedata.normalize("NFD", chr(o))
         if len(d) > 1 and unicodedata.combining(d[1]):
-            b = d[0].lower()
+            b = chr(s[ord(d[0])])
             s[o] = ord(b) if len(b) == 1 else ord(d[0])
     return s
 

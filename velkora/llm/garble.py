@@ -161,8 +161,8 @@ def _suspects():
     pairs = sorted({k[:2] for k in long if telling.isdisjoint(k[:2])})
     caps = frozenset(c for c in LETTERS if c.isupper())
     small = "".join(c for c in LETTERS if c.islower())
-    look = [rf"[a-z{small}][{''.join(sorted(caps))}]", *map(re.escape, pairs)]
-    return telling, caps | {p[0] for p in pairs}, re.compile("|".join(look)), re.compile(r"\?[^\W\d_]")
+    look = [rf"[a-z{small}][{''.join(sorted(caps))}]", rf"[A-Z][{small}][A-Z]", *map(re.escape, pairs)]
+    return telling, caps | set(small) | {p[0] for p in pairs}, re.compile("|".join(look)), re.compile(r"\?[^\W\d_]")
 
 
 def _suspicious(text: str) -> bool:
@@ -204,11 +204,12 @@ def _inner():
     import regex
 
     caps = "".join(c for c in LETTERS if c.isupper())
-    return regex.compile(rf"(?<=\p{{Ll}})[{caps}](?=\p{{Ll}})|(?<=\p{{Ll}}\p{{Ll}})[{caps}]\b")
+    small = "".join(sorted({g for m in patterns()[1].values() for g in m if g.islower()} - _LIKE))
+    return regex.compile(rf"(?<=\p{{Ll}})[{caps}](?=\p{{Ll}})|(?<=\p{{Ll}}\p{{Ll}})[{caps}]\b|(?<=\p{{Lu}})[{small}](?=\p{{Lu}}\p{{Lu}})|(?<=\p{{Lu}}\p{{Lu}})[{small}](?=\p{{Lu}})")
 
 
 def _inner_capitals(text: str) -> list[int]:
-    """Capitals with an accent directly after a small letter."""
+    """Capitals with an accent after a small letter, and small letters amid capitals."""
     return [m.start() for m in _inner().finditer(text)]
 
 
