@@ -7,6 +7,8 @@ loop ends with an empty delta, so cycles are harmless.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,17 @@ def closure(edges: DataFrame, part: str | None = None, directed: bool = True, ma
     e = saved(e.where("src <> dst").distinct())
     delta = e if seeds is None else e.join(seeds.select(*keys, "src").distinct(), [*keys, "src"], "left_semi")
     step = e.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("next"))
-    known = saved(delta.withColumn("depth", F.lit(1)))
-    delta = known
+    delta = saved(delta.withColumn("depth", F.lit(1)))
+    layers = [delta]  # each round is written once; the known pairs are their union
     for depth in range(2, (max_depth or MAX_ROUNDS) + 1):
         more = delta.select(*keys, "src", "dst").join(step, [*keys, "dst"]).select(*keys, "src", F.col("next").alias("dst"))
-        more = more.where("src <> dst").distinct().join(known.select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti")
+        known = reduce(DataFrame.unionByName, layers).select(*keys, "src", "dst")
+        more = more.where("src <> dst").distinct().join(known, [*keys, "src", "dst"], "left_anti")
         delta = saved(more.withColumn("depth", F.lit(depth)))
         if delta.isEmpty():
             break
-        known = saved(known.unionByName(delta))
+        layers.append(delta)
+    known = reduce(DataFrame.unionByName, layers)
     if reflexive:
         nodes = e.select(*keys, "src").unionByName(e.select(*keys, F.col("dst").alias("src"))).distinct()
         known = known.unionByName(nodes.select(*keys, "src", F.col("src").alias("dst"), F.lit(0).alias("depth")))

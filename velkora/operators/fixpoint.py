@@ -116,7 +116,7 @@ def derive(state: TraceState, rules: list[Derivation], max_rounds: int = MAX_ROU
             df = saved(df)
             if not df.isEmpty():
                 grown = True
-                state = state.with_(**{layer: saved(getattr(state, layer).unionByName(df))})
+                state = state.with_(**{layer: getattr(state, layer).unionByName(df)})  # each round is written once
         if not grown:
             break
     return state
