@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan has fewer splits than there are cores.
+    """Rows over all cores where a plain scan has fewer splits than there are cores.
 
-    Inputs of many splits (any large table) come back unchanged, without a shuffle.
+    Inputs of many splits (any large table) come back unchanged, without a shuffle; so do
+    plans that shuffle already (asking those for their partitions would run them).
     """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Exchange", "Limit")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
