@@ -147,3 +147,33 @@ def paragraph(facts: DataFrame, templates: DataFrame, least: int = 2) -> DataFra
     j = j.withColumn("s", capitalise_first(s))
     g = j.groupBy("entity_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), " ").alias("text"))
     return g.where(F.col("n") >= least)
+
+
+def opening_fact(facts: DataFrame, openers: list[str]) -> DataFrame:
+    """(entity_id, property_id, value): the best-ranked fact with an opening template, else the best-ranked."""
+    f = ranked(facts)
+    has = F.when(F.col("property_id").isin(*openers), 0).otherwise(1) if openers else F.lit(1)
+    best = f.groupBy("entity_id").agg(F.min_by(F.struct("property_id", "value"), F.struct(has.alias("h"), F.col("seq"))).alias("b"))
+    return best.select("entity_id", "b.property_id", "b.value")
+
+
+def comparison(facts: DataFrame, by: list[str], draw: str, least: int = 2) -> DataFrame:
+    """(by, a, b, text): two entities of a group told apart property by property."""
+    s = facts.groupBy("entity_id", "label", *by).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("property", "value")))).alias("m"))
+    p = neighbours(s, by, "entity_id", draw)
+    shared = F.array_sort(F.array_intersect(F.map_keys("a.m"), F.map_keys("b.m")))
+    va, vb = (lambda k: F.try_element_at(F.col("a.m"), k)), (lambda k: F.try_element_at(F.col("b.m"), k))
+    line = F.transform("shared", lambda k: F.when(va(k) == vb(k), F.concat(F.lit("Ambaŭ: "), k, F.lit(" – "), va(k), F.lit("."))).otherwise(F.concat(k, F.lit(": "), va(k), F.lit(" kaj "), vb(k), F.lit("."))))
+    q = p.withColumn("shared", shared).where(F.size("shared") >= least).withColumn("text", F.array_join(line, " "))
+    return q.select(*by, F.col("a.label").alias("a"), F.col("b.label").alias("b"), "text")
+
+
+def cross_entity(turns: DataFrame, part: str, draw: str, each: int = 2) -> DataFrame:
+    """(part, a, b, n, chat): conversations that pass from one entity to another of its part."""
+    w = W.partitionBy("entity_id").orderBy("seq")
+    t = turns.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each)
+    one = t.groupBy(part, "entity_id").agg(F.array_sort(F.collect_list(F.struct("rn", "question", "answer"))).alias("m"))
+    p = neighbours(one, [part], "entity_id", draw)
+    text = lambda m: F.transform(m, lambda x: F.concat(x["question"], F.lit(" "), x["answer"]))
+    both = F.concat(text(F.col("a.m")), text(F.col("b.m")))
+    return p.select(part, F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"), F.size(both).alias("n"), F.array_join(both, "\n").alias("chat"))

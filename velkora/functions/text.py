@@ -158,3 +158,15 @@ def number_words(n: Column) -> Column:
     big = lambda k, name: F.when(k == 0, F.lit(None)).when(k == 1, F.lit(name)).otherwise(F.concat(at(k), F.lit(name)))
     words = F.concat_ws(" ", big(h, "cent"), big(t, "dek"), F.when((u > 0), at(u)))
     return F.when((n < 0) | (n > 999), F.lit(None)).when(n == 0, F.lit("nul")).otherwise(words)
+
+
+def nesting(c: Column, opening: str = "([{", closing: str = ")]}") -> Column:
+    """struct(deepest, left): the greatest nesting of brackets, and how many stay open."""
+    step = lambda acc, ch: F.struct(
+        F.greatest(acc["deepest"], acc["left"] + F.when(ch.isin(*opening), 1).otherwise(0)).alias("deepest"),
+        F.greatest(acc["left"] + F.when(ch.isin(*opening), 1).when(ch.isin(*closing), -1).otherwise(0), F.lit(0)).alias("left"),
+    )
+    # brackets are few, so everything else leaves before the fold
+    marks = F.regexp_replace(c, r"[^()\[\]{}]", "")
+    chars = F.when(F.length(marks) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marks), F.lit(1))), lambda i: F.substring(marks, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.aggregate(chars, F.struct(F.lit(0).alias("deepest"), F.lit(0).alias("left")), step)

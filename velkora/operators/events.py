@@ -73,3 +73,17 @@ def rule_attribution(events: DataFrame, causes: DataFrame) -> DataFrame:
     one = causes.join(cause, ["trace_id", "cause"]).groupBy("trace_id", "event_id").agg(F.min("by").alias("by"))
     out = events.join(one, ["trace_id", "event_id"], "left")
     return out.groupBy("action", F.when(F.col("by").isNull(), F.lit("seed")).otherwise(F.concat_ws(" → ", "by", "action")).alias("inferred")).agg(F.count("*").alias("n"))
+
+
+def reservoir(adds: DataFrame, uses: DataFrame, last: DataFrame, max_age: int) -> DataFrame:
+    """(trace_id, item, pos, age): items still held at the end of each trace.
+
+    ``adds`` and ``uses`` are (trace_id, item, pos); an item is held from its last addition,
+    leaves with a later use, and is evicted when older than ``max_age`` positions.
+    """
+    a = adds.groupBy("trace_id", "item").agg(F.max("pos").alias("pos"))
+    u = uses.groupBy("trace_id", "item").agg(F.max("pos").alias("used"))
+    end = last.groupBy("trace_id").agg(F.max("pos").alias("end"))
+    j = a.join(u, ["trace_id", "item"], "left").join(end, "trace_id")
+    age = F.col("end") - F.col("pos")
+    return j.where((F.col("used").isNull() | (F.col("used") < F.col("pos"))) & (age <= max_age)).select("trace_id", "item", "pos", age.alias("age"))

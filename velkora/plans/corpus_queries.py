@@ -175,12 +175,13 @@ def chat_source_cap(spark: SparkSession, d: str) -> DataFrame:
     return sampling.capped(c, ["role"], ["conv_id", "turn", F.col("text").asc_nulls_last()], 200)
 
 
-@query("""SELECT q.item_id, d.doc_id FROM factual_qa q JOIN documents d ON d.source = 'factoids' AND length(q.answer[1]) >= 6 AND contains(lower(d.text), lower(q.answer[1]))""")
+@query("""SELECT q.item_id, count(d.doc_id) AS n_docs FROM (SELECT item_id, lower(answer[1]) AS a FROM factual_qa WHERE length(answer[1]) > 0) q LEFT JOIN documents d ON contains(lower(d.text), q.a) GROUP BY 1""")
 def answer_check(spark: SparkSession, d: str) -> DataFrame:
-    # answers are short fixed items (size checked), so each fact text is tested once against the automaton of all
-    q = table(spark, d, "factual_qa").select("item_id", F.get("answer", F.lit(0)).alias("a")).where(F.length("a") >= 6)
-    t = table(spark, d, "documents").where("source = 'factoids'").select("doc_id", "text")
-    return similarity.containing(t, "doc_id", "text", q, "item_id", "a")
+    # the answers are one fixed table (size checked): each text is run once through the automaton of all
+    q = table(spark, d, "factual_qa").select("item_id", F.get("answer", F.lit(0)).alias("a")).where(F.length("a") > 0)
+    hits = similarity.containing(table(spark, d, "documents"), "doc_id", "text", q, "item_id", "a")
+    n = hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return q.join(n, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query("""SELECT item_id, try_cast(coalesce(nullif(regexp_extract(question, '####\\s*(-?[0-9]+(?:\\.[0-9]+)?)', 1), ''),

@@ -185,10 +185,10 @@ def label_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return i.select("item_id", F.coalesce(T.labels(F.col("m"), "eo", "en"), "item_id").alias("label"))
 
 
-@query("SELECT entity_id, property_id, CAST(row_number() OVER (PARTITION BY entity_id, property_id ORDER BY pos, value) - 1 AS INTEGER) AS pos, property, value, datatype FROM (SELECT DISTINCT entity_id, pos, property, property_id, value, datatype FROM fact_claims WHERE property IS NOT NULL AND property_id = 'P2')")
+@query("SELECT entity_id, property_id, CAST(row_number() OVER (PARTITION BY entity_id, property_id ORDER BY pos, value NULLS FIRST, property, datatype) - 1 AS INTEGER) AS pos, property, value, datatype FROM (SELECT DISTINCT entity_id, pos, property, property_id, value, datatype FROM fact_claims WHERE property IS NOT NULL AND property_id IS NOT NULL)")
 def nested_claims(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "fact_claims").where("property is not null and property_id = 'P2'").select("entity_id", "pos", "property", "property_id", "value", "datatype").distinct()
+    c = table(spark, d, "fact_claims").where("property is not null and property_id is not null").select("entity_id", "pos", "property", "property_id", "value", "datatype").distinct()
     g = c.groupBy("entity_id", "property_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "property", "datatype"))).alias("x"))
     g = g.withColumn("x", F.transform("x", lambda x: F.struct(F.create_map(F.lit("eo"), x["property"]).alias("label"), x["value"].alias("value"), x["datatype"].alias("datatype"))))
-    js = g.select("entity_id", F.to_json(F.create_map(F.col("property_id"), F.col("x"))).alias("claims"))
+    js = g.groupBy("entity_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("property_id", "x")))).alias("claims"))
     return T.flatten_claims(js, "claims", "entity_id").select("entity_id", "property_id", "pos", "property", "value", "datatype")

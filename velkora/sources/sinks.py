@@ -47,3 +47,18 @@ def append_missing(df: DataFrame, path: str, key: str) -> None:
     if fs.exists(target):
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new.write.mode("append").parquet(path)
+
+
+def merge_small(df: DataFrame, path: str, key: str) -> None:
+    """Upsert into a small table of results (read, replace by key, write beside, swap)."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "_next")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = df.dropDuplicates([key])
+    if fs.exists(target):
+        old = spark.read.parquet(path)
+        out = out.unionByName(old.join(out.select(key), key, "left_anti"), allowMissingColumns=True)
+    out.write.mode("overwrite").parquet(str(fresh))
+    fs.delete(target, True)
+    fs.rename(fresh, target)
