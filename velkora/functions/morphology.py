@@ -109,3 +109,35 @@ def decomposed(words: DataFrame, col: str = "word", d: Dictionary = Dictionary()
             yield pd.DataFrame({col: b[col], "morphemes": m, "kinds": [[kind(x, d) for x in y] for y in m], "known": [known_stem(w, d) for w in b[col]]})
 
     return words.select(col).where(F.col(col).isNotNull()).distinct().mapInPandas(run, f"{col} string, morphemes array<string>, kinds array<string>, known boolean")
+
+
+def word_facts(words: DataFrame, col: str = "word", d: Dictionary = Dictionary()) -> DataFrame:
+    """(word, known, root_pieces, content): of distinct words, for quality rates.
+
+    ``root_pieces`` is the least number of roots a known stem needs (0 where unknown);
+    ``content`` is false for closed-class words and numbers."""
+
+    def run(batches):
+        for b in batches:
+            pieces, known, content = [], [], []
+            for w in b[col]:
+                low = w.lower()
+                c = not closed_class(low) and low.isalpha()
+                p = split_stem(split_ending(low)[0], d) if c else None
+                pieces.append(sum(1 for m in p if m in d.roots and m not in d.prefixes and m not in d.suffixes) if p else 0)
+                known.append(p is not None or not c)
+                content.append(c)
+            yield pd.DataFrame({col: b[col], "known": known, "root_pieces": pieces, "content": content})
+
+    return words.select(col).where(F.col(col).isNotNull()).distinct().mapInPandas(run, f"{col} string, known boolean, root_pieces int, content boolean")
+
+
+def unknown_rates(words: DataFrame, key: str, d: Dictionary = Dictionary()) -> DataFrame:
+    """(key, n_content, unknown_rate, n_long): shares over (key, word) rows.
+
+    Each distinct word is analysed once; counts join back before they are added up."""
+    n = words.groupBy(key, "word").agg(F.count("*").alias("n"))
+    f = word_facts(n, "word", d)
+    j = n.join(f, "word").where("content")
+    g = j.groupBy(key).agg(F.sum("n").alias("n_content"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("u"), F.sum(F.when(F.col("root_pieces") > d.max_roots, F.col("n")).otherwise(0)).alias("n_long"))
+    return g.select(key, "n_content", F.round(F.col("u") / F.col("n_content"), 6).alias("unknown_rate"), "n_long")

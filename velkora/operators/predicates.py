@@ -148,3 +148,25 @@ def compare_values(left: Column, op: str, right: Column, strict: bool = True) ->
     """Numeric comparison of texts; a missing side fails (strict) or passes."""
     c = OPS[op](left.try_cast("double"), right.try_cast("double"))
     return F.coalesce(c, F.lit(not strict))
+
+
+def allowed_effects(effects: DataFrame, entities: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Relation effects (trace_id, relation, a0, a1) none of whose arguments has a forbidden type.
+
+    ``forbidden`` is (relation, pos, etype), a small dimension."""
+    e = entities.select("trace_id", "eid", "etype")
+    out = effects
+    for pos, col in ((0, "a0"), (1, "a1")):
+        f = forbidden.where(F.col("pos") == pos).select("relation", "etype")
+        bad = e.join(f, "etype").select("trace_id", F.col("eid").alias(col), "relation").distinct()
+        out = out.join(bad, ["trace_id", col, "relation"], "left_anti")
+    return out.select("trace_id", "relation", "a0", "a1")
+
+
+def reachable_goals(goals: DataFrame, roles: DataFrame, closure: DataFrame) -> DataFrame:
+    """Goals (trace_id, relation, a0type, a1type) that some producer's role types allow.
+
+    ``roles`` is (relation, t0, t1) of producers; ``closure`` is (type, ancestor), reflexive."""
+    up = closure.select("type", "ancestor")
+    g = goals.join(up.select(F.col("type").alias("a0type"), F.col("ancestor").alias("t0")), "a0type").join(up.select(F.col("type").alias("a1type"), F.col("ancestor").alias("t1")), "a1type")
+    return g.join(roles, ["relation", "t0", "t1"]).select(*goals.columns).distinct()

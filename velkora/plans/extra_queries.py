@@ -97,3 +97,59 @@ def result_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 __all__ = ["IN", "TEMPLATES"]
+
+
+@query("""WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    s = live.read_stream(spark, f"{d}/events.parquet")
+    return live.finished(live.windows(s, "ts", "2 days", ["event_type"], slide="1 day", late="60 days"), "complete")
+
+
+FORBIDDEN = [("en", 1, "person"), ("havi", 0, "location"), ("portas", 0, "artifact")]
+
+
+@query("""WITH rel AS (SELECT DISTINCT trace_id, relation, args[1] AS a0, args[2] AS a1 FROM trace_relations), f(relation, pos, etype) AS (VALUES ('en',1,'person'),('havi',0,'location'),('portas',0,'artifact'))
+SELECT trace_id, relation, a0, a1 FROM rel r WHERE NOT EXISTS (SELECT 1 FROM f JOIN trace_entities e ON e.entity_type = f.etype WHERE f.relation = r.relation AND e.trace_id = r.trace_id AND e.eid = CASE WHEN f.pos = 0 THEN r.a0 ELSE r.a1 END)""")
+def forbidden_effects(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import predicates
+
+    s = state(spark, d)
+    f = spark.createDataFrame(FORBIDDEN, "relation string, pos int, etype string")
+    return predicates.allowed_effects(s.relations, s.entities, f)
+
+
+@query("""WITH rel AS (SELECT DISTINCT trace_id, relation, args[1] AS a0, args[2] AS a1 FROM trace_relations), up(type, ancestor) AS (VALUES ('physical','physical'),('inanimate','inanimate'),('artifact','artifact'),('person','person'),('location','location'),('inanimate','physical'),('artifact','inanimate'),('artifact','physical'),('person','physical')),
+ro(relation, t0, t1) AS (VALUES ('en','physical','location'),('havi','person','inanimate'),('portas','person','physical')), g AS (SELECT DISTINCT r.relation, p.entity_type AS a0type, q.entity_type AS a1type FROM rel r JOIN trace_entities p ON p.trace_id = r.trace_id AND p.eid = r.a0 JOIN trace_entities q ON q.trace_id = r.trace_id AND q.eid = r.a1 WHERE p.entity_type IS NOT NULL AND q.entity_type IS NOT NULL)
+SELECT DISTINCT g.relation, a0type, a1type FROM g JOIN up x ON x.type = a0type JOIN up y ON y.type = a1type JOIN ro ON ro.relation = g.relation AND ro.t0 = x.ancestor AND ro.t1 = y.ancestor""")
+def producer_reachability(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import predicates
+    from ..operators.closure import closure
+    from .trace_queries import TYPES
+
+    s = state(spark, d)
+    t = s.entities.where("etype is not null").select("trace_id", "eid", "etype")
+    g = s.relations.join(t.select("trace_id", F.col("eid").alias("a0"), F.col("etype").alias("a0type")), ["trace_id", "a0"]).join(t.select("trace_id", F.col("eid").alias("a1"), F.col("etype").alias("a1type")), ["trace_id", "a1"])
+    up = closure(spark.createDataFrame([(c, p) for c, p in TYPES.items() if p], "src string, dst string")).select(F.col("src").alias("type"), F.col("dst").alias("ancestor"))
+    up = up.unionByName(spark.createDataFrame([(c, c) for c in TYPES], "type string, ancestor string"))
+    roles = spark.createDataFrame([("en", "physical", "location"), ("havi", "person", "inanimate"), ("portas", "person", "physical")], "relation string, t0 string, t1 string")
+    return predicates.reachable_goals(g.select("relation", "a0type", "a1type").distinct(), roles, up)
+
+
+@query()
+def unknown_word_rate(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import morphology
+
+    w = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(X.letter_words(F.col("text"))).alias("word"))
+    return morphology.unknown_rates(w, "doc_id")
+
+
+@query("""WITH p AS (SELECT e.trace_id, e.event_id, e.action, c.cause FROM (SELECT DISTINCT trace_id, event_id, action, unnest(caused_by) AS cause FROM trace_events) c JOIN (SELECT DISTINCT trace_id, event_id, action FROM trace_events) e USING (trace_id, event_id)),
+n AS (SELECT f.action AS producer, p.action AS consumer, count(*) AS n FROM p JOIN (SELECT DISTINCT trace_id, event_id, action FROM trace_events) f ON f.trace_id = p.trace_id AND f.event_id = p.cause GROUP BY 1, 2) SELECT producer, consumer, n, CAST(rank() OVER (PARTITION BY producer ORDER BY n DESC) AS INTEGER) AS place FROM n""")
+def consumer_index(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    s = state(spark, d)
+    e = s.events.select("trace_id", "event_id", "action").distinct()
+    c = s.causes.distinct().join(e.withColumnRenamed("action", "consumer"), ["trace_id", "event_id"])
+    n = c.join(e.select("trace_id", F.col("event_id").alias("cause"), F.col("action").alias("producer")), ["trace_id", "cause"]).groupBy("producer", "consumer").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.rank().over(W.partitionBy("producer").orderBy(F.desc("n"))))
