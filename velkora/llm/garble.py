@@ -40,7 +40,8 @@ FREQUENT = frozenset("ĉĝĥĵŝŭáéíóúñäöüßàèêçąćęłńśżźĈ
 SINGLE_BYTE = ("iso8859_3", "cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso8859_15", "mac_roman", "cp437", "cp850", "cp852")
 READ_AS = ("cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso8859_3", "iso8859_15", "cp1251", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r")
 _NO_INK = frozenset("­​‌‍⁠﻿")
-_LIKE = frozenset("аеорсухіјѕАВЕКМНОРСТХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ")
+#: Look-alikes of Latin letters, and small forms of such capitals (disguised, then lowered).
+_LIKE = frozenset("аеорсухіјѕАВЕКМНОРСТХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ" "вкмнтζηικτυχ")
 LOST, NBSP = "�", "\xa0"
 
 
