@@ -185,7 +185,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     for end, (k, v) in automaton().iter_long(text):
         s = end - len(k) + 1
         if len(k) > 1:
-            if k[-1] in _NO_INK or k[0] in _LIKE:
+            if k[-1] in _NO_INK or k[0] in _LIKE and len(k) == 2:
                 # may also be a sound letter before a scattered no-ink character
                 if soft < 0:
                     soft = int(sum(text.count(x) for x in _NO_INK) > 2 * sum(text.count(q) for q in patterns()[0] if q[-1] in _NO_INK and q in text))
