@@ -9,11 +9,11 @@ from ..functions import grammar, morphology
 from ..functions.text import letter_words
 from ..operators import sampling
 from ..operators.state import Catalog, load_state
-from ..sources import corpora, sinks
+from ..sources import sinks
 from ..streaming import live
 from . import planner, realize
 from .queries import query, table
-from .trace_queries import CATALOG, EV, LIVE, REL, ROLES, state
+from .trace_queries import EV, LIVE, REL, ROLES, state
 
 TAKE = planner.Action("preni", {"agent": "person", "theme": "artifact", "place": "location"}, pre=(("en", "theme", "place"),), add=(("havas", "agent", "theme"),), delete=(("en", "theme", "place"),))
 PUT = planner.Action("meti", {"agent": "person", "theme": "artifact", "place": "location"}, pre=(("havas", "agent", "theme"),), add=(("en", "theme", "place"),), delete=(("havas", "agent", "theme"),))
@@ -199,6 +199,3 @@ def resume_append_sink(spark: SparkSession, d: str) -> DataFrame:
     sinks.append_missing(t.where("score is null") if "score" in t.columns else t, path, "doc_id")
     sinks.append_missing(t, path, "doc_id")
     return spark.read.parquet(path).select("doc_id")
-
-
-__all__ = ["CATALOG", "corpora"]

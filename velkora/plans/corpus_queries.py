@@ -15,7 +15,6 @@ L = T.LETTERS
 TOK = f"regexp_extract_all(text, '[{L}]+|[0-9]+|[^\\s{L}0-9]')"
 WS = "list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda t: t <> '')"
 LW = f"regexp_extract_all(lower(text), '[{L}]+')"
-# blanks of Java's \\s only, as Spark's regular expressions see them
 DOCS = "docs AS (SELECT doc_id, text, source FROM documents WHERE text IS NOT NULL)"
 
 
@@ -135,9 +134,6 @@ def accusative_phrase(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.accusative(F.array_join(F.slice(T.letter_words(F.col("text")), 1, 6), " ")).alias("phrase"))
 
 
-_N = "(CASE n{0} WHEN 0 THEN NULL ELSE {1} END)"
-
-
 @query("""WITH u(k, w) AS (VALUES (1,'unu'),(2,'du'),(3,'tri'),(4,'kvar'),(5,'kvin'),(6,'ses'),(7,'sep'),(8,'ok'),(9,'naŭ')), n AS (SELECT DISTINCT l_partkey % 1000 AS n FROM lineitem)
 SELECT n, CASE WHEN n = 0 THEN 'nul' ELSE concat_ws(' ', CASE n // 100 WHEN 0 THEN NULL WHEN 1 THEN 'cent' ELSE (SELECT w FROM u WHERE k = n // 100) || 'cent' END,
  CASE (n % 100) // 10 WHEN 0 THEN NULL WHEN 1 THEN 'dek' ELSE (SELECT w FROM u WHERE k = (n % 100) // 10) || 'dek' END, (SELECT w FROM u WHERE k = n % 10)) END AS words FROM n""")
@@ -146,7 +142,7 @@ def number_words(spark: SparkSession, d: str) -> DataFrame:
     return n.select("n", T.number_words(F.col("n")).alias("words"))
 
 
-@query("SELECT o_orderkey, replace(replace(replace(replace(printf('%,.0f', o_totalprice), ',', ' '), '.', ''), '  ', ' '), 'x', 'x') AS price FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders)".replace("printf('%,.0f', o_totalprice)", "regexp_replace(CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), '(\\d)(\\d{3})$', '\\1 \\2')"))
+@query("SELECT o_orderkey, regexp_replace(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), '(\\d)(\\d{3})$', '\\1 \\2') AS price FROM orders")
 def thousands_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", T.thousands(F.floor("o_totalprice")).alias("price"))
 
@@ -185,7 +181,7 @@ def answer_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT item_id, try_cast(coalesce(nullif(regexp_extract(question, '####\\s*(-?[0-9]+(?:\\.[0-9]+)?)', 1), ''),
- list_last(regexp_extract_all(lower(question), '(?:respondo estas|answer is|estas)\\s*(-?[0-9]+(?:\\.[0-9]+)?)', 1)), list_last(regexp_extract_all(question, '(-?[0-9]+(?:\\.[0-9]+)?)', 1))) AS DOUBLE) AS answer FROM factual_qa""".replace("list_last(", "list_extract(").replace(", 1)), list_extract", ", 1), -1), list_extract").replace("', 1))) AS", "', 1), -1)) AS"))
+ list_extract(regexp_extract_all(lower(question), '(?:respondo estas|answer is|estas)\\s*(-?[0-9]+(?:\\.[0-9]+)?)', 1), -1), list_extract(regexp_extract_all(question, '(-?[0-9]+(?:\\.[0-9]+)?)', 1), -1)) AS DOUBLE) AS answer FROM factual_qa""")
 def math_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "factual_qa").select("item_id", T.numeric_answer(F.col("question")).alias("answer"))
 

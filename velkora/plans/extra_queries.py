@@ -11,7 +11,7 @@ from ..operators import events as ev
 from ..operators import similarity
 from ..sources import sinks
 from ..streaming import live
-from .fact_queries import CL, IN, RANKED, TEMPLATES, TV, U, USABLE, ok, templates
+from .fact_queries import CL, RANKED, TV, U, USABLE, ok, templates
 from .queries import query, table
 from .trace_queries import EV, LIVE, ROLES, state
 
@@ -96,9 +96,6 @@ def result_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-__all__ = ["IN", "TEMPLATES"]
-
-
 @query("""WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     s = live.read_stream(spark, f"{d}/events.parquet")

@@ -489,7 +489,7 @@ def chain_counts(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumn("nxt", F.lead("action").over(w)).where("nxt is not null").groupBy("action", "nxt").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {EV}, s AS (SELECT trace_id, pos, event_id, count(DISTINCT action) OVER () AS total, array_length(list_distinct(list(action) OVER (PARTITION BY trace_id ORDER BY pos, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))) AS recent FROM (SELECT trace_id, pos, event_id, action FROM ev)) SELECT trace_id, pos, event_id, coalesce(recent, 0)::INTEGER AS recent FROM s""".replace("count(DISTINCT action) OVER () AS total, ", ""))
+@query(f"""WITH {EV}, s AS (SELECT trace_id, pos, event_id, array_length(list_distinct(list(action) OVER (PARTITION BY trace_id ORDER BY pos, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))) AS recent FROM ev) SELECT trace_id, pos, event_id, coalesce(recent, 0)::INTEGER AS recent FROM s""")
 def recency_window(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "trace_events").dropDuplicates(["trace_id", "event_id", "pos"])
     w = W.partitionBy("trace_id").orderBy("pos", "event_id").rowsBetween(-3, -1)
