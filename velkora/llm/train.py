@@ -47,6 +47,24 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return np.stack([x[near == j].mean(0) for j in range(len(c)) if (near == j).sum() >= 3])
 
 
+def _kind(p: np.ndarray, is_prose: bool) -> str:
+    """A readable name of a profile, by its plainest trait."""
+    char, word, head, tail, count = (p[a:b] for a, b in zip(prose.GROUPS, prose.GROUPS[1:], strict=False))
+    if is_prose:
+        return "dialogue" if head[3] > 0.5 else "prose" if tail[0] > 0.5 else "wrapped prose" if head[1] > 0.4 else "verse"
+    if char[8] > 0.3:
+        return "symbols"
+    if word[5] > 0.3:
+        return "noise"
+    if word[4] > 0.3:
+        return "code or log"
+    if char[7] > 0.12 or word[3] > 0.4:
+        return "table"
+    if head[2] + head[3] + head[4] > 0.5 or count[:3].sum() > 0.6:
+        return "list"
+    return "keywords"
+
+
 def profiles(folder: str) -> None:
     """Profiles of lines of clearly prosaic and clearly other documents.
 
@@ -74,7 +92,7 @@ def profiles(folder: str) -> None:
     pick = lambda m, k: m[rng.choice(len(m), k, p=m[:, -1] / m[:, -1].sum())][:, :-1]
     cg, cb = _centres(pick(g, 40_000), 40, rng), _centres(pick(b, 40_000), 80, rng)
     MODELS.mkdir(exist_ok=True)
-    names = [f"prose_{i}" for i in range(len(cg))] + [f"other_{i}" for i in range(len(cb))]
+    names = [_kind(p, True) for p in cg] + [_kind(p, False) for p in cb]
     np.savez_compressed(prose.MODEL, profiles=np.concatenate([cg, cb]).astype(np.float32), prose=np.array([1] * len(cg) + [0] * len(cb), np.int8), names=np.array(names))
     print(len(g), "lines of prose,", len(b), "others")
 
@@ -167,7 +185,6 @@ def languages(folder: str, epochs: int = 6, reg: float = 1e-5) -> None:
         of[L.LANGUAGES.index(lang)] = np.unique(C.word_hashes(C.lower_table()[c], *C.words(c, o)[:2]))
     opening = C.word_hashes(*(lambda c, o: (c, *C.words(c, o)[:2]))(*C.decode(pa.array(["lorem ipsum"]))))
     fw = _common(folder)
-    rows_w, rows_t, ys, base, vocab = [], [], [], 0, {}
     data = []
     for lo in range(0, len(texts), 1000):
         c, o = prose.clean(texts.slice(lo, 1000))
