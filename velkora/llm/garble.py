@@ -182,8 +182,14 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         return []
     out: list[tuple[int, int, str]] = []
     soft = -1
-    for end, (k, v) in automaton().iter_long(text):
-        s = end - len(k) + 1
+    # leftmost, then longest of all matches
+    found = sorted((end - len(k) + 1, -len(k), k, v) for end, (k, v) in automaton().iter(text))
+    at = 0
+    for s, _, k, v in found:
+        if s < at:
+            continue
+        end = s + len(k) - 1
+        at = end + 1
         if len(k) > 1:
             if k[-1] in _NO_INK or k[0] in _LIKE and len(k) == 2:
                 # may also be a sound letter before a scattered no-ink character
@@ -194,10 +200,9 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             out.append((s, end + 1, v))
         elif _single_hit(text, s):
             out.append((s, end + 1, ""))
-    for i in _inner_capitals(text):
-        out.append((i, i + 1, ""))
-    out += _capital_words(text)
-    return sorted(set(out))
+    taken = {i for s, e, _ in out for i in range(s, e)}
+    more = {(i, i + 1, "") for i in _inner_capitals(text)} | set(_capital_words(text))
+    return sorted(set(out) | {x for x in more if x[0] not in taken})
 
 
 @functools.lru_cache(maxsize=1)
@@ -240,6 +245,26 @@ def _capitals():
     return regex.compile(r"\b\p{Lu}{2,}\b")
 
 
+def _with_neighbours(text: str, found: list[tuple[int, int, str]], best: dict[str, str]) -> list[tuple[int, int, str]]:
+    """The spans and, in lines that hold lone hits, the other characters of the same pair:
+    letters that stand for letters, and marks between two letters."""
+    taken = {i for s, e, _ in found for i in range(s, e)}
+    letter = lambda j: 0 <= j < len(text) and (text[j].isalpha() or not text[j].isspace() and best.get(text[j], " ").isalpha())
+    more, at = [], 0
+    for line in text.splitlines(keepends=True):
+        if any(not v and at <= s < at + len(line) for s, _, v in found):
+            for i, c in enumerate(line, at):
+                if i in taken or c not in best or c in "?" + LOST or not best[c].isalpha():
+                    continue
+                inside = letter(i - 1) and letter(i + 1)
+                opens = c in "”€—–" and not letter(i - 1) and text[i + 1 : i + 2].islower()
+                closes = c in "—–„‡†" and i and text[i - 1].isalpha() and text[i + 1 : i + 2] in (" ", ",", ".", "\n", "")
+                if c.isalpha() or inside or opens or closes:
+                    more.append((i, i + 1, ""))
+        at += len(line)
+    return sorted(found + more)
+
+
 def restore(text: str | None) -> tuple[str | None, int, int]:
     """(restored text, garbled spans, spans that stay unrestored).
 
@@ -260,6 +285,8 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
             for enc in patterns()[0][text[s:e]]:
                 votes[enc] = votes.get(enc, 0) + 1
     ranked = sorted(votes, key=lambda enc: (-votes[enc], READ_AS.index(enc)))
+    if best:
+        found = _with_neighbours(text, found, best)
     out, at, left = [], 0, 0
     for s, e, v in found:
         if s < at:
@@ -275,7 +302,7 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
     back = "".join(out)
     if any(v for _, _, v in found):
         for k, v in patterns()[2].items():
-            if k[-1] in _NO_INK and k in back:
+            if k in back and (k[-1] in _NO_INK or all(c in SOUND for c in k)):
                 back = back.replace(k, v)
     if any(len(v) for _, _, v in found) and back != text:
         again, n2, _ = restore(back) if len(back) < len(text) else (back, 0, 0)
