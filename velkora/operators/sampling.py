@@ -35,3 +35,22 @@ def capped(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
 def split_by_hash(key: Column, train_percent: int = 95) -> Column:
     h = F.conv(F.left(F.md5(key.cast("string").cast("binary")), F.lit(7)), 16, 10).cast("long")
     return F.when(h % 100 < train_percent, "train").otherwise("test")
+
+
+def pick(pool: Column, key: Column, draw: str) -> Column:
+    """One element of an array by the hash of a key; null from an empty one."""
+    return F.get(pool, F.floor(uniform(key, draw) * F.size(pool)).cast("int"))
+
+
+def regressed_scenes(goals: DataFrame, producers: DataFrame, pools: DataFrame, key: str = "goal_id") -> DataFrame:
+    """(key, slot, value, verb, agent, theme, place): a scene set up so that a goal can be reached.
+
+    For each goal one producing verb is drawn among its producers (slot, value, verbs), and
+    concepts for its roles from the pools (kind, concepts), all by hashes of the goal's key.
+    Goals nobody can produce have no scene.  Pools and producers are small dimensions.
+    """
+    k = F.col(key)
+    p = {r["kind"]: r["concepts"] for r in pools.collect()}  # a few kinds with their concept lists
+    arr = lambda kind: F.array(*[F.lit(c) for c in p.get(kind, [])]).cast("array<string>")
+    g = goals.join(producers, ["slot", "value"])
+    return g.select(key, "slot", "value", pick(F.col("verbs"), k, "verb").alias("verb"), pick(arr("person"), k, "agent").alias("agent"), pick(arr("artifact"), k, "theme").alias("theme"), pick(arr("location"), k, "place").alias("place"))

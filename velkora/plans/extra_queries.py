@@ -150,3 +150,38 @@ def consumer_index(spark: SparkSession, d: str) -> DataFrame:
     c = s.causes.distinct().join(e.withColumnRenamed("action", "consumer"), ["trace_id", "event_id"])
     n = c.join(e.select("trace_id", F.col("event_id").alias("cause"), F.col("action").alias("producer")), ["trace_id", "cause"]).groupBy("producer", "consumer").agg(F.count("*").alias("n"))
     return n.withColumn("place", F.rank().over(W.partitionBy("producer").orderBy(F.desc("n"))))
+
+
+def _u(key: str, draw: str, n: str) -> str:
+    return f"CAST(floor(((('0x' || left(md5(CAST({key} AS VARCHAR) || '{draw}'), 8))::BIGINT + 0.5) / 4294967296.0) * {n}) AS INTEGER) + 1"
+
+
+@query(f"""WITH eff(slot, value, verbs) AS (VALUES ('integrity','rompita',['fali','rompi']),('temperature','malvarma',['lavi']),('koloro','ruĝa',['pentri'])),
+g AS (SELECT trace_id AS goal_id, ['integrity','temperature'][(trace_id % 2 + 1)::INTEGER] AS slot, ['rompita','malvarma'][(trace_id % 2 + 1)::INTEGER] AS value FROM (SELECT DISTINCT trace_id FROM trace_entities)),
+pl AS (SELECT entity_type AS kind, list(DISTINCT concept ORDER BY concept) AS cs FROM trace_entities WHERE entity_type IN ('person','artifact','location') GROUP BY 1), a AS (SELECT cs FROM pl WHERE kind = 'person'), t AS (SELECT cs FROM pl WHERE kind = 'artifact'), l AS (SELECT cs FROM pl WHERE kind = 'location')
+SELECT goal_id, slot, value, verbs[{_u('goal_id', 'verb', 'len(verbs)')}] AS verb, a.cs[{_u('goal_id', 'agent', 'len(a.cs)')}] AS agent, t.cs[{_u('goal_id', 'theme', 'len(t.cs)')}] AS theme, l.cs[{_u('goal_id', 'place', 'len(l.cs)')}] AS place FROM g JOIN eff USING (slot, value), a, t, l""")
+def goal_regression(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import catalog, sampling
+    from .more_queries import effects
+
+    e = table(spark, d, "trace_entities")
+    # concepts are a catalog: each pool is a short fixed list
+    pools = e.where("entity_type in ('person', 'artifact', 'location')").groupBy(F.col("entity_type").alias("kind")).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    even = F.col("trace_id") % 2 == 0
+    goals = e.select("trace_id").distinct().select(F.col("trace_id").alias("goal_id"), F.when(even, "integrity").otherwise("temperature").alias("slot"), F.when(even, "rompita").otherwise("malvarma").alias("value"))
+    return sampling.regressed_scenes(goals, catalog.producers(effects(spark)), pools)
+
+
+_NAME = "'la ' || regexp_replace({0}, '[0-9]+$', '')"
+_ACC = "CASE WHEN regexp_matches(regexp_replace({0}, '[0-9]+$', ''), '(o|a|oj|aj)$') AND regexp_replace({0}, '[0-9]+$', '') <> 'la' THEN 'n' ELSE '' END"
+
+
+@query(f"""WITH {EV}, s AS (SELECT trace_id, event_id, pos, action, caused_by, coalesce(roles['agent'], 'io') AS agent, roles['theme'] AS theme FROM ev),
+c AS (SELECT DISTINCT trace_id, event_id, unnest(caused_by) AS cause FROM s), w AS (SELECT c.trace_id, c.event_id, arg_min({_NAME.format('x.agent')} || ' ' || regexp_replace(x.action, 'i$', 'is'), (x.pos, c.cause)) AS said FROM c JOIN s x ON x.trace_id = c.trace_id AND x.event_id = c.cause GROUP BY 1, 2), p AS (SELECT DISTINCT trace_id, pos FROM ev)
+SELECT s.trace_id, s.pos, 'event' AS kind, s.event_id AS subject, 'La ' || regexp_replace(agent, '[0-9]+$', '') || ' ' || regexp_replace(action, 'i$', 'is') || CASE WHEN theme IS NOT NULL THEN ' ' || {_NAME.format('theme')} || {_ACC.format('theme')} ELSE '' END || coalesce(', ĉar ' || said, '') || '.' AS text FROM s LEFT JOIN w USING (trace_id, event_id)
+UNION ALL SELECT e.trace_id, e.created_at, 'appears', e.eid, 'La ' || regexp_replace(e.eid, '[0-9]+$', '') || ' aperis.' FROM trace_entities e JOIN p ON p.trace_id = e.trace_id AND p.pos = e.created_at
+UNION ALL SELECT e.trace_id, e.destroyed_at, 'vanishes', e.eid, 'La ' || regexp_replace(e.eid, '[0-9]+$', '') || ' malaperis.' FROM trace_entities e JOIN p ON p.trace_id = e.trace_id AND p.pos = e.destroyed_at""")
+def realize_messages(spark: SparkSession, d: str) -> DataFrame:
+    from . import realize
+
+    return realize.messages(state(spark, d))

@@ -40,3 +40,18 @@ def prose(state: TraceState) -> DataFrame:
     b = events_text(state).select("trace_id", F.lit(1).alias("part"), F.col("island").alias("k"), F.lit("").alias("seq"), "text")
     g = a.unionByName(b).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("part", "k", "seq", "text"))).alias("x"))
     return g.select("trace_id", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
+
+
+def messages(state: TraceState) -> DataFrame:
+    """(trace_id, pos, kind, subject, text): events with their first cause, and entities that
+    appear or vanish at an event's position."""
+    roles = state.roles.groupBy("trace_id", "event_id").agg(F.max(F.when(F.col("role") == "agent", F.col("value"))).alias("agent"), F.max(F.when(F.col("role") == "theme", F.col("value"))).alias("theme"))
+    e = state.events.join(roles, ["trace_id", "event_id"], "left").withColumn("agent", F.coalesce("agent", F.lit("io")))
+    told = e.select("trace_id", F.col("event_id").alias("cause"), F.col("pos").alias("cpos"), F.concat_ws(" ", name(F.col("agent")), tense(F.col("action"), "is")).alias("said"))
+    why = state.causes.distinct().join(told, ["trace_id", "cause"]).groupBy("trace_id", "event_id").agg(F.min_by("said", F.struct("cpos", "cause")).alias("said"))
+    text = F.concat_ws(" ", capitalise_first(name(F.col("agent"))), tense(F.col("action"), "is"), F.when(F.col("theme").isNotNull(), accusative(name(F.col("theme")))))
+    ev = e.join(why, ["trace_id", "event_id"], "left").select("trace_id", "pos", F.lit("event").alias("kind"), F.col("event_id").alias("subject"), F.concat(text, F.coalesce(F.concat(F.lit(", ĉar "), F.col("said")), F.lit("")), F.lit(".")).alias("text"))
+    at = state.events.select("trace_id", "pos").distinct()
+    life = lambda col, kind, verb: state.entities.where(F.col(col).isNotNull()).select("trace_id", F.col(col).alias("pos"), F.lit(kind).alias("kind"), F.col("eid").alias("subject"), F.concat(capitalise_first(name(F.col("eid"))), F.lit(f" {verb}.")).alias("text")).join(at, ["trace_id", "pos"], "left_semi")
+    cols = ["trace_id", "pos", "kind", "subject", "text"]
+    return ev.select(*cols).unionByName(life("created_at", "appears", "aperis").select(*cols)).unionByName(life("destroyed_at", "vanishes", "malaperis").select(*cols))
