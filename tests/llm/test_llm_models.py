@@ -81,6 +81,22 @@ def test_language_runs(spark, common):
     assert got == {(2, "eo"), (3, "eo"), (3, "en"), (5, "en")}
 
 
+def test_a_sure_sentence_of_the_related_language_stands(spark, common):
+    en = "The old captain measured the broken clock behind the mill. Nobody lost the key to the cellar. My sister bought three green apples at the market before the rain began."
+    fr = "La petite fille cherche son chapeau dans le jardin de sa grand-mère. Nous avons mangé du pain avec les voisins hier soir. Les oiseaux chantent sous la pluie et personne ne les écoute."
+    de = "Der alte Lehrer öffnete gestern langsam die schwere Tür des Hauses."
+    two = "Der alte Lehrer öffnete die Tür. Er hatte den Schlüssel verloren."
+    es = "El viejo pescador perdió ayer las llaves de su casa junto al río."
+    eo = "La malnova kapitano rakontis longan historion pri la insulo. La infanoj aŭskultis lin. Ŝi aĉetis tri verdajn pomojn en la vendejo."
+    hat = "„Draseldormelio feliĉe purigas la pilkon,“ diris la tajloro."
+    rows = [(1, f"{en} {de} {en}", "en"), (2, f"{fr} {es} {fr}", "fr"), (3, f"{en} {two} {en}", "en"), (4, f"{eo} {hat} {eo}", "eo")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang) for r in languages.mislabelled(df, common).collect()}
+    assert got == {(1, "en"), (1, "de"), (2, "fr"), (2, "es"), (3, "en"), (3, "de")}
+    runs = [(r.seq, r.lang) for r in sorted(languages.segments(df.where("doc_id = 1")).collect(), key=lambda r: r.seq)]
+    assert runs == [(0, "en"), (1, "de"), (2, "en")]
+
+
 def test_language_accuracy_on_labelled_documents(spark, common):
     """Documents of sf0.01 whose label is one of the seven: most labels are right."""
     df = spark.read.parquet(f"{SF}/documents.parquet")

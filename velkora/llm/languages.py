@@ -104,6 +104,9 @@ class Words:
         if len(s):
             self.name = up[s] & ~up[np.minimum(s + 1, e - 1)] & (e - s > 1)
             self.name[self.seg_start] = False
+        # stretches with a letter that Ido does not write
+        hat = np.concatenate([[0], np.cumsum(np.isin(low, np.array([ord(x) for x in "ĉĝĥĵŝŭ"], np.uint32)))])
+        self.hatted = np.bincount(self.seg, weights=(hat[e] > hat[s]) & ~self.name, minlength=len(self.seg_start)) > 0
 
 
 @functools.lru_cache(maxsize=1)
@@ -149,7 +152,8 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     sc = word_scores(w)[w.inv]
     sc[w.name] = 0.0
     acc = np.add.reduceat(sc, w.seg_start, axis=0)
-    lang, margin = decide(acc / w.seg_size[:, None] + bias)
+    mean = acc / w.seg_size[:, None] + bias
+    lang, margin = decide(mean)
     weak = (w.seg_size < SURE_WORDS) | (margin < SURE_MARGIN)
     first = np.ones(len(lang), bool)
     first[1:] = w.seg_row[1:] != w.seg_row[:-1]
@@ -161,7 +165,7 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     nxt = np.minimum.accumulate(nxt_idx[::-1])[::-1]
     ok_next = (nxt < len(lang)) & (w.seg_row[np.minimum(nxt, len(lang) - 1)] == w.seg_row)
     lang = np.where(weak & ok_prev, lang[np.maximum(prev, 0)], np.where(weak & ok_next, lang[np.minimum(nxt, len(lang) - 1)], lang))
-    lang = _pairs_settled(w, lang, margin)
+    lang = _pairs_settled(w, lang, mean)
     new = first.copy()
     new[1:] |= lang[1:] != lang[:-1]
     start = np.flatnonzero(new)
@@ -170,17 +174,25 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return w.seg_row[start], lang[start], size, 1 / (1 + np.exp(-2.0 * conf)), w.seg_start[start]
 
 
-def _pairs_settled(w: Words, lang: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """A short or doubtful stretch of the closely related other language of a document goes
-    to the one that most of the document is in (the two differ in few words)."""
-    for least in (0, 2 * MIN_WORDS):  # doubtful stretches first, then what is left of a few words
-        size = np.zeros((w.n_rows, NONE + 1))
-        np.add.at(size, (w.seg_row, lang), w.seg_size)
-        other = np.array([1, 0, 3, 2, 5, 4, 6, 7])[lang]
-        minor = (size[w.seg_row, other] > size[w.seg_row, lang]) & (other != lang)
-        weak = (margin < PAIR_MARGIN) | (size[w.seg_row, lang] < least)
-        lang = np.where(minor & weak, other, lang)
-    return lang
+def _pairs_settled(w: Words, lang: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """A doubtful stretch of the closely related other language of a document goes to the
+    one that most of the document is in (the two differ in few words).  Doubt is of the
+    pair alone: a stretch stands if its own margin in the machine of the pair reaches
+    ``PAIR_MARGIN``, or that of the run of its language it is part of, however few its words.
+    Words with a letter that Ido does not write leave no margin for Ido."""
+    pair = np.minimum(lang // 2, 2)
+    own = np.where(lang % 2 == 0, 1.0, -1.0) * mean[np.arange(len(lang)), 5 + pair]
+    own = np.where((lang == 1) & w.hatted, np.minimum(own, 0.0), own)
+    new = np.ones(len(lang), bool)
+    new[1:] = (lang[1:] != lang[:-1]) | (w.seg_row[1:] != w.seg_row[:-1])
+    start, run = np.flatnonzero(new), np.cumsum(new) - 1
+    whole = np.add.reduceat(own * w.seg_size, start) / np.add.reduceat(w.seg_size, start)
+    size = np.zeros((w.n_rows, NONE + 1))
+    np.add.at(size, (w.seg_row, lang), w.seg_size)
+    other = np.array([1, 0, 3, 2, 5, 4, 6, 7])[lang]
+    minor = (size[w.seg_row, other] > size[w.seg_row, lang]) & (other != lang)
+    weak = (own < PAIR_MARGIN) & (whole[run] < PAIR_MARGIN)
+    return np.where(minor & weak, other, lang)
 
 
 def held(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
