@@ -118,6 +118,15 @@ def test_planner(spark):
     assert got == {"at|d": (True, 2), "at|z": (False, 0)}
 
 
+def test_accusative_of_all_words(spark, tmp_path):
+    from velkora.plans import corpus_queries as Q
+
+    text = "La ruĝa kato vidis la grandan hundon dum la du birdoj flugis super la malnova domo"
+    spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(Q.accusative_text(spark, str(tmp_path)).collect())
+    assert got == {1: "la ruĝan katon vidis la grandan hundon dum la du birdojn flugis super la malnovan domon", 3: ""}
+
+
 def test_morphology():
     assert morphology.decompose("malgrandaj") == ["mal", "grand", "aj"]
     assert morphology.decompose("bakistino") == ["bak", "ist", "in", "o"]

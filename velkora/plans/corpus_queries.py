@@ -134,6 +134,11 @@ def accusative_phrase(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.accusative(F.array_join(F.slice(T.letter_words(F.col("text")), 1, 6), " ")).alias("phrase"))
 
 
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform({LW}, lambda w: CASE WHEN regexp_matches(w, '(o|a|oj|aj)$') AND w <> 'la' THEN w || 'n' ELSE w END), ' ') AS phrase FROM docs")
+def accusative_text(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", T.accusative(F.array_join(T.letter_words(F.col("text")), " ")).alias("phrase"))
+
+
 @query("""WITH u(k, w) AS (VALUES (1,'unu'),(2,'du'),(3,'tri'),(4,'kvar'),(5,'kvin'),(6,'ses'),(7,'sep'),(8,'ok'),(9,'naŭ')), n AS (SELECT DISTINCT l_partkey % 1000 AS n FROM lineitem)
 SELECT n, CASE WHEN n = 0 THEN 'nul' ELSE concat_ws(' ', CASE n // 100 WHEN 0 THEN NULL WHEN 1 THEN 'cent' ELSE (SELECT w FROM u WHERE k = n // 100) || 'cent' END,
  CASE (n % 100) // 10 WHEN 0 THEN NULL WHEN 1 THEN 'dek' ELSE (SELECT w FROM u WHERE k = (n % 100) // 10) || 'dek' END, (SELECT w FROM u WHERE k = n % 10)) END AS words FROM n""")
