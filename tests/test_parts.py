@@ -127,6 +127,12 @@ def test_accusative_of_all_words(spark, tmp_path):
     assert got == {1: "la ruĝan katon vidis la grandan hundon dum la du birdojn flugis super la malnovan domon", 3: ""}
 
 
+def test_words_of_many_roots_are_known_and_flagged(spark):
+    rows = [(1, "katdomo"), (1, "hundkatdomo"), (1, "hundkatdomarbo"), (1, "hundkatdomarboj"), (1, "qwertoj"), (1, "la"), (2, "hundokatodomoarbofloro")]
+    got = {r.doc_id: (r.n_content, r.unknown_rate, r.n_long) for r in morphology.unknown_rates(spark.createDataFrame(rows, "doc_id long, word string"), "doc_id").collect()}
+    assert got == {1: (5, 0.2, 2), 2: (1, 0.0, 1)}
+
+
 def test_morphology():
     assert morphology.decompose("malgrandaj") == ["mal", "grand", "aj"]
     assert morphology.decompose("bakistino") == ["bak", "ist", "in", "o"]

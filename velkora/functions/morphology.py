@@ -7,7 +7,7 @@ those and join back.  The built-in lists are a small stand-in for a full diction
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,7 +114,8 @@ def decomposed(words: DataFrame, col: str = "word", d: Dictionary = Dictionary()
 def word_facts(words: DataFrame, col: str = "word", d: Dictionary = Dictionary()) -> DataFrame:
     """(word, known, root_pieces, content): of distinct words, for quality rates.
 
-    ``root_pieces`` is the least number of roots a known stem needs (0 where unknown);
+    ``root_pieces`` is the number of roots a known stem needs (0 where unknown), also beyond
+    ``max_roots``: stems that split only so are known, and quality rates flag them;
     ``content`` is false for closed-class words and numbers."""
 
     def run(batches):
@@ -123,7 +124,8 @@ def word_facts(words: DataFrame, col: str = "word", d: Dictionary = Dictionary()
             for w in b[col]:
                 low = w.lower()
                 c = not closed_class(low) and low.isalpha()
-                p = split_stem(split_ending(low)[0], d) if c else None
+                stem = split_ending(low)[0]
+                p = (split_stem(stem, d) or split_stem(stem, replace(d, max_roots=len(stem)))) if c else None
                 pieces.append(sum(1 for m in p if m in d.roots and m not in d.prefixes and m not in d.suffixes) if p else 0)
                 known.append(p is not None or not c)
                 content.append(c)
