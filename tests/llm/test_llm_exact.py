@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from velkora.llm import bpe, forms, garble, leaks, neardup
+from velkora.llm import bpe, forms, garble, leaks, neardup, queries
 from velkora.llm import codepoints as C
 
 WORD = re.compile(r"[^\W_]+")
@@ -61,6 +61,12 @@ def test_looks_alike(spark):
     assert dict(forms.consistent_form(df).collect())[8] is None
 
 
+def test_forms_of_documents_and_questions(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {(t, r[0]): r[1] if r[1] is None else slow_form(r[1]) for t, i, c in (("documents", "doc_id", "text"), ("factual_qa", "item_id", "question")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(i, c).collect()}
+    assert {(r.tbl, r.id): r.form for r in queries.p4_forms(spark, sf).collect()} == want
+
+
 TOKENIZERS = pytest.importorskip("tokenizers")
 
 

@@ -53,6 +53,15 @@ def consistent_form(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_text(src, "t", fn, "id long, form string").select(F.col("id").alias(id_col), "form")
 
 
+def consistent_forms(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(tbl, id, form) of the rows of all tables, given as in ``same_look_pairs``."""
+    parts = [consistent_form(d, i, t).select(F.lit(name).alias("tbl"), F.col(i).alias("id"), "form") for name, (d, i, t) in tables.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows
+
+
 def _fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         raw, roff = C.decode(b.column(1))

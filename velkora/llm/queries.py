@@ -36,15 +36,19 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(members, links)
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return forms.same_look_pairs({
+def _looks(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {
         "documents": (table(spark, d, "documents"), "doc_id", "text"),
         "factual_qa": (table(spark, d, "factual_qa"), "item_id", "question"),
-    })
+    }
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return forms.same_look_pairs(_looks(spark, d))
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
-    return forms.consistent_form(table(spark, d, "documents"))
+    return forms.consistent_forms(_looks(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
