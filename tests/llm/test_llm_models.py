@@ -1,5 +1,6 @@
 """Fitted operators on held-out texts, and odd input for every operator."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,26 @@ def test_prose(spark, common, text, is_prose):
     assert prose.text_statistics(df, common).first().is_prose is is_prose
 
 
+def test_nearest_profile_is_exact():
+    """The nearest of many profiles, also where the Hellinger order is another."""
+    rng = np.random.default_rng(5)
+    n = int(prose.GROUPS[-1])
+    part = lambda k: np.concatenate([rng.dirichlet(np.full(int(m), rng.choice([0.05, 0.3, 1.0])), k) for m in np.diff(prose.GROUPS)], axis=1)
+    x, profiles = part(4000), part(400)
+    assert profiles.shape[1] == n
+    assert (prose.nearest(x, profiles) == prose.divergence(x, profiles).argmin(1)).mean() > 0.9999
+    p, q = rng.random(100_000), rng.random(100_000) ** 8
+    js = prose._entropy((p + q) / 2) - (prose._entropy(p) + prose._entropy(q)) / 2
+    assert (js >= (np.sqrt(p) - np.sqrt(q)) ** 2 / 2 - 1e-12).all()
+
+
+def test_wrapped_lines_follow_to_the_end():
+    ok = np.array([1, 0, 0, 0, 0, 0, 0, 0, 1], bool)
+    link = np.array([1, 1, 1, 1, 1, 0, 1, 1], bool)
+    assert prose._followed(ok, link).tolist() == [True] * 6 + [False] * 2 + [True]
+    assert prose._followed(ok[::-1], link[::-1])[::-1].tolist() == [True] + [False] * 5 + [True] * 3
+
+
 def test_registered_queries_run(spark):
     for name, f in queries.queries().items():
         assert f(spark, "/root/testdata/sf0.001").count() >= 0, name

@@ -160,13 +160,16 @@ def divergence(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Profiles whose divergence is worked out for a line: the nearest in Hellinger distance,
-#: which bounds the Jensen-Shannon divergence from both sides.
+#: Profiles whose divergence is worked out for every line: the nearest in Hellinger distance.
 SHORT_LIST = 6
 
 
 def nearest(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """Index of the nearest profile of each line."""
+    """Index of the nearest profile of each line.
+
+    The Jensen-Shannon divergence (in bits) is at least the squared Hellinger distance;
+    profiles outside the short list that this bound does not prove farther are worked out too.
+    """
     if len(profiles) <= SHORT_LIST:
         return divergence(x, profiles).argmin(1)
     weight = np.sqrt(np.repeat(GROUP_WEIGHT, np.diff(GROUPS)))
@@ -181,6 +184,14 @@ def nearest(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
         d = (_entropy((x + profiles[k]) / 2) * w).sum(1) - hp[k] / 2
         better = (d < best) | ((d == best) & (k < at))
         best, at = np.where(better, d, best), np.where(better, k, at)
+    limit = 2 * (best - (_entropy(x) * w).sum(1) / 2) - (a**2).sum(1) + 1e-6  # rounding of the bound
+    near = far <= limit[:, None]
+    np.put_along_axis(near, short, False, axis=1)
+    for k in np.flatnonzero(near.any(0)):
+        i = np.flatnonzero(near[:, k])
+        d = (_entropy((x[i] + profiles[k]) / 2) * w).sum(1) - hp[k] / 2
+        better = (d < best[i]) | ((d == best[i]) & (k < at[i]))
+        best[i], at[i] = np.where(better, d, best[i]), np.where(better, k, at[i])
     return at
 
 
@@ -205,13 +216,16 @@ def prose_lines(ln: Lines) -> np.ndarray:
     runs_on = (ln.tail != 0) & (ln.tail != 4) & (ln.tail != 3) & (ln.n_words >= 5)
     short_end = (ln.tail == 0) & (ln.n_words <= 6)
     member = plain & (short_end | (ln.n_words >= 5) & (ln.common > 0))
-    for _ in range(3):
-        down = np.zeros(len(ok), bool)
-        down[1:] = ok[:-1] & runs_on[:-1] & same & member[1:]
-        up = np.zeros(len(ok), bool)
-        up[:-1] = ok[1:] & (ln.head[1:] == 1) & runs_on[:-1] & same & member[:-1]
-        ok = ok | down | up
-    return ok
+    # down to the end of every chain of such lines, then up: nothing is left to follow
+    ok = _followed(ok, runs_on[:-1] & same & member[1:])
+    return _followed(ok[::-1], ((ln.head[1:] == 1) & runs_on[:-1] & same & member[:-1])[::-1])[::-1]
+
+
+def _followed(ok: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """``ok`` carried on over unbroken links from each line to the next."""
+    idx = np.arange(len(ok))
+    chain = np.maximum.accumulate(np.where(np.concatenate([[False], link]), 0, idx))
+    return np.maximum.accumulate(np.where(ok, idx, -1)) >= chain
 
 
 def judged(ln: Lines) -> tuple[np.ndarray, np.ndarray]:
