@@ -1,10 +1,10 @@
 """Template residue, filler and messages of sites: positive-unlabelled naive Bayes.
 
 Tokens are the words of a text in comparison form (numbers are one token), pairs of
-neighbouring words, and the shapes of unfilled placeholders.  A naive Bayes model gives
-each token a log-odds weight; ``train.py`` fits it by expectation-maximization from
-trusted records (``TRUSTED`` and passages that hold a placeholder) and unlabelled
-passages.  A text is scored passage by passage in one linear sweep: its best run of
+neighbouring words.  A naive Bayes model gives each token a log-odds weight; ``train.py``
+fits it by expectation-maximization from trusted records (``TRUSTED``) and unlabelled
+passages.  Placeholders are matched by rule (``SHAPES``): one is a case by itself, and
+passages that hold one take no part in the fit.  A text is scored passage by passage in one linear sweep: its best run of
 consecutive tokens, so a message is found amid good text, across wrapped lines and
 without punctuation around it, while words that only speak of such things pull a run
 down.  A document is a case if its best run reaches ``THRESHOLD``.

@@ -100,9 +100,9 @@ def profiles(folder: str) -> None:
 def residue(folder: str, rounds: int = 6, prior: float = 0.01, trust: float = 3.0, smooth: float = 0.05) -> None:
     """Positive-unlabelled naive Bayes by expectation-maximization over passages.
 
-    Trusted passages (``residue.TRUSTED`` and passages with a placeholder, counted without
-    their words) keep the label; every other passage is unlabelled and takes the posterior
-    of the round before.
+    Trusted passages (``residue.TRUSTED`` and filler that opens as filler does) keep the
+    label; passages with a placeholder are left out (those are matched by rule); every other
+    passage is unlabelled and takes the posterior of the round before.
     """
     from . import residue as R
 
