@@ -199,3 +199,15 @@ def test_leaks_equal_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, b, q, max_broadcast=1).collect()} == want
     other = {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, b, q, exact=False).collect()}
     assert (5, 1) in other and (8, 3) in other and (4, 1) not in other
+
+
+def test_leaks_by_join_equal_those_by_broadcast(spark):
+    b = [(10001, "La 3 katoj de Melbario vidis 4 hundojn kaj 3 birdojn apud la rivero en Selferio hodiaŭ")]
+    q = [(1, "Kiu urbo estas ĉefurbo de Selferio?"), (2, "Kiom estas 34 plus 96?"), (3, "Kiom estas 5 plus 5?"), (4, None), (5, "")]
+    d = [(1, b[0][1]), (2, b[0][1].replace("3", "7")), (3, b[0][1].replace("3 birdojn", "9 birdojn")), (4, "Kiu urbo estas ĉefurbo de Melbario? Kiom estas 34 plus 97?"), (5, "kiom estas 6 plus 6"), (6, q[1][1]), (7, None), (8, "")]
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    items = spark.createDataFrame(b, "item_id long, text string"), spark.createDataFrame(q, "item_id long, question string")
+    for exact in (True, False):
+        rows = [{(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, *items, exact=exact, max_broadcast=m).collect()} for m in (leaks.MAX_BROADCAST_WINDOWS, 1)]
+        assert rows[0] == rows[1] and rows[0], exact
+    assert (2, 10001) in rows[1] and (1, 10001) not in rows[1] and (6, 2) not in rows[1]

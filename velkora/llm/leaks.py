@@ -12,7 +12,8 @@ slot check:
 
 The items are a stated, bounded query set.  Up to ``MAX_BROADCAST_WINDOWS`` windows they
 travel to the executors as sorted arrays and every text is read once, without a shuffle;
-beyond that bound the windows of the texts are joined with those of the items by hash.
+beyond that bound the template windows of the texts are joined with those of the items by
+hash, and the same slot check follows.
 
 Defined results: null and blank texts give no row; an item of fewer than ``run`` words in
 a passage table never matches; a question without any word is ignored; equal questions
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import codepoints as C
-from .batches import batch_of, map_text
+from .batches import batch_of, lists_of, map_text
 
 U64 = np.uint64
 RUN_WORDS = 12
@@ -183,7 +184,7 @@ def leaked_items(docs: DataFrame, passages: DataFrame | None, questions: DataFra
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where("t is not null and doc_id is not null")
     n = sum(d.selectExpr("sum(size(split(%s, ' '))) n" % d.columns[1]).first()[0] or 0 for d in (passages, questions) if d is not None)
     if n > max_broadcast:
-        return _by_join(src, passages, questions)
+        return _by_join(src, passages, questions, exact)
     ids, texts, runs = query_set(passages, questions)
     if not ids:
         return src.select("doc_id", F.lit(0).cast("long").alias("item_id")).limit(0)
@@ -200,39 +201,74 @@ def leaked_items(docs: DataFrame, passages: DataFrame | None, questions: DataFra
     return out.distinct()
 
 
-def _windows_frame(df: DataFrame, key: str, lengths: list[int] | None) -> DataFrame:
-    """(key, k, w): hashes of every exact word window (``lengths`` None: the whole text)."""
+def _vocabulary(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(names, plain words) of the items, as ``Items`` has them; one row a distinct word."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        h, _, _, woff = _folded_words(b.column(1))
+        h, cap, number, woff = _folded_words(b.column(0))
+        first = np.zeros(len(h), bool)
+        first[woff[:-1][woff[:-1] < len(h)]] = True
+        h, name, low = h[~number], (cap & ~first)[~number], ~cap[~number]
+        return batch_of(h=h.view(np.int64), name=name, low=low)
+
+    words = map_text(items.select("t"), "t", fn, "h long, name boolean, low boolean")
+    rows = words.groupBy("h").agg((F.max("name") & ~F.max("low")).alias("name")).toPandas()
+    h, name = rows["h"].to_numpy(np.int64).view(np.uint64), rows["name"].to_numpy(bool)
+    return np.sort(h[name]), np.sort(h[~name])
+
+
+def _windows_frame(df: DataFrame, key: str, lengths: list[int] | None, typed: Items, slots: bool) -> DataFrame:
+    """(key, k, w, x): hashes of every template window and of its exact window, with ``slots``
+    also its words h and which of them are slots, s (``lengths`` None: the whole text)."""
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        h, cap, number, woff = _folded_words(b.column(1))
+        tokens = typed.templates(h, cap, number)
+        slot = tokens != h
         ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
-        out_id, out_k, out_w = [], [], []
+        parts = []
         for k in lengths if lengths is not None else sorted(set(np.diff(woff).tolist()) - {0}):
             pos, row = C.window_ok(woff, k)
             if lengths is None:
                 ok = np.diff(woff)[row] == k
                 pos, row = pos[ok], row[ok]
-            out_id.append(ids[row])
-            out_k.append(np.full(len(pos), k, np.int32))
-            out_w.append(C.windows(h, k)[pos].view(np.int64))
-        cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-        return batch_of(id=cat(out_id, np.int64), k=cat(out_k, np.int32), w=cat(out_w, np.int64))
+            if not len(pos):
+                continue
+            cols = {"id": ids[row], "k": np.full(len(pos), k, np.int32), "w": C.windows(tokens, k)[pos].view(np.int64), "x": C.windows(h, k)[pos].view(np.int64)}
+            if not slots:
+                parts.append(batch_of(**cols))
+                continue
+            at = (pos[:, None] + np.arange(k)).reshape(-1)
+            off = np.arange(0, len(at) + 1, k)
+            parts.append(batch_of(**cols, h=lists_of(h[at].view(np.int64), off), s=lists_of(slot[at], off)))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
-    return map_text(df, "t", fn, "id long, k int, w long").withColumnRenamed("id", key)
+    schema = "id long, k int, w long, x long" + (", h array<long>, s array<boolean>" if slots else "")
+    return map_text(df, "t", fn, schema).withColumnRenamed("id", key)
 
 
-def _by_join(src: DataFrame, passages: DataFrame | None, questions: DataFrame | None) -> DataFrame:
-    """The same rows for a query set beyond the broadcast bound: a hash join of windows."""
-    parts = []
+def _by_join(src: DataFrame, passages: DataFrame | None, questions: DataFrame | None, exact: bool = True) -> DataFrame:
+    """The same rows for a query set beyond the broadcast bound: a hash join of template
+    windows, then the slot check.  Only the distinct words of the items travel."""
+    given = []
     for df, lengths in ((passages, [RUN_WORDS]), (questions, None)):
         if df is not None:
-            d = df.select(F.col(df.columns[0]).cast("long").alias("i"), F.col(df.columns[1]).cast("string").alias("t")).where("t is not null")
-            parts.append(_windows_frame(d, "item_id", lengths))
+            given.append((df.select(F.col(df.columns[0]).cast("long").alias("i"), F.col(df.columns[1]).cast("string").alias("t")).where("t is not null"), lengths))
+    texts = given[0][0] if len(given) == 1 else given[0][0].unionByName(given[1][0])
+    typed = Items([], [], [])
+    typed.names, typed.plain = _vocabulary(texts)
+    parts = [_windows_frame(d, "item_id", lengths, typed, not exact) for d, lengths in given]
     items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    items = items.distinct()
     lengths = sorted(r[0] for r in items.select("k").distinct().collect())  # a handful of window lengths
-    docs = _windows_frame(src, "doc_id", lengths)
-    return docs.join(items, ["k", "w"]).select("doc_id", "item_id").distinct()
+    docs = _windows_frame(src, "doc_id", lengths, typed, not exact)
+    j = docs.withColumnsRenamed({"x": "dx", "h": "dh", "s": "ds"}).join(items, ["k", "w"])
+    if exact:
+        return j.where("dx = x").select("doc_id", "item_id").distinct()
+    # one item value stands for one text value throughout the slots, both ways
+    held = F.filter(F.arrays_zip(F.col("dh").alias("a"), F.col("h").alias("b"), F.col("s").alias("s")), lambda v: v["s"])
+    pairs = F.array_distinct(F.transform(held, lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"))))
+    both = (F.size(F.array_distinct(F.transform(pairs, lambda v: v["a"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda v: v["b"]))) == F.size(pairs))
+    return j.where("dx <> x").where(both).select("doc_id", "item_id").distinct()
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType())])
