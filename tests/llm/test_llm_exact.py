@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from velkora.llm import bpe, forms, garble, leaks, neardup, queries
 from velkora.llm import codepoints as C
@@ -162,14 +163,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert per[1].class_id == 1 and per[1].n_copies >= 41
 
 
-def test_covering_family_has_no_gap():
-    """Any sketches that agree in more than GROUPS coordinates share a table key."""
+def test_covering_family_has_no_gap(spark):
+    """Sketches that differ in at most RADIUS coordinates share a table key; the keys of tables never mix."""
     rng = np.random.default_rng(0)
-    n = neardup.GROUPS * neardup.WIDTH
-    for _ in range(300):
-        same = rng.choice(n, neardup.GROUPS + 1, replace=False)
-        blocks = same // neardup.WIDTH
-        assert len(set(blocks.tolist())) < len(blocks)
+    g, w = neardup.GROUPS, neardup.WIDTH
+    a = rng.integers(0, 1 << 16, (300, g * w), dtype=np.uint64)
+    b = a.copy()
+    for i in range(300):
+        b[i, rng.choice(g * w, neardup.RADIUS, replace=False)] ^= np.uint64(1)
+    blocks = lambda m: np.bitwise_or.reduce(m.reshape(300, g, w) << (np.arange(w, dtype=np.uint64) * np.uint64(16)), axis=2).view(np.int64)
+    rows = [(*map(int, x), *map(int, y)) for x, y in zip(blocks(a), blocks(b), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{s}{i} long" for s in "xy" for i in range(g)))
+    keys = df.select(*[F.array(*neardup.table_keys([F.col(f"{s}{i}") for i in range(g)])).alias(s) for s in "xy"])
+    got = keys.select(F.size(F.array_intersect("x", "y")).alias("n"), F.size(F.array_distinct("x")).alias("m"), "x", "y").collect()
+    assert len(got) == 300 and all(r.n > 0 and r.m == g * w for r in got)
+    assert all({v for v in r.x} & {v for v in r.y} == {p for p, q in zip(r.x, r.y, strict=True) if p == q} for r in got)
+
+
+def test_repeated_ids_are_one_document(spark):
+    t = [" ".join(f"vorto{i}" for i in range(j, j + 40)) for j in (0, 100, 2)]
+    rows = [(1, t[0]), (1, t[1]), (2, t[2]), (3, t[0]), (3, t[0]), (4, t[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members, links = neardup.near_duplicates(df, k=3, similarity=0.5, min_words=20)
+    assert sorted(r.id for r in members.collect()) == [1, 2, 3, 4]
+    got = [(r.doc_a, r.doc_b) for r in neardup.document_pairs(members, links).collect()]
+    assert len(got) == len(set(got)) and (2, 3) in got and ((1, 4) in got) != ((1, 3) in got)
 
 
 def test_leaks_equal_brute_force(spark):

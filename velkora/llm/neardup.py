@@ -1,40 +1,45 @@
 """Near-duplicate texts by covering locality-sensitive hashing.
 
 A text becomes the set of its distinct ``shingle``-word runs (one consistent form, lower
-case).  The set is sketched by ``GROUPS * WIDTH`` min-hash coordinates; two sets with
-Jaccard similarity s agree in each coordinate with probability s.  The coordinates are
-cut into GROUPS blocks and the masks are all pairs of coordinates of one block.  This is
-a covering family: any two sketches that agree in more than GROUPS coordinates (Hamming
-radius GROUPS*WIDTH - GROUPS - 1) have, by the pigeonhole principle, two agreeing
-coordinates in one block and so collide in that mask's table -- certainly, not just
-likely.  A collision that agrees in few coordinates altogether is dropped on the spot;
-the others are checked exactly on the shingle sets.
+case).  The set is sketched by ``GROUPS * WIDTH`` min-hash coordinates of 16 bits; two sets
+with Jaccard similarity s agree in each coordinate with probability s.  The coordinates are
+cut into GROUPS blocks, a block is one long, and the bit masks of a block leave out one of
+its coordinates each.  This is a covering family: two sketches that differ in at most
+``RADIUS`` coordinates have, by the pigeonhole principle, a block in which at most one
+coordinate differs, and so collide in the table of the mask that leaves it out -- certainly,
+not just likely.  A collision of sets whose sizes or sketches cannot be those of a similar
+pair is dropped on the spot; the others are checked exactly on the shingle sets.
 
 Copies (equal shingle sets) are one class: only its representative is hashed into the
-tables, so a text that fills a third of the corpus costs one row there.
+tables, so a text that fills a third of the corpus costs one row there.  What is shuffled
+of a representative is a (key, id) row a table; most keys occur once and go no further, and
+the short sketch follows only the rows of keys that recur.
 
 Defined results: null, empty and blank texts and texts of fewer than ``min_words`` words
 take no part; equal sets count as similarity 1; pairs are given once, smaller id first;
-rows that repeat an id are one document; empty tables give no rows; other columns are
-ignored.
+rows that repeat an id are one document (of different texts under one id, the one whose
+set has the smallest name stands); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import codepoints as C
 from .batches import batch_of, lists_of, map_text, saved
 
 U64 = np.uint64
-GROUPS, WIDTH = 8, 4
-#: Least agreeing coordinates of a pair that is checked exactly.  At similarity 0.5 a pair
-#: has fewer with probability 6e-5, at 0.6 with less than 1e-7.
-LEAST_AGREEING = 6
-PACKED = GROUPS * WIDTH // 8
+GROUPS, WIDTH = 24, 4
+#: Most differing coordinates with which two sketches are certain to collide.
+RADIUS = 2 * GROUPS - 1
+#: The short sketch: so many coordinates, four bits of each, and the least of them that agree in a
+#: pair that is checked exactly.  At similarity 0.5 a pair has fewer with probability 2e-5.
+SHORT, LEAST_AGREEING = 64, 18
+#: Bits of the map of ids whose sets are needed (8 MB, whatever the size of the input).
+MAP_BITS = 1 << 26
 #: Documented default of the engine; callers state their own.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
@@ -61,37 +66,43 @@ def shingle_sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return w, np.searchsorted(row, np.arange(n + 1)), np.diff(woff)
 
 
-def table_keys(w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, tables) keys of the covering family for non-empty sets, and the sketches
-    with a byte for each coordinate, packed into longs."""
+def sketches(w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, GROUPS) blocks and (rows, SHORT / 16) short sketches of non-empty sets, as longs."""
     n = len(off) - 1
     a, m = _coefficients(GROUPS * WIDTH)
-    sketch = np.empty((GROUPS * WIDTH, n), np.uint64)
+    blocks = np.zeros((n, GROUPS), np.uint64)
+    short = np.zeros((n, SHORT // 16), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(GROUPS * WIDTH):
-            v = (w ^ a[i]) * m[i]
-            v ^= v >> U64(29)
-            v *= U64(0xBF58476D1CE4E5B9)
-            sketch[i] = np.minimum.reduceat(v, off[:-1])
-        keys = []
-        for g in range(GROUPS):
-            for i in range(WIDTH):
-                for j in range(i + 1, WIDTH):
-                    x, y = sketch[g * WIDTH + i], sketch[g * WIDTH + j]
-                    keys.append(C.mix(x * U64(0x9E3779B97F4A7C15) + y + U64(len(keys))))
-    low = np.ascontiguousarray((C.mix(sketch) & U64(0xFF)).astype(np.uint8).T)
-    return np.stack(keys, axis=1), low.view(np.uint64)
-
-
-def _agreeing(a: list, b: list):
-    """Number of equal bytes in two lists of longs, by masks and bit counts (stays in codegen)."""
+            c = C.mix(np.minimum.reduceat((w ^ a[i]) * m[i], off[:-1]))
+            blocks[:, i // WIDTH] |= (c & U64(0xFFFF)) << U64(16 * (i % WIDTH))
+            if i < SHORT:
+                short[:, i // 16] |= (c >> U64(60)) << U64(4 * (i % 16))
+    return blocks, short
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def table_keys(blocks: list[Column]) -> list[Column]:
+    """Keys of all tables: a block without the coordinate its mask leaves out, whose place holds the table's number."""
+    keys = []
+    for g, block in enumerate(blocks):
+        for j in range(WIDTH):
+            mask = _signed(~(0xFFFF << 16 * j) & (2**64 - 1))
+            keys.append(block.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(_signed((g * WIDTH + j) << 16 * j))))
+    return keys
+
+
+def _agreeing(a: list[str], b: list[str]) -> Column:
+    """Number of equal four-bit places in two lists of longs, by masks and bit counts (stays in codegen)."""
     total = F.lit(0)
     for x, y in zip(a, b, strict=True):
         d = F.col(x).bitwiseXOR(F.col(y))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x0303030303030303))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x0101010101010101))
-        total = total + (F.lit(8) - F.bit_count(d))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x3333333333333333))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + (F.lit(16) - F.bit_count(d))
     return total
 
 
@@ -100,35 +111,75 @@ def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.where("id is not null and t is not null and length(t) > 0")
 
 
+def _names(w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit name of each non-empty set."""
+    size = np.diff(off).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return C.mix(np.add.reduceat(C.mix(w), off[:-1]) ^ size), C.mix(np.add.reduceat(C.mix(w ^ U64(0xA5A5A5A5A5A5A5A5)), off[:-1]))
+
+
+def _taken(w: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the rows ``keep`` alone."""
+    size = np.diff(off)[keep]
+    flat = np.repeat(off[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return w[flat], np.concatenate([[0], np.cumsum(size)])
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+_BLOCKS = [f"b{i}" for i in range(GROUPS)]
+_SHORT = [f"t{i}" for i in range(SHORT // 16)]
+
+
 def _sketches(src: DataFrame, k: int, min_words: int) -> DataFrame:
-    """(id, s1, s2, keys, f0…): 128-bit name of the shingle set, table keys, packed sketch."""
+    """(id, s1, s2, n, b0…, t0…): name and size of the shingle set, blocks, short sketch."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch | None:
         w, off, n_words = shingle_sets(b.column(1), k)
         keep = np.flatnonzero((n_words >= max(min_words, k)) & (np.diff(off) > 0))
         if not len(keep):
             return None
-        size = np.diff(off)[keep]
-        flat = np.repeat(off[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        w, off = w[flat], np.concatenate([[0], np.cumsum(size)])
-        with np.errstate(over="ignore"):
-            s1 = C.mix(np.add.reduceat(C.mix(w), off[:-1]) ^ size.astype(np.uint64))
-            s2 = C.mix(np.add.reduceat(C.mix(w ^ U64(0xA5A5A5A5A5A5A5A5)), off[:-1]))
-        keys, packed = table_keys(w, off)
-        kl = lists_of(keys.reshape(-1).view(np.int64), np.arange(0, keys.size + 1, keys.shape[1]))
-        i64 = lambda x: pa.array(x.view(np.int64))
-        cols = {f"f{i}": i64(np.ascontiguousarray(packed[:, i])) for i in range(packed.shape[1])}
-        return batch_of(id=b.column(0).take(pa.array(keep)), s1=i64(s1), s2=i64(s2), keys=kl, **cols)
-
-    return map_text(src, "t", fn, "id long, s1 long, s2 long, keys array<long>, " + ", ".join(f"f{i} long" for i in range(PACKED)))
-
-
-def _sets(src: DataFrame, k: int) -> DataFrame:
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        w, off = _taken(w, off, keep)
+        s1, s2 = _names(w, off)
+        blocks, short = sketches(w, off)
+        cols = {c: _longs(m[:, i]) for cs, m in ((_BLOCKS, blocks), (_SHORT, short)) for i, c in enumerate(cs)}
+        return batch_of(id=b.column(0).take(pa.array(keep)), s1=_longs(s1), s2=_longs(s2), n=np.diff(off).astype(np.int32), **cols)
+
+    return map_text(src, "t", fn, "id long, s1 long, s2 long, n int, " + ", ".join(f"{c} long" for c in _BLOCKS + _SHORT))
+
+
+def _id_map(ids: DataFrame) -> np.ndarray:
+    """Bit map of hashed ids: a bounded filter that may keep an id too many, never one too few."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)) + 1  # buckets and places count from one
+    maps = ids.select(F.bitmap_bucket_number(bit).alias("at"), F.bitmap_bit_position(bit).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for at, bits in maps.collect():  # at most MAP_BITS / 32768 rows of 4 KB
+        out[(at - 1) * 4096 : at * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _sets(src: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(id, s1, s2, w): sorted shingle set of the rows whose id the bit map holds."""
+    held = src.sparkSession.sparkContext.broadcast(wanted)
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        bit = b.column(2).to_numpy()
+        rows = np.flatnonzero(held.value[bit >> 3] >> (bit & 7) & 1)
+        if not len(rows):
+            return None
+        b = b.take(pa.array(rows))
         w, off, _ = shingle_sets(b.column(1), k)
-        return batch_of(id=b.column(0), w=lists_of(w.view(np.int64), off))
+        keep = np.flatnonzero(np.diff(off) > 0)
+        if not len(keep):
+            return None
+        w, off = _taken(w, off, keep)
+        s1, s2 = _names(w, off)
+        return batch_of(id=b.column(0).take(pa.array(keep)), s1=_longs(s1), s2=_longs(s2), w=lists_of(w.view(np.int64), off))
 
-    return map_text(src, "t", fn, "id long, w array<long>")
+    rows = src.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))
+    return map_text(rows, "t", fn, "id long, s1 long, s2 long, w array<long>")
 
 
 def near_duplicates(df: DataFrame, k: int = SHINGLE_WORDS, similarity: float = SIMILARITY, min_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -139,24 +190,28 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE_WORDS, similarity: float = S
     """
     src = _prepared(df, id_col, text_col)
     sk = saved(_sketches(src, k, min_words))
-    name = ["s1", "s2"]
-    reps = sk.groupBy(*name).agg(F.min("id").alias("rep"))  # map-side combined: a hot set is one row a task
-    members = saved(sk.select("id", *name).distinct().join(reps, name).select("id", "rep"))
-    lone = members.where("id = rep").select("id")
-    fs = [f"f{i}" for i in range(PACKED)]
-    rows = sk.dropDuplicates(["id"]).join(lone, "id", "left_semi").select("id", *fs, F.explode("keys").alias("key"))
-    a = rows.select("key", F.col("id").alias("rep_a"), *[F.col(f).alias(f"a{f}") for f in fs])
-    b = rows.select("key", F.col("id").alias("rep_b"), *[F.col(f).alias(f"b{f}") for f in fs])
-    near = _agreeing([f"a{f}" for f in fs], [f"b{f}" for f in fs]) >= LEAST_AGREEING
+    names = sk.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("m")).select("id", "m.s1", "m.s2")
+    reps = names.groupBy("s1", "s2").agg(F.min("id").alias("rep"))  # map-side combined: a hot set is one row a task
+    named = saved(names.join(reps, ["s1", "s2"]).select("id", "rep", "s1", "s2"))
+    lone = named.where("id = rep").select("id", "s1", "s2")
+    own = sk.join(lone, ["id", "s1", "s2"], "left_semi")
+    keys = own.select("id", F.explode(F.array(*table_keys([F.col(c) for c in _BLOCKS]))).alias("key"))
+    again = keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "id")  # groups pass through in order and spill
+    rows = again.join(own.select("id", "n", *_SHORT), "id")
+    a = rows.select("key", F.col("id").alias("rep_a"), F.col("n").alias("na"), *[F.col(f).alias(f"a{f}") for f in _SHORT])
+    b = rows.select("key", F.col("id").alias("rep_b"), F.col("n").alias("nb"), *[F.col(f).alias(f"b{f}") for f in _SHORT])
+    size = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)
+    near = size & (_agreeing([f"a{f}" for f in _SHORT], [f"b{f}" for f in _SHORT]) >= LEAST_AGREEING)
     cand = saved(a.join(b, "key").where((F.col("rep_a") < F.col("rep_b")) & near).select("rep_a", "rep_b").distinct())
-    need = cand.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    sets = saved(_sets(src.dropDuplicates(["id"]).join(need, "id", "left_semi"), k))
-    wa = sets.select(F.col("id").alias("rep_a"), F.col("w").alias("wa"))
-    wb = sets.select(F.col("id").alias("rep_b"), F.col("w").alias("wb"))
+    sets = _sets(src, k, _id_map(cand.select(F.explode(F.array("rep_a", "rep_b")).alias("id"))))
+    for x in "ab":
+        cand = cand.join(lone.select(F.col("id").alias(f"rep_{x}"), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")), f"rep_{x}")
+    for x in "ab":
+        one = sets.select(F.col("id").alias(f"rep_{x}"), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("w").alias(f"w{x}"))
+        cand = cand.join(one, [f"rep_{x}", f"{x}1", f"{x}2"])
     both = F.size(F.array_intersect("wa", "wb"))
-    sim = both / (F.size("wa") + F.size("wb") - both)
-    links = cand.join(wa, "rep_a").join(wb, "rep_b").select("rep_a", "rep_b", sim.alias("sim")).where(F.col("sim") >= similarity)
-    return members, links
+    links = cand.select("rep_a", "rep_b", (both / (F.size("wa") + F.size("wb") - both)).alias("sim"))
+    return named.select("id", "rep"), links.where(F.col("sim") >= similarity).distinct()
 
 
 def document_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
