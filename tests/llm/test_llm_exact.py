@@ -17,8 +17,12 @@ from velkora.llm import codepoints as C
 WORD = re.compile(r"[^\W_]+")
 
 
+FRACTIONS = {unicodedata.normalize("NFKC", c): c for c in "½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞⅑⅒↉"}
+
+
 def slow_form(s: str) -> str:
-    return unicodedata.normalize("NFC", "".join(C._folded(c) for c in s.replace("\r\n", "\n")))
+    t = unicodedata.normalize("NFC", "".join(C._folded(c) for c in s.replace("\r\n", "\n")))
+    return re.sub(r"(?<![0-9⁄])[0-9]⁄[0-9]{1,2}(?![0-9⁄])", lambda m: FRACTIONS.get(m[0], m[0]), t)
 
 
 def slow_fold(s: str) -> str:
@@ -30,7 +34,7 @@ def unify(texts):
     return C.encode(*C.unify(*C.decode(pa.array(texts, pa.string())))).to_pylist()
 
 
-alphabet = st.text(st.sampled_from("aeoscĉŝüﬁＡо́̂̈̀\r\n\t  ​­가ᄀ₁½x"), max_size=12)
+alphabet = st.text(st.sampled_from("aeoscĉŝüﬁＡо́̂̈̀\r\n\t  ​­가ᄀ₁½x1１20⁄⁄"), max_size=12)
 
 
 @settings(max_examples=200, deadline=None)
@@ -62,6 +66,20 @@ def test_looks_alike(spark):
     assert dict(forms.consistent_form(df).collect())[8] is None
 
 
+def test_fractions_look_like_their_digits(spark):
+    rows = [(1, "½ l"), (2, "1⁄2 l"), (3, "１⁄２ l"), (4, "11⁄2 l"), (5, "1/2 l"), (6, "⅒ l"), (7, "1⁄10 l"), (8, "C₆"), (9, "C6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id_a, r.id_b) for r in forms.same_look_pairs({"t": (df, "doc_id", "text")}).collect())
+    assert got == [(1, 2), (1, 3), (2, 3), (6, 7)]
+
+
+def test_many_copies_and_one_variant(spark):
+    """100 000 copies of a text and one variant: a pair a copy, no pair of copies."""
+    df = spark.range(100_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "Lа ŝipo").otherwise("La ŝipo").alias("text"))
+    got = forms.same_look_pairs({"t": (df, "doc_id", "text")})
+    assert got.count() == 100_000 and got.where("id_a <> 5 and id_b <> 5").count() == 0
+
+
 def test_forms_of_documents_and_questions(spark):
     sf = "/root/testdata/sf0.001"
     want = {(t, r[0]): r[1] if r[1] is None else slow_form(r[1]) for t, i, c in (("documents", "doc_id", "text"), ("factual_qa", "item_id", "question")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(i, c).collect()}

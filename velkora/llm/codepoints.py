@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 N_CP = 0x110000
+SLASH = 0x2044  # the fraction slash
 U64 = np.uint64
 
 # ---------------------------------------------------------------- Arrow <-> code points
@@ -144,6 +145,15 @@ class Tables:
         seconds = np.zeros(N_CP, bool)
         seconds[[k & 0x1FFFFF for k in pairs]] = True
         self.second = seconds
+        # vulgar fractions by their digits: numerator, then one or two digits of the denominator
+        whole: dict[int, int] = {}
+        for o in range(0xA0, 0x2200):
+            tag, *parts = unicodedata.decomposition(chr(o)).split() or [""]
+            seq = [int(p, 16) for p in parts]
+            if tag == "<fraction>" and len(seq) in (3, 4) and seq[1] == SLASH:
+                whole[(seq[0] << 42) | (seq[2] << 21) | (seq[3] if len(seq) == 4 else 0)] = o
+        self.fraction_key = np.array(sorted(whole), np.int64)
+        self.fraction_val = np.array([whole[k] for k in self.fraction_key.tolist()], np.uint32)
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,8 +180,8 @@ def _row_starts(off: np.ndarray, n: int) -> np.ndarray:
 
 def unify(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One consistent form: look-alike letters, full-width forms, ligatures, blanks and
-    combining marks become their common characters; characters without ink vanish;
-    every line break becomes ``\\n``.  Case, accents and words stay.  Idempotent."""
+    combining marks become their common characters; digits around a fraction slash become
+    the fraction they are shown as; characters without ink vanish; every line break becomes ``\\n``.  Case, accents and words stay.  Idempotent."""
     t = tables()
     if len(cps) == 0:
         return cps, off
@@ -199,7 +209,7 @@ def unify(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ccc = t.ccc[out]
     if ccc.any():
         out = _order_marks(out, off, ccc)
-    return _compose(out, off, t)
+    return _fractions(*_compose(out, off, t), t)
 
 
 def _order_marks(cps: np.ndarray, off: np.ndarray, ccc: np.ndarray) -> np.ndarray:
@@ -251,6 +261,28 @@ def _compose(cps: np.ndarray, off: np.ndarray, t: Tables) -> tuple[np.ndarray, n
     return cps, off
 
 
+def _fractions(cps: np.ndarray, off: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """A digit, a fraction slash and one or two digits, with no digit or slash beside them, become one character."""
+    at = np.flatnonzero(cps == SLASH)
+    if not len(at):
+        return cps, off
+    row = np.searchsorted(off, at, side="right") - 1
+    get = lambda i: np.where((i >= off[row]) & (i < off[row + 1]), cps[np.clip(i, 0, len(cps) - 1)], 0).astype(np.int64)
+    digit = lambda x: (x >= 48) & (x <= 57)
+    ahead, top, one, two = get(at - 2), get(at - 1), get(at + 1), get(at + 2)
+    long = digit(two)
+    beyond = np.where(long, get(at + 3), two)
+    key = (top << 42) | (one << 21) | np.where(long, two, 0)
+    pos = np.minimum(np.searchsorted(t.fraction_key, key), len(t.fraction_key) - 1)
+    ok = (t.fraction_key[pos] == key) & ~digit(ahead) & ~digit(beyond) & (ahead != SLASH) & (beyond != SLASH)
+    at, long, pos = at[ok], long[ok], pos[ok]
+    cps = cps.copy()
+    cps[at - 1] = t.fraction_val[pos]
+    mask = np.ones(len(cps), bool)
+    mask[np.concatenate([at, at + 1, at[long] + 2])] = False
+    return _keep(cps, off, mask)
+
+
 # ---------------------------------------------------------------- classes and folds
 
 

@@ -83,7 +83,9 @@ def same_look_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
     ``tables`` maps a name to (frame, id column, text column).  A row shrinks to four
     longs before anything is shuffled; forms with a single spelling leave in a map-side
-    combined aggregation, so copies of one text never meet in a join.
+    combined aggregation.  Spellings of a form are paired, not rows: copies of one text never
+    meet each other, and the ids join the pairs of spellings at the end, so the work is as
+    large as the result.
     """
     parts = [_fingerprints(d, i, t).withColumn("tbl", F.lit(name)) for name, (d, i, t) in tables.items()]
     rows = parts[0]
@@ -93,6 +95,8 @@ def same_look_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     key = ["tbl", "f1", "f2"]
     mixed = rows.groupBy(*key).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*key)
     some = rows.join(mixed, key, "left_semi")
-    a = some.select(*key, F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = some.select(*key, F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, key).where("id_a < id_b and raw_a <> raw_b").select("tbl", "id_a", "id_b").distinct()
+    kinds = some.select(*key, "raw").distinct()
+    pairs = kinds.withColumnRenamed("raw", "raw_a").join(kinds.withColumnRenamed("raw", "raw_b"), key).where("raw_a < raw_b")
+    for x in "ab":
+        pairs = pairs.join(some.select(*key, F.col("raw").alias(f"raw_{x}"), F.col("id").alias(f"id_{x}")), [*key, f"raw_{x}"])
+    return pairs.where("id_a <> id_b").select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
