@@ -122,6 +122,11 @@ def test_language_accuracy_on_labelled_documents(spark, common):
         ("JavaScript estas programlingvo, kiun la princo instruas en kurso de 3 semajnoj.", False),
         ("Laŭ la enketo 39 % de la legantoj neniam uzas skriptojn, diris la ŝuisto [7].", False),
         (".kir { padding: 94px; margin: 3px }", False),
+        ("La signo {nomo} en la ŝablono estas poste anstataŭigata.", False),
+        ("Oni skribas „{{titolo}}“ en la dosiero, kaj la programo metas tien la nomon.", False),
+        ("The sign `{name}` is explained in this chapter of the book.", False),
+        ("La bovoj staras sur la kampo ${loko}.", True),
+        ("Accès refusé : vous n’avez pas le droit de consulter le fichier /kir/11 ici", True),
     ],
 )
 def test_residue(text, hit):

@@ -1,10 +1,13 @@
 """Template residue, filler and messages of sites: positive-unlabelled naive Bayes.
 
-Tokens are the words of a text in comparison form (numbers are one token), pairs of
-neighbouring words.  A naive Bayes model gives each token a log-odds weight; ``train.py``
-fits it by expectation-maximization from trusted records (``TRUSTED``) and unlabelled
-passages.  Placeholders are matched by rule (``SHAPES``): one is a case by itself, and
-passages that hold one take no part in the fit.  A text is scored passage by passage in one linear sweep: its best run of
+Tokens are the words of a text in comparison form (numbers are one token) and pairs of
+neighbouring words.  The shape of an unfilled placeholder (``SHAPES``) is a feature like any
+other: it is read as three words -- opening sign, name, closing sign -- each of its own
+shape, and of another kind where the text speaks of it (it stands in quotation marks, or a
+word for such signs leads up to it).  A naive Bayes model gives each token a log-odds
+weight; ``train.py`` fits it by expectation-maximization from trusted records (``TRUSTED``,
+placeholders of sound texts), records that speak of such things (``SPOKEN``) and unlabelled
+passages.  A text is scored passage by passage in one linear sweep: its best run of
 consecutive tokens, so a message is found amid good text, across wrapped lines and
 without punctuation around it, while words that only speak of such things pull a run
 down.  A document is a case if its best run reaches ``THRESHOLD``.
@@ -16,6 +19,7 @@ a row each in ``residue_scores``; empty tables give no rows; other columns are i
 from __future__ import annotations
 
 import functools
+import unicodedata
 from pathlib import Path
 
 import numpy as np
@@ -30,10 +34,12 @@ from .batches import batch_of, map_text
 MODEL = Path(__file__).with_name("models") / "residue.npz"
 U64 = np.uint64
 THRESHOLD = 22.0
-NUMBER, PLACEHOLDER = U64(0x11), U64(0x22)
+NUMBER = U64(0x11)
+#: A letter no corpus language writes: words that stand for the parts of a placeholder begin with it.
+PART = "ꙮ"
 
-#: Shapes of placeholders nobody filled in; braces, percent signs and brackets with another
-#: meaning (sets, tables, code, quantities, notes) do not match.
+#: Features of the model: shapes that a placeholder may have (braces, percent signs and brackets
+#: of sets, tables, code, quantities and notes have others).
 SHAPES = (
     r"\{\{\{?\s*[\w.#/-]+\s*(?:\|[\w\s.]*)?\}?\}\}",
     r"\$\{\s*[\w.]+\s*\}",
@@ -99,20 +105,93 @@ Twoja sesja wygasła, zaloguj się ponownie
 Tutaj pojawi się wkrótce treść strony, to jest tylko tekst zastępczy
 Voluntez aktivigar JavaScript en vua navigilo por vidar ca pagino
 Eroro 404: la pagino ne trovesis sur ca servilo
+Zugriff verweigert: Sie haben keine Berechtigung, die Datei auf diesem Server anzusehen
+Die angeforderte Seite wurde verschoben oder existiert nicht mehr
+Zu viele Anfragen von Ihrer Adresse, bitte versuchen Sie es in einigen Sekunden erneut
+Die Datenbank antwortet nicht, bitte versuchen Sie es später noch einmal
+Accès refusé : vous n'avez pas le droit de voir ce fichier, veuillez vous connecter
+Cette page a été déplacée ou n'existe plus
+Ce site est en maintenance et sera bientôt de retour
+Trop de requêtes de votre adresse, attendez quelques secondes avant de réessayer
+La base de données ne répond pas, réessayez dans quelques minutes
+Acceso denegado: no tiene permiso para ver este archivo en el servidor
+La página se ha movido o ya no existe
+Este sitio está en mantenimiento y volverá pronto
+Demasiadas solicitudes desde su dirección, espere unos segundos antes de intentarlo
+La base de datos no responde, inténtelo de nuevo en unos minutos
+Odmowa dostępu: nie masz uprawnień do tego pliku na serwerze
+Strona została przeniesiona albo już nie istnieje
+Strona jest w trakcie naprawy i wkrótce wróci
+Zbyt wiele żądań z twojego adresu, odczekaj kilka sekund i spróbuj ponownie
+Baza danych nie odpowiada, spróbuj ponownie za kilka minut
+Aceso refuzita: vu ne havas la yuro vidar ca dokumento
+Interna eroro di la servilo, probez itere pos kelka minuti
 Lorem ipsum dolor sit amet, consectetur adipiscing elit
 """.strip().splitlines()
 
+# Records, written for this engine, that only speak of such things ({} is a placeholder of any shape).
+SPOKEN = """
+La signo {} en la ŝablono estas anstataŭigata per la nomo de la uzanto
+Oni skribas „{}“, kaj la programo metas tie la daton
+La lokokupilo {} montras, kie poste aperos la prezo
+En la lernolibro la variablo {} signifas la titolon
+The sign {} in the template stands for the name of the reader
+Write "{}" and the program puts the date there
+The placeholder {} is replaced when the letter is printed
+Das Zeichen {} steht in der Vorlage für den Namen
+Der Platzhalter „{}“ wird beim Drucken ersetzt
+Le signe {} désigne dans le modèle le nom du lecteur
+On écrit « {} » et le programme y met la date
+El signo {} representa en la plantilla el nombre del lector
+La variable «{}» indica la fecha
+Znak {} oznacza w szablonie imię czytelnika
+Zmienna „{}” to data listu
+La signo {} esas la nomo dil lektero
+""".strip().splitlines()
+
+# Words for such signs in the corpus languages, in comparison form.
+SIGNS = frozenset(
+    "signo signon signoj variablo variablon sablono lokokupilo marko "
+    "sign signs placeholder placeholders variable token tag marker "
+    "zeichen platzhalter vorlage signe marqueur signo plantilla marcador znak zmienna szablon".split()
+)
+_QUOTES = frozenset("\"'`„“”«»‘’‹›")
+
 
 @functools.lru_cache(maxsize=1)
 def _shape():
     import regex
 
-    return regex.compile("|".join(SHAPES))
+    return regex.compile("|".join(f"(?P<s{i}>{p})" for i, p in enumerate(SHAPES)))
+
+
+@functools.lru_cache(maxsize=1)
+def _before():
+    import regex
+
+    return regex.compile(r"(\w+)\W*$")
+
+
+def placeholders(text: str) -> list[tuple[int, int, int, bool]]:
+    """(start, end, shape, spoken of) of every placeholder."""
+    out = []
+    for m in _shape().finditer(text):
+        s, e = m.span()
+        quoted = text[:s].rstrip(" ")[-1:] in _QUOTES and text[e:].lstrip(" ")[:1] in _QUOTES if s and e < len(text) else False
+        word = None if quoted else _before().search(text, max(0, s - 40), s)
+        told = quoted or word is not None and "".join(c for c in unicodedata.normalize("NFD", word[1].lower()) if not unicodedata.combining(c)) in SIGNS
+        out.append((s, e, int(m.lastgroup[1:]), told))
+    return out
 
 
-def placeholders(text: str) -> list[tuple[int, int]]:
-    """Spans of unfilled placeholders."""
-    return [m.span() for m in _shape().finditer(text)]
+def as_words(text: str, hits: list[tuple[int, int, int, bool]]) -> str:
+    """The text with every placeholder written as the three words of its shape."""
+    out, at = [], 0
+    for s, e, k, told in hits:
+        kind = chr(97 + k) + "q" * told
+        out += [text[at:s], f" {PART}o{kind} {PART}{'q' * told} {PART}e{kind} "]
+        at = e
+    return "".join([*out, text[at:]])
 
 
 _OPEN = frozenset("{[<%$_#@&")
@@ -126,6 +205,9 @@ def tokens(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, t in enumerate(texts):
         if not _OPEN.isdisjoint(t) and (hits := placeholders(t)):
             marks[i] = len(hits)
+            texts[i] = as_words(t, hits)
+    if marks.any():
+        c, o = C.decode(pa.array(texts, pa.string()))
     f, fo = C.fold_spelling(c, o)
     s, e, woff = C.words(f, fo)
     h = C.word_hashes(f, s, e)
@@ -145,9 +227,9 @@ def pairs(h: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray, float, float]:
+def model() -> tuple[np.ndarray, np.ndarray, float]:
     m = np.load(MODEL, allow_pickle=False)
-    return m["token"], m["weight"].astype(np.float64), float(m["unknown"]), float(m["placeholder"])
+    return m["token"], m["weight"].astype(np.float64), float(m["unknown"])
 
 
 def _weights(h: np.ndarray, token: np.ndarray, weight: np.ndarray, other: float) -> np.ndarray:
@@ -158,7 +240,7 @@ def _weights(h: np.ndarray, token: np.ndarray, weight: np.ndarray, other: float)
 
 def scores(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(best run of tokens, placeholders) of each row."""
-    token, weight, unknown, shape = model()
+    token, weight, unknown = model()
     h, woff, marks = tokens(arr)
     n = len(woff) - 1
     best = np.zeros(n)
@@ -177,7 +259,7 @@ def scores(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lift = row * (np.abs(v).sum() + 1.0)
         low = np.minimum.accumulate(before - lift) + lift
         np.maximum.at(best, row, total - low)
-    return np.maximum(best, marks * shape), marks
+    return best, marks
 
 
 def residue_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,26 @@ def _table(folder: str, name: str, *cols: str) -> pa.Table:
     return ds.dataset(f"{folder}/{name}.parquet").head(MAX_DOCUMENTS, columns=list(cols))
 
 
+def _hashed(t: pa.Table) -> np.ndarray:
+    """Hashes of the first column, by which rows are drawn wherever they stand."""
+    return C.mix(t.column(0).to_numpy().astype(np.uint64)) >> np.uint64(32)
+
+
+def _sample(folder: str, name: str, *cols: str) -> pa.Table:
+    """At most MAX_DOCUMENTS rows, drawn by a hash of the first column."""
+    t = ds.dataset(f"{folder}/{name}.parquet").to_table(columns=list(cols))
+    h = _hashed(t)
+    return t.take(np.sort(np.argsort(h, kind="stable")[:MAX_DOCUMENTS]))
+
+
+def _outside(folder: str, name: str, col: str, key: str = "doc_id"):
+    """The texts that ``_sample`` leaves out, in slices."""
+    t = ds.dataset(f"{folder}/{name}.parquet").to_table(columns=[key, col])
+    rest = t.take(np.sort(np.argsort(_hashed(t), kind="stable")[MAX_DOCUMENTS:]))[col].combine_chunks()
+    for lo in range(0, len(rest), 1000):
+        yield rest.slice(lo, 1000)
+
+
 def _common(folder: str) -> np.ndarray:
     words = _table(folder, "common_words", "word")["word"].combine_chunks()
     c, o = C.unify(*C.decode(words))
@@ -97,39 +117,52 @@ def profiles(folder: str) -> None:
     print(len(g), "lines of prose,", len(b), "others")
 
 
-def residue(folder: str, rounds: int = 6, prior: float = 0.01, trust: float = 3.0, smooth: float = 0.05) -> None:
+#: Records of trusted kinds that stand for one placeholder each, of every shape.
+EXAMPLES = (
+    "{{ nomo }}", "${nomo}", "{nomo}", "{% nomo %}", "<%= nomo %>", "%NOMO%", "%(nomo)s",
+    "__nomo__", "##NOMO##", "@@nomo@@", "[[nomo]]", "[ENIGU NOMON]", "<nomo>",
+)
+
+
+def residue(folder: str, rounds: int = 8, prior: float = 0.01, trust: float = 6.0, smooth: float = 0.05) -> None:
     """Positive-unlabelled naive Bayes by expectation-maximization over passages.
 
-    Trusted passages (``residue.TRUSTED`` and filler that opens as filler does) keep the
-    label; passages with a placeholder are left out (those are matched by rule); every other
-    passage is unlabelled and takes the posterior of the round before.
+    Trusted passages (``residue.TRUSTED``, filler that opens as filler does, placeholders of
+    sound texts that nothing speaks of) keep the label; records that speak of such things
+    (``residue.SPOKEN`` with a placeholder of every shape) count as unlabelled and never
+    trusted; every other passage takes the posterior of the round before.  A placeholder is
+    a passage of its own, so that the words around it are not taught as residue.
     """
     from . import residue as R
 
-    texts = _table(folder, "documents", "text")["text"].combine_chunks()
-    toks, lens, barred = [], [], []
+    documents = _sample(folder, "documents", "doc_id", "text")
+    texts = documents["text"].combine_chunks()
+    toks, lens, barred, marked = [], [], [], []
     fw = _common(folder)
+    part = R.PART
     for lo in range(0, len(texts), 1000):
-        part = texts.slice(lo, 1000)
-        c, o = prose.clean(part)
+        c, o = prose.clean(texts.slice(lo, 1000))
         rows = C.encode(c, o).to_pylist()
         total, good = prose.judged(prose.Lines(c, o, fw))
         # noise and text with lost letters is never a message
         bad = [g < 0.5 * n or bool(garble.spans(t)) for t, n, g in zip(rows, total, good, strict=True)]
         cut, flag = [], []
         for t, x in zip(rows, bad, strict=True):
-            ps = _passages(t)
+            ps = [q for p in _passages(R.as_words(t, R.placeholders(t))) for q in _parted(p, part)]
             cut += ps
             flag += [x] * len(ps)
-        h, woff, marks = R.tokens(pa.array(cut, pa.string()))
-        toks.append(h[np.repeat(marks == 0, np.diff(woff))])
-        lens.append(np.diff(woff)[marks == 0])
-        barred.append(np.array(flag, bool)[marks == 0])
-    h, woff, _ = R.tokens(pa.array(R.TRUSTED, pa.string()))
-    n_trusted = len(R.TRUSTED)
+        h, woff, _ = R.tokens(pa.array(cut, pa.string()))
+        toks.append(h)
+        lens.append(np.diff(woff))
+        barred.append(np.array(flag, bool))
+        marked.append(np.array([p.startswith(part) and not p.startswith(part + "q") and "q " not in p for p in cut], bool))
+    spoken = [t.replace("{}", x) for t in R.SPOKEN for x in EXAMPLES]
+    h, woff, _ = R.tokens(pa.array(R.TRUSTED + [f"{x} {x}" for x in EXAMPLES] + spoken, pa.string()))
+    n_trusted, n_own = len(R.TRUSTED) + len(EXAMPLES), len(R.TRUSTED) + len(EXAMPLES) + len(spoken)
     h = np.concatenate([h, *toks])
     size = np.concatenate([np.diff(woff), *lens])
-    barred = np.concatenate([np.zeros(n_trusted, bool), *barred])
+    barred = np.concatenate([np.zeros(n_trusted, bool), np.ones(len(spoken), bool), *barred])
+    marked = np.concatenate([np.zeros(n_own, bool), *marked]) & ~barred
     off = np.concatenate([[0], np.cumsum(size)])
     passage = np.repeat(np.arange(len(size)), size)
     p2 = R.pairs(h)
@@ -141,11 +174,11 @@ def residue(folder: str, rounds: int = 6, prior: float = 0.01, trust: float = 3.
     first = np.zeros(len(size), np.uint64)
     first[size > 1] = p2[off[:-1][size > 1]]
     opening = R.pairs(R.tokens(pa.array(["lorem ipsum"]))[0])[0]
-    sure = (np.arange(len(size)) < n_trusted) | ((first == opening) & ~barred)  # filler that opens as filler does
+    sure = (np.arange(len(size)) < n_trusted) | ((first == opening) & ~barred) | marked  # filler that opens as filler does
     post = sure.astype(float)
     keep = count >= 3
     for r in range(rounds):
-        w = np.where(sure, trust, 1.0)
+        w = np.where(marked, 0.2, np.where(sure, trust, 1.0))  # placeholders are many: they must not outweigh messages
         pos = np.bincount(idx, weights=(post * w)[where], minlength=len(token))
         neg = np.bincount(idx, weights=(1 - post)[where], minlength=len(token))
         lp = np.log((pos + smooth) / (pos.sum() + smooth * len(token))) - np.log((neg + smooth * 20) / (neg.sum() + smooth * 20 * len(token)))
@@ -159,7 +192,17 @@ def residue(folder: str, rounds: int = 6, prior: float = 0.01, trust: float = 3.
         print("round", r, "positive passages", int((new > 0.5).sum()), "of", len(size))
         post = new
     unknown = -0.7
-    np.savez_compressed(R.MODEL, token=token[keep | (pos > 1)], weight=np.clip(lp, -6, 6)[keep | (pos > 1)].astype(np.float16), unknown=unknown, placeholder=100.0)
+    np.savez_compressed(R.MODEL, token=token[keep | (pos > 1)], weight=np.clip(lp, -6, 6)[keep | (pos > 1)].astype(np.float16), unknown=unknown)
+    R.model.cache_clear()
+    best = np.concatenate([R.scores(t)[0] for t in _outside(folder, "documents", "text")])
+    print("documents outside the sample:", len(best), "scores by fives up to 100:", np.histogram(best, bins=np.append(np.arange(0, 105, 5), np.inf))[0].tolist())
+
+
+def _parted(passage: str, part: str) -> list[str]:
+    """A passage cut around the words that stand for placeholders."""
+    import regex
+
+    return [p.strip() for p in regex.split(rf"({part}o\w+ {part}\w* {part}e\w+)", passage) if p.strip()]
 
 
 def _passages(text: str) -> list[str]:
