@@ -147,6 +147,28 @@ def test_single_byte_garbling_and_sound_names():
         assert garble.spans(sound) == []
 
 
+def test_words_of_capitals_are_judged_one_by_one():
+    bad = "LA ŜIPO STARAS ĈE LA MARO".encode("iso8859_3").decode("cp1252")
+    assert [bad[s:e] for s, e, _ in garble.spans(bad)] == ["Þ", "Æ"]
+    assert garble.restore(bad)[0] == "LA ŜIPO STARAS ĈE LA MARO"
+    for sound in ("En 1931 BJØRLUND venis al ÅNGDAL.", "BJØRLUND, ÅNGDAL, KJÆRSØ kaj SØRVÅG estas nomoj."):
+        assert garble.spans(sound) == []
+
+
+def test_one_form_is_judged_by_its_place_alone():
+    assert garble.spans("antaÅ\xad la domo") and garble.spans("la fiЕќisto") and garble.spans("pokazaЕ‚ worek")
+    assert garble.spans("Å\xadngdal estas urbo") == [] and garble.spans("LA DOМ« diris li") == []
+    long = "antaÅ\xad la domo " + "va\xadpo\xadro " * 500  # many scattered characters elsewhere change nothing
+    assert [(s, e) for s, e, _ in garble.spans(long)] == [(4, 6)]
+
+
+def test_the_quick_look_loses_nothing(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text]
+    quick = [garble.spans(t) for t in texts]
+    monkeypatch.setattr(garble, "_suspicious", lambda t: True)
+    assert [garble.spans(t) for t in texts] == quick
+
+
 def jaccard_pairs(texts, k, s, least):
     sets = {}
     for i, t in texts.items():

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import codepoints as C
 from .batches import batch_of, map_text
 
 # Letters outside ASCII of the corpus languages, and typographic marks.
@@ -42,6 +43,8 @@ READ_AS = ("cp1252", "iso8859_1", "cp1250", "iso8859_2", "iso8859_3", "iso8859_1
 _NO_INK = frozenset("­​‌‍⁠﻿")
 #: Look-alikes of Latin letters, and small forms of such capitals (disguised, then lowered).
 _LIKE = frozenset("аеорсухіјѕАВЕКМНОРСТХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ" "вкмнтζηικτυχ")
+#: Capitals of names from other languages, which no pair of the corpus languages explains alone.
+_NAMES = frozenset("ÅØÆÞÐ")
 LOST, NBSP = "�", "\xa0"
 
 
@@ -181,7 +184,6 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text or not _suspicious(text):
         return []
     out: list[tuple[int, int, str]] = []
-    soft = -1
     # leftmost, then longest of all matches
     found = sorted((end - len(k) + 1, -len(k), k, v) for end, (k, v) in automaton().iter(text))
     at = 0
@@ -191,12 +193,8 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         end = s + len(k) - 1
         at = end + 1
         if len(k) > 1:
-            if k[-1] in _NO_INK or k[0] in _LIKE and len(k) == 2:
-                # may also be a sound letter before a scattered no-ink character
-                if soft < 0:
-                    soft = int(sum(text.count(x) for x in _NO_INK) > 2 * sum(text.count(q) for q in patterns()[0] if q[-1] in _NO_INK and q in text))
-                if soft:
-                    continue
+            if _sound_pair(text, s, k):
+                continue
             out.append((s, end + 1, v))
         elif _single_hit(text, s):
             out.append((s, end + 1, ""))
@@ -205,6 +203,16 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(set(out) | {x for x in more if x[0] not in taken})
 
 
+def _sound_pair(text: str, i: int, k: str) -> bool:
+    """May the form ``k`` at ``i`` also be a sound letter and what follows it?  A look-alike
+    capital and a mark, in a word of capitals; a letter of names and a scattered character
+    without ink, where a word begins."""
+    before = text[i - 1] if i else " "
+    if k[0] in _LIKE and len(k) == 2 and not k[1].isalpha():
+        return before.isupper()
+    return k[-1] in _NO_INK and k[0] in _NAMES and not before.isalpha() and text[i + len(k) : i + len(k) + 1].islower()
+
+
 @functools.lru_cache(maxsize=1)
 def _inner():
     import regex
@@ -220,17 +228,33 @@ def _inner_capitals(text: str) -> list[int]:
 
 
 def _capital_words(text: str) -> list[tuple[int, int, str]]:
-    """Letters of no corpus language in words of capitals, where more than two such words
-    stand (one or two may be names)."""
+    """Letters of no corpus language in words of capitals: a word is garbled if an encoding
+    pair turns it into a known word; what the same pair explains beside it is garbled too,
+    any other word of the kind is a name."""
     if text.isascii():
         return []
     known = _foreign()
-    words = {}
+    words: dict[str, list[int]] = {}
     for m in _capitals().finditer(text):
-        at = [m.start() + i for i, c in enumerate(m.group()) if c in known]
-        if at:
-            words.setdefault(m.group(), []).extend(at)
-    return [(i, i + 1, "") for at in words.values() for i in at] if len(words) > 2 else []
+        if not known.isdisjoint(m.group()):
+            words.setdefault(m.group(), []).append(m.start())
+    if not words:
+        return []
+    pairs = []
+    for name, m in patterns()[1].items():
+        back = {w: "".join(m.get(c, c) if c in known else c for c in w) for w in words if all(c not in known or m.get(c, " ").isalpha() for c in w)}
+        if back and _known_words(list(back.values())):
+            pairs.append(frozenset(back))
+    return [(at + i, at + i + 1, "") for w in set().union(*pairs) for at in words[w] for i, c in enumerate(w) if c in known] if pairs else []
+
+
+def _known_words(words: list[str]) -> bool:
+    """Does one of the words stand in the vocabulary of the language model?"""
+    from . import languages
+
+    c, o = C.unify(*C.decode(pa.array([w.lower() for w in words], pa.string())))
+    h = C.word_hashes(c, *C.words(c, o)[:2])
+    return bool(np.isin(h, languages.model()[0]).any())
 
 
 @functools.lru_cache(maxsize=1)
