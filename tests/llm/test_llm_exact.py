@@ -266,6 +266,52 @@ def test_leaks_by_join_equal_those_by_broadcast(spark):
     docs = spark.createDataFrame(d, "doc_id long, text string")
     items = spark.createDataFrame(b, "item_id long, text string"), spark.createDataFrame(q, "item_id long, question string")
     for exact in (True, False):
-        rows = [{(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, *items, exact=exact, max_broadcast=m).collect()} for m in (leaks.MAX_BROADCAST_WINDOWS, 1)]
+        rows = [{(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, *items, exact=exact, max_broadcast=m).collect()} for m in (leaks.MAX_BROADCAST_CHARS, 1)]
         assert rows[0] == rows[1] and rows[0], exact
     assert (2, 10001) in rows[1] and (1, 10001) not in rows[1] and (6, 2) not in rows[1]
+
+
+def test_names_that_open_an_item_are_slots(spark):
+    b = [(10001, "Maria havas 12 pomojn kaj Petro havas 7 pirojn en la sako")]
+    d = [(1, "Anna havas 30 pomojn kaj Karlo havas 9 pirojn en la sako"), (2, b[0][1]), (3, "Anna havas 30 pomojn kaj Karlo havas 30 pirojn en la sako")]
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    items = spark.createDataFrame(b, "item_id long, text string"), None
+    for m in (leaks.MAX_BROADCAST_CHARS, 1):
+        assert {r.doc_id for r in leaks.leaked_items(docs, *items, exact=False, max_broadcast=m).collect()} == {1}
+        assert {r.doc_id for r in leaks.leaked_items(docs, *items, max_broadcast=m).collect()} == {2}
+
+
+def test_rows_of_numbers_are_no_templates(spark):
+    """A window of slots alone costs no expansion and is a copy of nothing but itself."""
+    b = [(10001 + i, " ".join(str(j + i) for j in range(40))) for i in range(200)]
+    d = [(1, " ".join(str(1000 + j) for j in range(5000))), (2, b[7][1])]
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    items = spark.createDataFrame(b, "item_id long, text string"), None
+    assert leaks.leaked_items(docs, *items, exact=False).collect() == []
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, *items).collect()}
+    assert {d for d, _ in got} == {2} and (2, 10008) in got
+
+
+def test_planted_reparameterised_items_are_found(spark):
+    """Items of the tables with all numbers and names exchanged, one value for one value: recall of 0.9 at least."""
+    sf, rng = "/root/testdata/sf0.01", random.Random(9)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text]
+    asks = [(r.item_id, r.question) for r in spark.read.parquet(f"{sf}/factual_qa.parquet").collect() if r.question]
+    small = {w for _, t in bench + asks for w in WORD.findall(t) if w[:1].islower()}
+
+    def other(text):
+        new, words = {}, []
+        for i, m in enumerate(re.finditer(r"[^\W_]+|[\W_]+", text)):
+            w = m.group()
+            if w.isascii() and w.isdigit():
+                w = new.setdefault(w, str(10**6 + len(new) * 7919 + rng.randrange(100)))
+            elif i and w[:1].isupper() and w.lower() not in small and w[1:].islower():
+                w = new.setdefault(w, "Kvorlim" + "abcdefghijklmnop"[len(new) % 16] * (1 + len(new) // 16))
+            words.append(w)
+        return "".join(words) if new else None
+
+    plant = [(i, x) for i, t in bench + asks if (x := other(t)) and len(WORD.findall(t)) >= 8]
+    docs = spark.createDataFrame([(i, f"Antaŭa frazo. {x} Posta frazo.") for i, x in plant], "doc_id long, text string")
+    tables = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(asks, "item_id long, question string")
+    found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, *tables, exact=False).collect()}
+    assert len(plant) > 100 and sum((i, i) in found for i, _ in plant) >= 0.9 * len(plant)
