@@ -149,9 +149,10 @@ def _slots_and_template(tw: np.ndarray, xw: np.ndarray) -> np.ndarray:
 
 def _ranges(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which key, which place) of every equal pair."""
-    lo, hi = np.searchsorted(sorted_keys, keys), np.searchsorted(sorted_keys, keys, side="right")
+    some = np.flatnonzero(_among(keys, sorted_keys))
+    lo, hi = np.searchsorted(sorted_keys, keys[some]), np.searchsorted(sorted_keys, keys[some], side="right")
     n = hi - lo
-    return np.repeat(np.arange(len(keys)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(some, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -166,15 +167,16 @@ def _matches(items: Items, arr: pa.Array, exact: bool):
     """(row of the batch, item id) of every window that passes template and slot check."""
     h, cap, number, woff = _folded_words(arr)
     tokens = items.typed.templates(h, cap, number)
+    bold = tokens if exact else items.typed.templates(h, cap, number, True)
     rows, found = [], []
     for k, q in items.by_run.items():
         pos, row = C.window_ok(woff, k)
         if not len(pos):
             continue
         # a document word that the items know only as a possible name stands under both templates too
-        for t in (tokens,) if exact else (tokens, items.typed.templates(h, cap, number, True)):
+        xw = C.windows(h, k)[pos]
+        for t in (tokens,) if exact else (tokens, bold):
             tw = C.windows(t, k)[pos]
-            xw = C.windows(h, k)[pos]
             if exact:
                 # the words of an item window carry its template with them: the plain one finds them
                 i, j = _ranges(_slots_and_template(tw, xw), q["same"])
