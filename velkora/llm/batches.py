@@ -56,14 +56,16 @@ def lists_of(values: np.ndarray, off: np.ndarray) -> pa.Array:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder all executors share (``spark.checkpoint.dir``).
 
-    The folder set on the session is used as it is; only where none is set (tests,
-    local runs) a folder of our own is made.
+    The folder set on the session is used as it is; a folder of our own is made only where
+    none is set and Spark runs on this machine alone (tests); a cluster must name one.
     """
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="velkora-checkpoint-")
