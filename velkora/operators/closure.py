@@ -8,15 +8,13 @@ loop ends with an empty delta, so cycles are harmless.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import saved
 
-MAX_ROUNDS = 50
-
-
 def closure(edges: DataFrame, part: str | None = None, directed: bool = True, max_depth: int | None = None, reflexive: bool = False, seeds: DataFrame | None = None) -> DataFrame:
     """(part, src, dst, depth) pairs linked by a path of at most ``max_depth`` edges.
 
@@ -33,7 +31,7 @@ def closure(edges: DataFrame, part: str | None = None, directed: bool = True, ma
     step = e.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("next"))
     delta = saved(delta.withColumn("depth", F.lit(1)))
     layers = [delta]  # each round is written once; the known pairs are their union
-    for depth in range(2, (max_depth or MAX_ROUNDS) + 1):
+    for depth in range(2, max_depth + 1) if max_depth else count(2):  # paths are finite, so a delta is empty in the end
         more = delta.select(*keys, "src", "dst").join(step, [*keys, "dst"]).select(*keys, "src", F.col("next").alias("dst"))
         known = reduce(DataFrame.unionByName, layers).select(*keys, "src", "dst")
         more = more.where("src <> dst").distinct().join(known, [*keys, "src", "dst"], "left_anti")
@@ -58,7 +56,7 @@ def components(edges: DataFrame, part: str | None = None) -> DataFrame:
     e = edges.where("src is not null and dst is not null").select(*keys, "src", "dst")
     both = saved(e.unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     lab = saved(both.groupBy(*keys, "src").agg(F.least(F.min("dst"), F.col("src")).alias("comp")).withColumnRenamed("src", "node"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = both.join(lab.select(*keys, F.col("node").alias("dst"), "comp"), [*keys, "dst"])
         low = seen.groupBy(*keys, F.col("src").alias("node")).agg(F.min("comp").alias("low"))
         near = lab.join(low, [*keys, "node"]).select(*keys, "node", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
@@ -67,5 +65,4 @@ def components(edges: DataFrame, part: str | None = None) -> DataFrame:
         changed = not new.where("comp <> was").isEmpty()
         lab = new.drop("was")
         if not changed:
-            break
-    return lab
+            return lab

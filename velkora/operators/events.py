@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,13 +37,22 @@ def entities_at(entities: DataFrame, t: int) -> DataFrame:
     return entities.where(F.coalesce(F.col("created_at") < t, F.lit(True)) & F.coalesce(F.col("destroyed_at") >= t, F.lit(True)))
 
 
-def causal_depth(events: DataFrame, causes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(trace_id, event_id, depth): edges on the longest chain of causes that ends in the event."""
+def _levels(events: DataFrame, what: str) -> Iterator[int]:
+    """1, 2, … up to the events of the largest trace: a longer chain of causes would be a cycle."""
+    most = events.groupBy("trace_id").agg(F.countDistinct("event_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    yield from range(1, most + 1)
+    raise ValueError(f"{what}: causes form a cycle")
+
+
+def causal_depth(events: DataFrame, causes: DataFrame) -> DataFrame:
+    """(trace_id, event_id, depth): edges on the longest chain of causes that ends in the event.
+
+    Causes come before effects; a cycle has no longest chain and raises."""
     nodes = events.select("trace_id", "event_id").distinct()
     edges = saved(causes.join(nodes, ["trace_id", "event_id"], "left_semi").join(nodes.withColumnRenamed("event_id", "cause"), ["trace_id", "cause"], "left_semi").distinct())
     best = saved(nodes.withColumn("depth", F.lit(0)))
     layer = best
-    for d in range(1, max_depth + 1):
+    for d in _levels(nodes, "causal_depth"):
         layer = saved(edges.join(layer.select("trace_id", F.col("event_id").alias("cause")), ["trace_id", "cause"]).select("trace_id", "event_id").distinct().withColumn("depth", F.lit(d)))
         if layer.isEmpty():
             break
@@ -49,13 +60,14 @@ def causal_depth(events: DataFrame, causes: DataFrame, max_depth: int = 50) -> D
     return best
 
 
-def chain_paths(events: DataFrame, causes: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(depth, n_paths): number of causal paths of each length over all traces."""
+def chain_paths(events: DataFrame, causes: DataFrame) -> DataFrame:
+    """(depth, n_paths): number of causal paths of each length over all traces; a cycle raises."""
     edges = saved(causes.select("trace_id", "event_id", "cause").distinct())
     counts = edges.select("trace_id", "event_id").groupBy("trace_id", "event_id").agg(F.count("*").alias("n"))
     out = [counts.agg(F.lit(1).alias("depth"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_paths"))]
     layer = saved(counts)
-    for d in range(2, max_depth + 1):
+    for d in _levels(edges, "chain_paths"):
+        d += 1
         step = edges.join(layer.select("trace_id", F.col("event_id").alias("cause"), "n"), ["trace_id", "cause"])
         layer = saved(step.groupBy("trace_id", "event_id").agg(F.sum("n").alias("n")))
         if layer.isEmpty():

@@ -1,19 +1,22 @@
 """Derivations to a fixpoint, and causal rules with effects.
 
 ``derive`` applies an ordered list of derivations to all traces at once until nothing is
-new (at most ``MAX_ROUNDS`` rounds).  Asserted values win over derived ones; for a scalar
+new.  Derived rows only grow and are made of values that occur, so the loop ends; it
+raises where a caller's ``max_rounds`` ends it before.  Asserted values win over derived ones; for a scalar
 slot the first derivation in list order wins; the derived layer is rebuilt from asserted
 state on every call, so conclusions vanish with their premises.
 
 ``run`` alternates derivation and causal rules.  A causal rule fires once for each
 (rule, event, binding); the memo of fired bindings is kept across rounds.  Event ids are
-content hashes, so emitting the same event twice changes nothing.
+content hashes, so emitting the same event twice changes nothing.  Rules that keep creating
+new events for each other never end: after ``MAX_ROUNDS`` rounds ``run`` raises.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -71,14 +74,20 @@ def _col(x: Any) -> Column:
     return F.col(x.name) if isinstance(x, Var) else F.lit(x).cast("string")
 
 
-def derive(state: TraceState, rules: list[Derivation], max_rounds: int = MAX_ROUNDS) -> TraceState:
+class NoFixpoint(RuntimeError):
+    """The bound on rounds was met while there was still something new."""
+
+
+def derive(state: TraceState, rules: list[Derivation], max_rounds: int | None = None) -> TraceState:
     """State with its derived layers rebuilt."""
     spark = state.spark
     none = lambda s: spark.createDataFrame([], s)
     state = state.with_(d_props=none(PROP), d_rels=none(REL), d_removals=none(REL), d_cats=none(CATEGORY))
     asserted = saved(state.current_props())
     multi = state.catalog.multi_valued
-    for _ in range(max_rounds):
+    for done in count():
+        if max_rounds is not None and done > max_rounds:
+            raise NoFixpoint(f"still deriving after {max_rounds} rounds")
         m = Matcher(state)
         props, rels, gone, cats = [], [], [], []
         for order, rule in enumerate(rules):
@@ -118,8 +127,7 @@ def derive(state: TraceState, rules: list[Derivation], max_rounds: int = MAX_ROU
                 grown = True
                 state = state.with_(**{layer: saved(getattr(state, layer).unionByName(df))})
         if not grown:
-            break
-    return state
+            return state
 
 
 # ---------------------------------------------------------------- effects
@@ -327,10 +335,16 @@ def for_each(b: DataFrame, roles: DataFrame, role: str, var: Var) -> DataFrame:
     return b.join(r, ["trace_id", "_event"])
 
 
-def run(state: TraceState, rules: list[Rule], derivations: list[Derivation] = (), max_rounds: int = MAX_ROUNDS) -> TraceState:
-    """Derive, fire every rule on its new bindings, and repeat until nothing fires."""
+def run(state: TraceState, rules: list[Rule], derivations: list[Derivation] = (), max_rounds: int | None = None) -> TraceState:
+    """Derive, fire every rule on its new bindings, and repeat until nothing fires.
+
+    ``max_rounds`` asks for so many rounds and no more; without it the rules must come to rest."""
     fired = state.spark.createDataFrame([], T.StructType([T.StructField("trace_id", T.LongType()), T.StructField("_key", T.StringType())]))
-    for _ in range(max_rounds):
+    for done in count():
+        if done == max_rounds:
+            break
+        if done > MAX_ROUNDS:
+            raise NoFixpoint(f"rules still fire after {MAX_ROUNDS} rounds")
         if derivations:
             state = derive(state, list(derivations))
         quiet = True

@@ -28,7 +28,12 @@ def softmax_pick(df: DataFrame, part: str, key: str, score: Column, temperature:
 
 
 def capped(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """At most k rows of each group, in a fixed order (the feature is the cap itself)."""
+    """At most k rows of each group, in a fixed order (the feature is the cap itself).
+
+    The condition on the row number lets Spark cut every group to k rows before the shuffle
+    (``WindowGroupLimit``), so a group with a third of all rows costs its final task no more
+    than k rows of each input partition.
+    """
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 

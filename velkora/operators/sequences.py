@@ -28,16 +28,37 @@ def set_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(new)
 
 
+#: Ranges of the order column over which running sums are taken in two steps.
+RANGES = 64
+
+
+def running_total(df: DataFrame, part: str, order: str, value: str, total: str, ranges: int = RANGES) -> DataFrame:
+    """``total``: the sum of ``value`` up to each row of its part, in order.
+
+    Two steps, so that a part with a third of all rows is no single task: rows are cut into
+    ranges of the (numeric) order column at approximate quantiles, the sums of the ranges --
+    at most ``ranges`` rows a part -- are added up first, and each range runs on from there.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
+    place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    d = df.withColumn("_range", place)
+    before = W.partitionBy(part).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    base = d.groupBy(part, "_range").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    w = W.partitionBy(part, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_here", F.sum(value).over(w)).withColumn("_part", F.col(part))
+    base = base.withColumnRenamed(part, "_part")
+    return d.join(base, d["_part"].eqNullSafe(base["_part"]) & (d["_range"] == base["_range"])).drop(base["_part"]).drop(base["_range"]).withColumn(total, F.col("_here") + F.col("_base")).drop("_here", "_base", "_range", "_part")
+
+
 def block_pack(df: DataFrame, part: str, order: str, tokens: str, size: int) -> DataFrame:
     """(part, block, tokens): token lists of a partition key concatenated in order and cut
     into blocks of ``size``; the incomplete tail is dropped.
 
-    Offsets come from a running sum over lengths; each document is then cut into the few
+    Offsets come from a running sum over lengths (``running_total``); each document is then cut into the few
     pieces that fall into different blocks, so no list longer than a block is built.
     """
-    w = W.partitionBy(part).orderBy(order)
     n = df.select(part, order, tokens).withColumn("_n", F.size(tokens)).where("_n > 0")
-    n = n.withColumn("_to", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_from", F.col("_to") - F.col("_n"))
+    n = running_total(n, part, order, "_n", "_to").withColumn("_from", F.col("_to") - F.col("_n"))
     b0, b1 = F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size)
     cut = n.withColumn("block", F.explode(F.sequence(b0, b1)))
     lo = F.greatest(F.col("_from"), F.col("block") * size)

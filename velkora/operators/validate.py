@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,15 @@ def required_violation(needed: DataFrame, relations: DataFrame, names: tuple[str
     return needed.select("trace_id", "eid").distinct().join(ok, ["trace_id", "eid"], "left").select("trace_id", "eid", F.col("ok").isNull().alias("violated"))
 
 
-def container_chain(relations: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(trace_id, eid, up, depth): containers met walking up the first parent of each step."""
+def container_chain(relations: DataFrame) -> DataFrame:
+    """(trace_id, eid, up, depth): containers met walking up the first parent of each step.
+
+    A walk ends at the top or before it meets a container again, so the loop ends."""
     first = saved(relations.where("a0 <> a1").groupBy("trace_id", "a0").agg(F.min("a1").alias("a1")))
     layer = first.select("trace_id", F.col("a0").alias("eid"), F.col("a1").alias("up"), F.lit(1).alias("depth"), F.array("a0", "a1").alias("seen"))
     layer = saved(layer)
     out = layer
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         step = layer.join(first.select("trace_id", F.col("a0").alias("up"), F.col("a1").alias("nxt")), ["trace_id", "up"])
         step = step.where(~F.array_contains("seen", F.col("nxt")))
         layer = saved(step.select("trace_id", "eid", F.col("nxt").alias("up"), F.lit(depth).alias("depth"), F.array_append("seen", F.col("nxt")).alias("seen")))

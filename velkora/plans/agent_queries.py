@@ -16,7 +16,6 @@ from .queries import query, table
 from .trace_queries import EV, LIVE, REL, ROLES, state
 
 TAKE = planner.Action("preni", {"agent": "person", "theme": "artifact", "place": "location"}, pre=(("en", "theme", "place"),), add=(("havas", "agent", "theme"),), delete=(("en", "theme", "place"),))
-PUT = planner.Action("meti", {"agent": "person", "theme": "artifact", "place": "location"}, pre=(("havas", "agent", "theme"),), add=(("en", "theme", "place"),), delete=(("havas", "agent", "theme"),))
 
 
 @query(f"""WITH {REL}, {LIVE} SELECT r.trace_id, 'preni' AS action, 'agent=' || a.eid || ',place=' || p.eid || ',theme=' || t.eid AS binding, 1 AS cost FROM rel r
@@ -50,10 +49,11 @@ def plan_search(spark: SparkSession, d: str) -> DataFrame:
     return planner.search(start, acts, goals)
 
 
-@query("SELECT * FROM (VALUES ('en', 'meti'), ('en', 'preni'), ('havas', 'meti'), ('havas', 'preni')) t(goal, action)")
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT DISTINCT c.action AS cause, x.action AS act FROM (SELECT trace_id, action, unnest(caused_by) AS by FROM ev) x JOIN ev c ON c.trace_id = x.trace_id AND c.event_id = x.by WHERE c.action <> x.action),
+w AS (SELECT act AS goal, cause AS action FROM e UNION SELECT w.goal, e.cause FROM w JOIN e ON e.act = w.action WHERE e.cause <> w.goal) SELECT goal, action FROM w""")
 def goal_relevance(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(g, a) for g in ("en", "havas") for a in planner.relevant_actions([TAKE, PUT], g)]
-    return spark.createDataFrame(rows, "goal string, action string")
+    s = state(spark, d)
+    return planner.goal_relevance(s.events, s.causes)
 
 
 _U = "((('0x' || left(md5(CAST({0} AS VARCHAR) || '{1}'), 8))::BIGINT + 0.5) / 4294967296.0)"

@@ -35,9 +35,7 @@ def blank_discard_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT source, CASE WHEN (('0x' || left(md5(CAST(doc_id AS VARCHAR)), 7))::BIGINT % 100) < 95 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM documents
 WHERE text IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND (source IN ('factoids', 'sentences') OR length(text) >= 200) GROUP BY 1, 2""")
 def source_union_split(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents")
-    parts = {s: t.where(F.col("source") == s) for s in corpora.SOURCES}
-    return corpora.combined(parts, min_chars=200).groupBy("source", "split").agg(F.count("*").alias("n"))
+    return corpora.split_table(table(spark, d, "documents"), min_chars=200).groupBy("source", "split").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, array_to_string({TOK}, ' ') AS tokens FROM docs")
@@ -129,13 +127,8 @@ def block_pack(spark: SparkSession, d: str) -> DataFrame:
     return sequences.block_pack(t, "source", "doc_id", "w", 64).select("source", "block", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform(list_slice({LW}, 1, 6), lambda w: CASE WHEN regexp_matches(w, '(o|a|oj|aj)$') AND w <> 'la' THEN w || 'n' ELSE w END), ' ') AS phrase FROM docs")
-def accusative_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", T.accusative(F.array_join(F.slice(T.letter_words(F.col("text")), 1, 6), " ")).alias("phrase"))
-
-
 @query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform({LW}, lambda w: CASE WHEN regexp_matches(w, '(o|a|oj|aj)$') AND w <> 'la' THEN w || 'n' ELSE w END), ' ') AS phrase FROM docs")
-def accusative_text(spark: SparkSession, d: str) -> DataFrame:
+def accusative_phrase(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.accusative(F.array_join(T.letter_words(F.col("text")), " ")).alias("phrase"))
 
 
@@ -176,13 +169,13 @@ def chat_source_cap(spark: SparkSession, d: str) -> DataFrame:
     return sampling.capped(c, ["role"], ["conv_id", "turn", F.col("text").asc_nulls_last()], 200)
 
 
-@query("""SELECT q.item_id, count(d.doc_id) AS n_docs FROM (SELECT item_id, lower(answer[1]) AS a FROM factual_qa WHERE length(answer[1]) > 0) q LEFT JOIN documents d ON contains(lower(d.text), q.a) GROUP BY 1""")
+@query("""SELECT q.item_id, count(DISTINCT d.doc_id) AS n_docs FROM (SELECT DISTINCT item_id, lower(a) AS a FROM (SELECT item_id, unnest(answer) AS a FROM factual_qa) WHERE length(a) > 0) q LEFT JOIN documents d ON contains(lower(d.text), q.a) GROUP BY 1""")
 def answer_check(spark: SparkSession, d: str) -> DataFrame:
     # the answers are one fixed table (size checked): each text is run once through the automaton of all
-    q = table(spark, d, "factual_qa").select("item_id", F.get("answer", F.lit(0)).alias("a")).where(F.length("a") > 0)
+    q = table(spark, d, "factual_qa").select("item_id", F.explode("answer").alias("a")).where(F.length("a") > 0).distinct()
     hits = similarity.containing(table(spark, d, "documents"), "doc_id", "text", q, "item_id", "a")
     n = hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return q.join(n, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    return q.select("item_id").distinct().join(n, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query("""SELECT item_id, try_cast(coalesce(nullif(regexp_extract(question, '####\\s*(-?[0-9]+(?:\\.[0-9]+)?)', 1), ''),
@@ -191,13 +184,13 @@ def math_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "factual_qa").select("item_id", T.numeric_answer(F.col("question")).alias("answer"))
 
 
-@query("""WITH q AS (SELECT item_id, try_cast(answer[1] AS DOUBLE) AS a, list_transform(regexp_extract_all(question, '[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS n FROM factual_qa WHERE category = 'aritmetiko'), s AS (SELECT item_id, a, n[1] + n[2] AS b FROM q WHERE len(n) >= 2)
-SELECT item_id, round(CASE WHEN a = b THEN 1.0 ELSE exp(-least(abs(a - b) / greatest(abs(b), 1e-9), 10.0)) END, 6) AS score FROM s""")
+@query("""WITH q AS (SELECT item_id, unnest(list_transform(answer, lambda x: try_cast(x AS DOUBLE))) AS a, list_transform(regexp_extract_all(question, '[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS n FROM factual_qa WHERE category = 'aritmetiko'), s AS (SELECT item_id, a, list_sum(n) AS b FROM q WHERE len(n) >= 2)
+SELECT item_id, max(round(CASE WHEN a = b THEN 1.0 ELSE exp(-least(abs(a - b) / greatest(abs(b), 1e-9), 10.0)) END, 6)) AS score FROM s GROUP BY 1""")
 def math_close(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "factual_qa").where("category = 'aritmetiko'")
     n = F.transform(F.regexp_extract_all("question", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("double"))
-    s = q.withColumn("n", n).where(F.size("n") >= 2)
-    return s.select("item_id", F.round(T.closeness(F.get("answer", F.lit(0)).try_cast("double"), F.get("n", F.lit(0)) + F.get("n", F.lit(1))), 6).alias("score"))
+    s = q.withColumn("n", n).where(F.size("n") >= 2).select("item_id", F.explode("answer").alias("a"), F.aggregate("n", F.lit(0.0), lambda x, y: x + y).alias("b"))
+    return s.groupBy("item_id").agg(F.max(F.round(T.closeness(F.col("a").try_cast("double"), F.col("b")), 6)).alias("score"))
 
 
 # ---------------------------------------------------------------- metrics

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import saved
+from ..operators.closure import closure
 from ..operators.rules import And, Entity, Matcher, Rel, Same, Var
 from ..operators.state import TraceState
 
-MAX_ROUNDS = 50
-
 
 @dataclass(frozen=True)
 class Action:
@@ -55,42 +54,60 @@ def ground(state: TraceState, actions: list[Action]) -> DataFrame:
     return out
 
 
-def relaxed_costs(start: DataFrame, actions: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def relaxed_costs(start: DataFrame, actions: DataFrame) -> DataFrame:
     """(trace_id, fact, cost): cheapest cost of each fact when deletions are ignored and the
-    costs of preconditions add up.  Loops until no cost falls."""
+    costs of preconditions add up.
+
+    Only actions with a precondition whose cost fell in the last round are worked out again;
+    costs are whole numbers that only fall, so the loop ends when none does."""
     acts = saved(actions.withColumn("aid", F.concat_ws(":", "action", "binding")))
     need = saved(acts.select("trace_id", "aid", F.size("pre").alias("n"), "cost", F.explode_outer("pre").alias("fact")))
     gives = saved(acts.select("trace_id", "aid", F.explode("add").alias("fact")))
     cost = saved(start.select("trace_id", "fact").distinct().withColumn("cost", F.lit(0).cast("long")))
-    for _ in range(max_rounds):
-        met = need.join(cost.withColumnRenamed("cost", "c"), ["trace_id", "fact"], "left").groupBy("trace_id", "aid", "n", "cost").agg(F.sum("c").alias("s"), F.count("c").alias("k"))
+    fell, free = cost.select("trace_id", "fact"), need.where("n = 0").select("trace_id", "aid")
+    while True:
+        stirred = need.join(fell, ["trace_id", "fact"]).select("trace_id", "aid").unionByName(free).distinct()
+        met = need.join(stirred, ["trace_id", "aid"], "left_semi").join(cost.withColumnRenamed("cost", "c"), ["trace_id", "fact"], "left").groupBy("trace_id", "aid", "n", "cost").agg(F.sum("c").alias("s"), F.count("c").alias("k"))
         ready = met.where("k = n").select("trace_id", "aid", (F.coalesce("s", F.lit(0)) + F.col("cost")).alias("c"))
         new = gives.join(ready, ["trace_id", "aid"]).select("trace_id", "fact", F.col("c").alias("cost"))
         low = saved(cost.unionByName(new).groupBy("trace_id", "fact").agg(F.min("cost").alias("cost")))
-        fell = low.join(cost.withColumnRenamed("cost", "was"), ["trace_id", "fact"], "left").where("was is null or cost < was")
-        done = fell.isEmpty()
-        cost = low
-        if done:
-            break
-    return cost
+        fell = saved(low.join(cost.withColumnRenamed("cost", "was"), ["trace_id", "fact"], "left").where("was is null or cost < was").select("trace_id", "fact"))
+        cost, free = low, free.limit(0)
+        if fell.isEmpty():
+            return cost
 
 
-def relevant_actions(actions: list[Action], goal: str) -> list[str]:
-    """Names of actions that can help toward a goal relation (producers of producers)."""
-    want, names = {goal}, []
-    while True:
-        more = [a for a in actions if a.name not in names and want & {r for r, *_ in a.add}]
-        if not more:
-            return sorted(names)
-        for a in more:
-            names.append(a.name)
-            want |= {r for r, *_ in a.pre}
+def goal_relevance(events: DataFrame, causes: DataFrame) -> DataFrame:
+    """(goal, action): actions from which a chain of causes leads to the goal action.
+
+    The backward walk goes over the kinds of actions that were seen to cause each other, a
+    small graph however many traces there are."""
+    e = events.select("trace_id", "event_id", "action").distinct()
+    by = causes.join(e.select("trace_id", F.col("event_id").alias("cause"), F.col("action").alias("dst")), ["trace_id", "cause"])
+    pairs = by.join(e.select("trace_id", "event_id", F.col("action").alias("src")), ["trace_id", "event_id"]).select("src", "dst").distinct()
+    return closure(pairs).select(F.col("src").alias("goal"), F.col("dst").alias("action"))
+
+
+def estimate(at: frozenset, ops: list[tuple], goal: str) -> int | None:
+    """Layers of relaxed actions until the goal is reached; None where it never is."""
+    known, layer = set(at), 0
+    while goal not in known:
+        new = set().union(*[add for _, pre, add, _ in ops if pre <= known]) - known
+        if not new:
+            return None
+        known |= new
+        layer += 1
+    return layer
 
 
 def search(start: DataFrame, actions: DataFrame, goals: DataFrame, max_states: int = 5000) -> DataFrame:
-    """(trace_id, goal, found, n_steps, plan): best-first search in each trace by itself.
+    """(trace_id, goal, found, n_steps, plan): shortest plans by A* in each trace by itself.
 
-    One scene is small by nature (its entities); scenes are spread over tasks by trace.
+    The estimate of a state is the relaxed cost of the goal (deletions ignored, the dearest
+    precondition counts), which never exceeds the true one, so plans are shortest; a state
+    from which even the relaxed goal is out of reach is not followed.  One scene is small by
+    nature (its entities); scenes are spread over tasks by trace.  ``found`` is null where
+    ``max_states`` ended a search that was not over.
     """
 
     def one(key, facts: pd.DataFrame, acts: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
@@ -98,19 +115,25 @@ def search(start: DataFrame, actions: DataFrame, goals: DataFrame, max_states: i
         ops = [(f"{a}({b})", frozenset(p), frozenset(x), frozenset(y)) for a, b, p, x, y in zip(acts["action"], acts["binding"], acts["pre"], acts["add"], acts["del"], strict=True)]
         rows = []
         for goal in sorted(set(wants["goal"])):
-            heap, seen, found = [(0, 0, first, ())], {first}, None
+            heap, best, found = [], {first: 0}, None
             tick = 0
-            while heap and len(seen) <= max_states:
-                n, _, at, plan = heapq.heappop(heap)
+            if (h := estimate(first, ops, goal)) is not None:
+                heap.append((h, 0, 0, first, ()))
+            while heap and len(best) <= max_states:
+                _, _, n, at, plan = heapq.heappop(heap)
                 if goal in at:
                     found = plan
                     break
+                if n > best[at]:
+                    continue
                 for name, pre, add, gone in ops:
-                    if pre <= at and (nxt := (at - gone) | add) not in seen:
-                        seen.add(nxt)
-                        tick += 1
-                        heapq.heappush(heap, (n + 1, tick, nxt, (*plan, name)))
-            rows.append((key[0], goal, found is not None, len(found or ()), list(found or ())))
+                    if pre <= at and best.get(nxt := (at - gone) | add, n + 2) > n + 1:
+                        best[nxt] = n + 1
+                        if (h := estimate(nxt, ops, goal)) is not None:
+                            tick += 1
+                            heapq.heappush(heap, (n + 1 + h, tick, n + 1, nxt, (*plan, name)))
+            over = found is not None or not heap
+            rows.append((key[0], goal, found is not None if over else None, len(found or ()), list(found or ())))
         return pd.DataFrame(rows, columns=["trace_id", "goal", "found", "n_steps", "plan"])
 
     tagged = start.select("trace_id", F.lit(0).alias("kind"), "fact", F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("binding"), F.array().cast("array<string>").alias("pre"), F.array().cast("array<string>").alias("add"), F.array().cast("array<string>").alias("del"))
@@ -123,12 +146,3 @@ def search(start: DataFrame, actions: DataFrame, goals: DataFrame, max_states: i
 
     return tagged.unionByName(acts).unionByName(want).groupBy("trace_id").applyInPandas(scene, "trace_id long, goal string, found boolean, n_steps int, plan array<string>")
 
-
-@dataclass(frozen=True)
-class Scene:
-    """Knobs of a sampled scene: every draw is a hash of (scene, draw name)."""
-
-    locations: tuple[str, ...]
-    persons: tuple[str, ...]
-    two_persons: float = 0.25
-    siblings: tuple[int, ...] = field(default=(2, 3, 1))

@@ -78,6 +78,14 @@ def kept(df: DataFrame, text: str = "text", flag: str = "filter") -> DataFrame:
     return df.where(F.col(text).isNotNull() & ~F.col(text).rlike(BLANK) & (F.coalesce(F.lower(F.col(flag)), F.lit("")) != "discard"))
 
 
+def split_table(df: DataFrame, source: str = "source", min_chars: int = 0, train_percent: int = 95, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``combined`` for one table that names the source of each row: read once, whatever the sources."""
+    d = df.where(F.col(text).isNotNull() & ~F.col(text).rlike(BLANK))
+    if min_chars:
+        d = d.where(F.coalesce(F.col(source).isin(*SHORT), F.lit(False)) | (F.length(text) >= min_chars))
+    return d.withColumn("split", split_by_hash(F.col(key), train_percent))
+
+
 def combined(parts: dict[str, DataFrame], min_chars: int = 0, train_percent: int = 95, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Union of the chosen sources with ``source`` and ``split``; short sources are exempt
     from the least length; choosing none is an error."""

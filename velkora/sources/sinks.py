@@ -50,15 +50,25 @@ def append_missing(df: DataFrame, path: str, key: str) -> None:
 
 
 def merge_small(df: DataFrame, path: str, key: str) -> None:
-    """Upsert into a small table of results (read, replace by key, write beside, swap)."""
+    """Upsert into a small table of results (read, replace by key, write beside, swap).
+
+    The old table is moved aside, never deleted before the new one stands; a run that was
+    broken off between the two moves is mended by the next one."""
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fresh = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "_next")
+    before = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "_before")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(before):
+        if not fs.exists(target):
+            fs.rename(before, target)
+        fs.delete(before, True)
     out = df.dropDuplicates([key])
     if fs.exists(target):
         old = spark.read.parquet(path)
         out = out.unionByName(old.join(out.select(key), key, "left_anti"), allowMissingColumns=True)
     out.write.mode("overwrite").parquet(str(fresh))
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.rename(target, before)
     fs.rename(fresh, target)
+    fs.delete(before, True)

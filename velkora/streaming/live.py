@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="velkora-stream-")
@@ -32,16 +33,19 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> Da
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Run to the end of the input; the rows of the last (complete) or of all (append) batches."""
+    """Run to the end of the input; the rows of the last (complete) or of all (append) batches.
+
+    A batch has a folder of its own by its id, so one that is run again after a failure
+    replaces what it wrote before."""
     spark = stream.sparkSession
     base = shared_folder(spark)
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/{number:012d}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def current_values(stream: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -69,26 +73,7 @@ def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def fired_once(stream: DataFrame, key: str, item: str, most: int = 10_000) -> DataFrame:
-    """(key, item) pairs the first time they are seen; the memo of a key is its state.
-
-    ``most`` bounds a key's memo in memory; a key beyond it fails loudly rather than
-    firing twice.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(k, batches, state: GroupState):
-        seen = set(state.get[0].split("\x1f")) if state.exists else set()
-        new = []
-        for b in batches:
-            for x in b[item]:
-                if x is not None and x not in seen:
-                    seen.add(x)
-                    new.append(x)
-        if len(seen) > most:
-            raise ValueError(f"memo of {k} exceeds {most}")
-        state.update(("\x1f".join(sorted(seen)),))
-        yield pd.DataFrame({key: [k[0]] * len(new), item: new})
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {item} string", "memo string", "append", GroupStateTimeout.NoTimeout)
+def fired_once(stream: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item) pairs the first time they are seen: each pair is a state entry of its own,
+    so a key may fire any number of items and a batch writes only what is new."""
+    return stream.where(F.col(item).isNotNull()).select(key, item).dropDuplicates([key, item])
