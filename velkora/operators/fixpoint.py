@@ -74,23 +74,36 @@ def _col(x: Any) -> Column:
     return F.col(x.name) if isinstance(x, Var) else F.lit(x).cast("string")
 
 
+_KIND = {"d_props": "slot", "d_rels": "relation", "d_removals": "relation", "d_cats": "category"}
+
+
 class NoFixpoint(RuntimeError):
     """The bound on rounds was met while there was still something new."""
 
 
 def derive(state: TraceState, rules: list[Derivation], max_rounds: int | None = None) -> TraceState:
-    """State with its derived layers rebuilt."""
+    """State with its derived layers rebuilt.
+
+    Dependency tags spare work: after the first round a rule is matched again only if the
+    round before derived something of a name that it reads.
+    """
+    from .introspect import reads, writes
+
     spark = state.spark
     none = lambda s: spark.createDataFrame([], s)
     state = state.with_(d_props=none(PROP), d_rels=none(REL), d_removals=none(REL), d_cats=none(CATEGORY))
     asserted = saved(state.current_props())
     multi = state.catalog.multi_valued
+    changed: set | None = None
     for done in count():
         if max_rounds is not None and done > max_rounds:
             raise NoFixpoint(f"still deriving after {max_rounds} rounds")
         m = Matcher(state)
         props, rels, gone, cats = [], [], [], []
-        for order, rule in enumerate(rules):
+        active = [(i, r) for i, r in enumerate(rules) if changed is None or reads(r.when) & changed]
+        if not active:
+            return state
+        for order, rule in active:
             b = m.body(rule.when).distinct()
             for h in rule.then:
                 match h:
@@ -120,14 +133,12 @@ def derive(state: TraceState, rules: list[Derivation], max_rounds: int | None =
             new["d_removals"] = reduce(DataFrame.unionByName, gone).distinct().join(state.d_removals, key, "left_anti")
         if cats:
             new["d_cats"] = reduce(DataFrame.unionByName, cats).distinct().join(state.d_cats, ["trace_id", "eid", "category"], "left_anti")
-        grown = False
+        changed = set()
         for layer, df in new.items():
             df = saved(df)
             if not df.isEmpty():
-                grown = True
+                changed |= {x for _, r in active for x in writes(r) if x[0] == _KIND[layer]}
                 state = state.with_(**{layer: saved(getattr(state, layer).unionByName(df))})
-        if not grown:
-            return state
 
 
 # ---------------------------------------------------------------- effects
@@ -335,20 +346,59 @@ def for_each(b: DataFrame, roles: DataFrame, role: str, var: Var) -> DataFrame:
     return b.join(r, ["trace_id", "_event"])
 
 
+def _touched(effect: Any) -> set | None:
+    """Names an effect writes to; None where it may concern any rule (lives and stacks)."""
+    match effect:
+        case Emit(action=action, changing=changing):
+            return {("action", action), ("action", "*")} | {("slot", c.slot) for c in changing}
+        case Change(slot=slot):
+            return {("slot", slot), ("action", "change"), ("action", "*")}
+        case AddRelation(name=name) | RemoveRelation(name=name):
+            return {("relation", name)}
+    return None
+
+
+def _reads_of(rule: Rule) -> set:
+    from .introspect import reads
+
+    return {("action", rule.on.action or "*")} | reads(rule.when)
+
+
+def _with_derived(changed: set | None, derivations: list[Derivation]) -> set | None:
+    """The changed names and all that derivations may make of them."""
+    from .introspect import reads, writes
+
+    while changed is not None:
+        more = set().union(*[writes(d) for d in derivations if reads(d.when) & changed]) - changed
+        if not more:
+            break
+        changed = changed | more
+    return changed
+
+
 def run(state: TraceState, rules: list[Rule], derivations: list[Derivation] = (), max_rounds: int | None = None) -> TraceState:
     """Derive, fire every rule on its new bindings, and repeat until nothing fires.
 
-    ``max_rounds`` asks for so many rounds and no more; without it the rules must come to rest."""
+    ``max_rounds`` asks for so many rounds and no more; without it the rules must come to rest.
+    A rule is matched again, and the derived layers rebuilt, only where something of a name
+    they read was touched since; effects on lives and stacks may concern any rule.
+    """
+    from .introspect import reads
+
     fired = state.spark.createDataFrame([], T.StructType([T.StructField("trace_id", T.LongType()), T.StructField("_key", T.StringType())]))
+    before: set | None = None  # names touched in the round before; None: any
     for done in count():
         if done == max_rounds:
             break
         if done > MAX_ROUNDS:
             raise NoFixpoint(f"rules still fire after {MAX_ROUNDS} rounds")
-        if derivations:
+        if derivations and (before is None or any(reads(d.when) & before for d in derivations)):
             state = derive(state, list(derivations))
-        quiet = True
+            before = _with_derived(before, list(derivations))
+        quiet, here = True, set()
         for rule in rules:
+            if before is not None and here is not None and not _reads_of(rule) & (before | here):
+                continue
             b, memo = _fire(state, rule, fired)
             if b.isEmpty():
                 continue
@@ -356,6 +406,9 @@ def run(state: TraceState, rules: list[Rule], derivations: list[Derivation] = ()
             fired = saved(fired.unionByName(memo))
             for effect in rule.effects:
                 state = apply(state, b, effect)
+                names = _touched(effect)
+                here = None if here is None or names is None else here | names
         if quiet:
-            break
+            return state
+        before = here
     return derive(state, list(derivations)) if derivations else state

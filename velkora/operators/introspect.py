@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 from .fixpoint import AddRelation, Category, Change, ConsumeOne, CreateEntity, Derivation, DestroyEntity, Emit, NotRelation, Property, Relation, RemoveRelation, Rule, TransferN
-from .rules import And, Clause, Closure, Compare, Entity, Event, Not, Or, Rel, VarProp
+from .rules import And, CausedBy, Clause, Closure, Compare, Entity, Event, Not, Or, Rel, VarProp
 
 Fact = tuple[str, str]
 
@@ -26,7 +26,9 @@ def reads(c: Clause | None) -> set[Fact]:
         case Closure(relations=names):
             return {("relation", n) for n in names}
         case Event(action=action):
-            return {("action", action)} if action else set()
+            return {("action", action or "*")}
+        case CausedBy():
+            return {("action", "*")}
         case Compare(left=a, right=b):
             return {("slot", x.slot) for x in (a, b) if isinstance(x, VarProp)}
         case _:

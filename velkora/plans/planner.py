@@ -58,23 +58,23 @@ def relaxed_costs(start: DataFrame, actions: DataFrame) -> DataFrame:
     """(trace_id, fact, cost): cheapest cost of each fact when deletions are ignored and the
     costs of preconditions add up.
 
-    Only actions with a precondition whose cost fell in the last round are worked out again;
-    costs are whole numbers that only fall, so the loop ends when none does."""
+    Only actions with a precondition whose cost fell in the last round give new costs; costs
+    are whole numbers that only fall, so the loop ends when none does."""
     acts = saved(actions.withColumn("aid", F.concat_ws(":", "action", "binding")))
     need = saved(acts.select("trace_id", "aid", F.size("pre").alias("n"), "cost", F.explode_outer("pre").alias("fact")))
     gives = saved(acts.select("trace_id", "aid", F.explode("add").alias("fact")))
-    cost = saved(start.select("trace_id", "fact").distinct().withColumn("cost", F.lit(0).cast("long")))
-    fell, free = cost.select("trace_id", "fact"), need.where("n = 0").select("trace_id", "aid")
+    cost = saved(start.select("trace_id", "fact").distinct().select("trace_id", "fact", F.lit(0).cast("long").alias("cost"), F.lit(True).alias("fell")))
+    first = True
     while True:
-        stirred = need.join(fell, ["trace_id", "fact"]).select("trace_id", "aid").unionByName(free).distinct()
-        met = need.join(stirred, ["trace_id", "aid"], "left_semi").join(cost.withColumnRenamed("cost", "c"), ["trace_id", "fact"], "left").groupBy("trace_id", "aid", "n", "cost").agg(F.sum("c").alias("s"), F.count("c").alias("k"))
-        ready = met.where("k = n").select("trace_id", "aid", (F.coalesce("s", F.lit(0)) + F.col("cost")).alias("c"))
-        new = gives.join(ready, ["trace_id", "aid"]).select("trace_id", "fact", F.col("c").alias("cost"))
-        low = saved(cost.unionByName(new).groupBy("trace_id", "fact").agg(F.min("cost").alias("cost")))
-        fell = saved(low.join(cost.withColumnRenamed("cost", "was"), ["trace_id", "fact"], "left").where("was is null or cost < was").select("trace_id", "fact"))
-        cost, free = low, free.limit(0)
-        if fell.isEmpty():
-            return cost
+        met = need.join(cost.select("trace_id", "fact", F.col("cost").alias("c"), "fell"), ["trace_id", "fact"], "left")
+        met = met.groupBy("trace_id", "aid", "n", "cost").agg(F.sum("c").alias("s"), F.count("c").alias("k"), F.coalesce(F.max("fell"), F.lit(first)).alias("stirred"))
+        ready = met.where("k = n and stirred").select("trace_id", "aid", (F.coalesce("s", F.lit(0)) + F.col("cost")).alias("c"))
+        new = gives.join(ready, ["trace_id", "aid"]).groupBy("trace_id", "fact").agg(F.min("c").alias("c"))
+        both = cost.select("trace_id", "fact", "cost").join(new, ["trace_id", "fact"], "full_outer")
+        cost = saved(both.select("trace_id", "fact", F.least("cost", "c").alias("cost"), F.coalesce(F.col("c") < F.col("cost"), F.col("cost").isNull()).alias("fell")))
+        first = False
+        if cost.where("fell").isEmpty():
+            return cost.drop("fell")
 
 
 def goal_relevance(events: DataFrame, causes: DataFrame) -> DataFrame:
