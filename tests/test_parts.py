@@ -134,10 +134,10 @@ def test_words_of_many_roots_are_known_and_flagged(spark):
 
 
 def test_morphology():
-    assert morphology.decompose("malgrandaj") == ["mal", "grand", "aj"]
+    assert morphology.decompose("malgrandajn") == ["mal", "grand", "a", "j", "n"]
     assert morphology.decompose("bakistino") == ["bak", "ist", "in", "o"]
     assert morphology.decompose("la") == ["la"]
-    assert [morphology.kind(m) for m in ("mal", "grand", "aj")] == ["prefix", "root", "ending"]
+    assert [morphology.kind(m) for m in ("mal", "grand", "a", "j")] == ["prefix", "root", "ending", "ending"]
     assert morphology.known_stem("katoj") and not morphology.known_stem("qwertoj")
 
 

@@ -6,6 +6,8 @@ hash order inside a group, so no group is crossed with itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,3 +179,89 @@ def cross_entity(turns: DataFrame, part: str, draw: str, each: int = 2) -> DataF
     text = lambda m: F.transform(m, lambda x: F.concat(x["question"], F.lit(" "), x["answer"]))
     both = F.concat(text(F.col("a.m")), text(F.col("b.m")))
     return p.select(part, F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"), F.size(both).alias("n"), F.array_join(both, "\n").alias("chat"))
+
+
+# ---------------------------------------------------------------- small tests and forms of facts
+
+# Class names and kinds that decide how a fact is worded.
+TRIVIAL_CLASSES = ("homo", "human", "huamn", "persono")
+ABSTRACT = (
+    "emocio", "humoro", "sento", "koncepto", "ideo", "teorio", "scienco", "studo", "branĉo", "disciplino",
+    "movado", "filozofio", "ideologio", "religio", "kutimo", "tradicio", "principo", "valoro",
+)
+INVENTIONS = (
+    "invento", "aparato", "instrumento", "maŝino", "ilo", "programaro",
+    "teknologio", "protokolo", "algoritmo", "programlingvo", "retejo",
+)
+SETTLEMENTS = (
+    "urbo", "urbeto", "urbego", "municipo", "komunumo", "vilaĝo", "insulo", "distrikto",
+    "provinco", "regiono", "kantono", "departemento", "gubernio", "prefektejo",
+)
+CLASS_PROPERTY, LONG_CLASS_LABEL, FEW_FACTS = "estas", 5, 5
+
+
+def holds_any(text: Column, parts: tuple[str, ...]) -> Column:
+    """Does the text hold one of the parts, case ignored?"""
+    low = F.lower(text)
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in parts]), F.lit(False))
+
+
+def trivial_class(prop: Column, value: Column, person: Column) -> Column:
+    """A class that says nothing: a person is human, or a label of more than five words."""
+    long = F.size(F.filter(F.split(F.trim(value), r"\s+"), lambda w: w != "")) > LONG_CLASS_LABEL
+    return F.coalesce((prop == CLASS_PROPERTY) & ((person & holds_any(value, TRIVIAL_CLASSES)) | long), F.lit(False))
+
+
+def class_tests(claims: DataFrame) -> DataFrame:
+    """(entity_id, abstract, invention): does one of the classes point to an idea or a device?"""
+    c = claims.where(F.col("property") == CLASS_PROPERTY)
+    return c.groupBy("entity_id").agg(F.max(holds_any(F.col("value"), ABSTRACT)).alias("abstract"), F.max(holds_any(F.col("value"), INVENTIONS)).alias("invention"))
+
+
+def strip_language(value: Column) -> Column:
+    """The name of a language without the word for language behind it."""
+    return F.regexp_replace(value, " [lL]ingvo$", "")
+
+
+def settlement_kind(claims: DataFrame) -> DataFrame:
+    """(entity_id, kind): the first class that is a kind of settlement, else ``loko``."""
+    c = claims.where(F.col("property") == CLASS_PROPERTY).withColumn("k", F.lower("value"))
+    return c.groupBy("entity_id").agg(F.coalesce(F.min_by(F.when(F.col("k").isin(*SETTLEMENTS), F.col("k")), F.when(F.col("k").isin(*SETTLEMENTS), F.struct("pos", "k"))), F.lit("loko")).alias("kind"))
+
+
+def variants(counts: DataFrame, n: int = 3) -> DataFrame:
+    """(entity_id, variant): one text of an entity with few facts, else ``n`` of them."""
+    return counts.select("entity_id", F.explode(F.sequence(F.lit(1), F.when(F.col("n_facts") < FEW_FACTS, 1).otherwise(n))).alias("variant"))
+
+
+#: Question pattern and answer sentence by category; {} is the answer, \\1 what the pattern caught.
+GOLD = {
+    "ĉefurbo": (r"ĉefurbo de (\w[\w-]*)", "La ĉefurbo de {x} estas {a}.", "La ĉefurbo estas {a}."),
+    "aritmetiko": (r"(?:Kiom|Kio) estas (.+?)\?", "{x} = {a}.", "Estas {a}."),
+}
+
+
+def structured_gold(category: Column, question: Column, answer: Column) -> Column:
+    """A sentence that answers the question, by its category; the plain answer sentence for others."""
+    fill = lambda form, x: F.replace(F.replace(F.lit(form), F.lit("{x}"), x), F.lit("{a}"), answer)
+    out = F.replace(F.lit("La respondo estas {a}."), F.lit("{a}"), answer)
+    for name, (pattern, form, bare) in GOLD.items():
+        x = F.regexp_extract(question, "(?U)" + pattern, 1)
+        out = F.when(category == name, F.when(x != "", fill(form, x)).otherwise(fill(bare, x))).otherwise(out)
+    return out
+
+
+def partners(entities: DataFrame, by: str, key: str) -> DataFrame:
+    """(key, partner): the next entity of the same kind, the first one after the last.
+
+    Neighbours are looked for among the entities of a kind whose hashes fall into the same of
+    ``BUCKETS`` parts, so a kind with a third of all entities is no single window."""
+    bucket = F.floor(F.round(uniform(F.col(key), "partner"), 9) * BUCKETS)
+    w = W.partitionBy(by, bucket).orderBy(key)
+    every = W.partitionBy(by, bucket)
+    return entities.select(key, by, F.coalesce(F.lead(key).over(w), F.min(key).over(every)).alias("partner")).where(F.col(key) != F.col("partner"))
+
+
+#: Windows over which a kind is spread where partners are looked for.
+BUCKETS = 64
+

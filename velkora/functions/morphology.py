@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +51,45 @@ def split_ending(word: str) -> tuple[str, str]:
     return word, ""
 
 
+#: Shortest stem that endings leave behind.
+LEAST_STEM = 2
+BASE_ENDINGS = ("as", "is", "os", "us", "o", "a", "e", "i", "u")
+
+
+def endings(word: str) -> tuple[str, list[str]]:
+    """(stem, [ending, j, n]): the accusative n goes first, then the plural j, then the ending."""
+    tail = []
+    for mark in ("n", "j"):
+        if word.endswith(mark) and len(word) > LEAST_STEM + 1:
+            tail.insert(0, mark)
+            word = word[:-1]
+    for e in BASE_ENDINGS:
+        if word.endswith(e) and len(word) - len(e) >= LEAST_STEM:
+            return word[: -len(e)], [e, *tail]
+    return word, tail
+
+
+def split_in_order(stem: str, d: Dictionary) -> tuple[str, ...] | None:
+    """Morphemes by the first way that works: a root; the longest prefix and the rest; the rest
+    and the longest suffix; a root and the rest."""
+    first = sorted(d.prefixes, key=len, reverse=True)
+    last = sorted(d.suffixes, key=len, reverse=True)
+
+    @functools.lru_cache(maxsize=None)
+    def go(s: str) -> tuple[str, ...] | None:
+        if not s or s in d.roots:
+            return (s,) if s else ()
+        ways = [(p, s[len(p) :], "") for p in first if s.startswith(p) and len(s) > len(p)]
+        ways += [("", s[: -len(x)], x) for x in last if s.endswith(x) and len(s) > len(x)]
+        ways += [(s[:i], s[i:], "") for i in range(LEAST_STEM, len(s) - LEAST_STEM + 1) if s[:i] in d.roots]
+        for head, rest, tail in ways:
+            if (r := go(rest)) is not None:
+                return (*((head,) if head else ()), *r, *((tail,) if tail else ()))
+        return None
+
+    return go(stem)
+
+
 def split_stem(stem: str, d: Dictionary) -> tuple[str, ...] | None:
     """Morphemes of a stem: a root, an affix and the rest, or a compound; fewest pieces win."""
 
@@ -81,9 +121,8 @@ def decompose(word: str, d: Dictionary = Dictionary()) -> list[str]:
     w = word.lower()
     if closed_class(w) or not w.isalpha():
         return [w]
-    stem, end = split_ending(w)
-    parts = split_stem(stem, d) or (stem,)
-    return [*parts, *([end] if end else [])]
+    stem, end = endings(w)
+    return [*(split_in_order(stem, d) or (stem,)), *end]
 
 
 def kind(m: str, d: Dictionary = Dictionary()) -> str:
@@ -92,7 +131,7 @@ def kind(m: str, d: Dictionary = Dictionary()) -> str:
         return "prefix"
     if m in d.suffixes:
         return "suffix"
-    return "ending" if m in ENDINGS else "particle" if closed_class(m) else "root"
+    return "ending" if m in ENDINGS or m in ("j", "n") else "particle" if closed_class(m) else "root"
 
 
 def known_stem(word: str, d: Dictionary = Dictionary()) -> bool:
@@ -100,6 +139,70 @@ def known_stem(word: str, d: Dictionary = Dictionary()) -> bool:
     return closed_class(w) or split_stem(split_ending(w)[0], d) is not None
 
 
+@dataclass(frozen=True)
+class Parse:
+    """First root of a word with the affixes around it."""
+
+    root: str
+    prefixes: tuple[str, ...]
+    suffixes: tuple[str, ...]
+
+
+class Parser(Protocol):
+    """Anything that parses a word; None where it cannot."""
+
+    def parse(self, word: str) -> Parse | None: ...
+
+
+@dataclass(frozen=True)
+class DictionaryParser:
+    d: Dictionary = Dictionary()
+
+    def parse(self, word: str) -> Parse | None:
+        w = word.lower()
+        m = split_in_order(endings(w)[0], self.d) if w.isalpha() and not closed_class(w) else None
+        at = next((i for i, x in enumerate(m or ()) if kind(x, self.d) == "root" or x in self.d.roots and x not in self.d.prefixes), None)
+        return None if at is None else Parse(m[at], tuple(x for x in m[:at] if x in self.d.prefixes), tuple(x for x in m[at + 1 :] if x in self.d.suffixes))
+
+
+@dataclass(frozen=True)
+class TableParser:
+    """A fixed table of parses (tests, or a lexicon with parses of its own)."""
+
+    table: dict[str, Parse]
+
+    __hash__ = object.__hash__
+
+    def parse(self, word: str) -> Parse | None:
+        return self.table.get(word.lower())
+
+
+#: Most roots a dictionary table may bring to the executors.
+MAX_ROOTS = 500_000
+
+
+def dictionary_of(table: DataFrame, col: str = "root", base: Dictionary = Dictionary()) -> Dictionary:
+    """A dictionary whose roots come from a table (a lexicon of bounded size, checked)."""
+    rows = table.select(F.lower(col)).where(F.col(col).isNotNull()).distinct().limit(MAX_ROOTS + 1).collect()
+    if len(rows) > MAX_ROOTS:
+        raise ValueError(f"more than {MAX_ROOTS} roots")
+    return replace(base, roots=frozenset(r[0] for r in rows))
+
+
+def content_stems(words: DataFrame, key: str, col: str = "word", parser: Parser = DictionaryParser()) -> DataFrame:
+    """(key, stem): prefixes and root of the content words of each key, two letters at least.
+
+    ``words`` is (key, word); each distinct word is parsed once."""
+
+    def run(batches):
+        for b in batches:
+            p = [parser.parse(w) for w in b[col]]
+            yield pd.DataFrame({col: b[col], "stem": ["".join(x.prefixes) + x.root if x else None for x in p]})
+
+    stems = words.select(col).where(F.col(col).isNotNull()).distinct().mapInPandas(run, f"{col} string, stem string")
+    return words.join(stems.where("length(stem) >= 2"), col).select(key, "stem").distinct()
+
+
 def decomposed(words: DataFrame, col: str = "word", d: Dictionary = Dictionary()) -> DataFrame:
     """(word, morphemes, kinds, known) of distinct words; null words are left out."""
 

@@ -170,3 +170,9 @@ def nesting(c: Column, opening: str = "([{", closing: str = ")]}") -> Column:
     marks = F.regexp_replace(c, r"[^()\[\]{}]", "")
     chars = F.when(F.length(marks) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marks), F.lit(1))), lambda i: F.substring(marks, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
     return F.aggregate(chars, F.struct(F.lit(0).alias("deepest"), F.lit(0).alias("left")), step)
+
+
+def agree(adjective: Column, plural: Column) -> Column:
+    """The adjective in the number of its noun."""
+    return F.concat(adjective, F.when(plural, "j").otherwise(""))
+

@@ -55,8 +55,12 @@ def precondition(bindings: DataFrame, kind: str, spec: dict[str, Any], props: Da
 
     Kinds: ``relation``, ``not_relation`` (name, a0, a1 roles); ``has_property``,
     ``not_property`` (role, slot, value); ``if_property`` (role, slot, value, then: role,
-    slot, value; holds vacuously where the condition does not); ``match`` (two roles share
-    a value of a slot; holds vacuously where either has none); ``or`` (any of a list).
+    slot, value; holds vacuously where the condition does not); ``match`` (the values of
+    ``slot_a`` of role a and of ``slot_b`` of role b, or of one ``slot``, have one in common;
+    a side without a value never matches); ``or`` (any of a list).
+
+    A role that is null is unbound: the kinds that forbid something, ``relation`` and
+    ``if_property`` hold vacuously, ``has_property`` and ``match`` fail.
     """
     if kind == "or":
         parts = [precondition(bindings, k, s, props, relations) for k, s in spec["any"]]
@@ -65,7 +69,8 @@ def precondition(bindings: DataFrame, kind: str, spec: dict[str, Any], props: Da
         r = relations.where(F.col("relation") == spec["name"]).select("trace_id", F.col("a0").alias(spec["a0"]), F.col("a1").alias(spec["a1"]), F.lit(True).alias("hit")).distinct()
         j = bindings.join(r, ["trace_id", spec["a0"], spec["a1"]], "left")
         hit = F.coalesce("hit", F.lit(False))
-        return j.select("bid", (hit if kind == "relation" else ~hit).alias("ok"))
+        unbound = F.col(spec["a0"]).isNull() | F.col(spec["a1"]).isNull()
+        return j.select("bid", (unbound | (hit if kind == "relation" else ~hit)).alias("ok"))
     has = lambda b, role, slot, value, name: b.join(props.where((F.col("slot") == slot) & (F.col("value") == value)).select("trace_id", F.col("eid").alias(role), F.lit(True).alias(name)).distinct(), ["trace_id", role], "left")
     if kind in ("has_property", "not_property"):
         j = has(bindings, spec["role"], spec["slot"], spec["value"], "hit")
@@ -77,10 +82,10 @@ def precondition(bindings: DataFrame, kind: str, spec: dict[str, Any], props: Da
         j = has(j, then["role"], then["slot"], then["value"], "hit")
         return j.select("bid", (F.col("cond").isNull() | F.coalesce("hit", F.lit(False))).alias("ok"))
     if kind == "match":
-        v = props.where(F.col("slot") == spec["slot"]).groupBy("trace_id", "eid").agg(F.collect_set("value").alias("vs"))
-        j = bindings.join(v.select("trace_id", F.col("eid").alias(spec["a"]), F.col("vs").alias("va")), ["trace_id", spec["a"]], "left")
-        j = j.join(v.select("trace_id", F.col("eid").alias(spec["b"]), F.col("vs").alias("vb")), ["trace_id", spec["b"]], "left")
-        return j.select("bid", F.coalesce(F.arrays_overlap("va", "vb"), F.lit(True)).alias("ok"))
+        side = lambda slot, role: props.where(F.col("slot") == slot).select("trace_id", F.col("eid").alias(role), "value").distinct()
+        both = bindings.select("bid", "trace_id", spec["a"], spec["b"]).join(side(spec.get("slot_a", spec.get("slot")), spec["a"]), ["trace_id", spec["a"]])
+        both = both.join(side(spec.get("slot_b", spec.get("slot")), spec["b"]), ["trace_id", spec["b"], "value"]).select("bid", F.lit(True).alias("hit")).distinct()
+        return bindings.select("bid").join(both, "bid", "left").select("bid", F.coalesce("hit", F.lit(False)).alias("ok"))
     raise ValueError(f"unknown precondition {kind}")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.checkpoints import saved
 from ..operators.closure import closure
-from ..operators.rules import And, Entity, Matcher, Rel, Same, Var
+from ..operators.fixpoint import Derivation, Relation
+from ..operators.rules import And, Entity, Matcher, Rel, Same, Var, flat, variables
 from ..operators.state import TraceState
 
 
@@ -54,6 +55,22 @@ def ground(state: TraceState, actions: list[Action]) -> DataFrame:
     return out
 
 
+def ground_derivations(state: TraceState, rules: list[Derivation]) -> DataFrame:
+    """(trace_id, action, binding, pre, add): every binding of a derivation as an action that
+    costs nothing: its relations are preconditions, its relations derived are effects."""
+    m = Matcher(state)
+    out = None
+    for r in rules:
+        parts = [c for c in flat(r.when) if isinstance(c, Rel)]
+        names = sorted(variables(r.when))
+        b = m.body(r.when).select("trace_id", *names).distinct()
+        term = lambda v: F.col(v.name) if isinstance(v, Var) else F.lit(v).cast("string")
+        facts = lambda cs: F.array(*[fact(c.name, term(c.a0), term(c.a1)) for c in cs]) if cs else F.array().cast("array<string>")
+        g = b.select("trace_id", F.lit(r.name).alias("action"), F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.col(n)) for n in names]).alias("binding"), facts(parts).alias("pre"), facts([h for h in r.then if isinstance(h, Relation)]).alias("add"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 def relaxed_costs(start: DataFrame, actions: DataFrame) -> DataFrame:
     """(trace_id, fact, cost): cheapest cost of each fact when deletions are ignored and the
     costs of preconditions add up.

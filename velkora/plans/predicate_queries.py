@@ -31,7 +31,7 @@ HAS = "EXISTS (SELECT 1 FROM props p WHERE p.trace_id = b.trace_id AND p.eid = b
 
 @query(f"""WITH {PROPS}, {REL}, {B} SELECT trace_id, thing, place FROM b WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.trace_id = b.trace_id AND r.relation = 'havi' AND r.a0 = b.thing AND r.a1 = b.place)
 AND (NOT {HAS.format('thing', 'temperature', 'varmega')} OR {HAS.format('thing', 'integrity', 'tuta')}) AND ({HAS.format('thing', 'temperature', 'varma')} OR {HAS.format('place', 'integrity', 'tuta')})
-AND coalesce(list_has_any((SELECT list(value) FROM props p WHERE p.trace_id = b.trace_id AND p.eid = b.thing AND p.slot = 'integrity'), (SELECT list(value) FROM props p WHERE p.trace_id = b.trace_id AND p.eid = b.place AND p.slot = 'integrity')), true)""")
+AND EXISTS (SELECT 1 FROM props p JOIN props q ON q.trace_id = p.trace_id AND q.value = p.value WHERE p.trace_id = b.trace_id AND p.eid = b.thing AND p.slot = 'integrity' AND q.eid = b.place AND q.slot = 'integrity')""")
 def precondition_eval(spark: SparkSession, d: str) -> DataFrame:
     b, props, rel = bindings(spark, d)
     specs = [

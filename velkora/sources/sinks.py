@@ -24,6 +24,19 @@ def tagged_text(parts: dict[str, DataFrame], path: str) -> None:
     out.write.partitionBy("source").parquet(path)
 
 
+def conversations(parts: dict[str, DataFrame], path: str, caps: dict[str, int] | None = None, key: str = "id") -> None:
+    """Conversations of several generators as JSON lines, each with its ``kind``; a cap of a
+    generator keeps the rows of its smallest hashes."""
+    out = None
+    for name, df in parts.items():
+        d = df
+        if caps and name in caps:
+            d = d.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(caps[name])
+        d = d.select(F.col(key).cast("string").alias("id"), "messages").withColumn("kind", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    out.write.json(path)
+
+
 def trace_corpus(state: TraceState, prose: DataFrame, path: str) -> None:
     """One nested record for each trace."""
     pick = lambda df, *cols: df.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_x"))

@@ -28,7 +28,7 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> Da
     static = spark.read.parquet(path)
     first = static.inputFiles()[0]
     folder, file = first.rsplit("/", 1)
-    glob = "*.parquet" if folder.endswith(".parquet") else file
+    glob = file if path.rstrip("/").endswith(f"/{file}") else "*.parquet"
     return spark.readStream.schema(static.schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
