@@ -24,7 +24,7 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE)))
 def test_runs(spark, name):
-    assert core.QUERIES[name](spark, SF).count() >= 0
+    assert core.QUERIES[name](spark, SF).count() > 0  # their rows are compared in test_brute.py
 
 
 def test_entry(spark):

@@ -197,3 +197,26 @@ def test_a_batch_run_again_writes_nothing_twice(spark, tmp_path):
     q.awaitTermination()
     assert seen and spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").count() == 10
     assert live.finished(stream, "append").count() == 10
+
+
+def test_phrases_clauses_and_transitivity():
+    from velkora.functions import grammar as G
+
+    ts = G.analyse("La tre granda hundo kaj mia kato kuras en la bela ĝardeno kaj la arbaro, ĉar ili vidas birdojn.")
+    texts = lambda spans: [" ".join(t.text for t in ts[a : b + 1]) for a, b in spans]
+    assert texts(G.noun_phrases(ts)) == ["la tre granda hundo", "mia kato", "la bela ĝardeno", "la arbaro", "ili", "birdojn"]
+    assert sorted(ts[i].text for i in G.in_prepositional(ts)) == ["arbaro", "ĝardeno"]
+    assert [" ".join(t.text for t in ts[a:b]) for a, b in G.clauses(ts)] == ["la tre granda hundo kaj mia kato kuras en la bela ĝardeno kaj la arbaro", "ĉar ili vidas birdojn"]
+    two = G.analyse("La viro, kiu dormas, sidas sur seĝo kaj la virino kantas")
+    assert [two[a].text for a, _ in G.clauses(two)][:2] == ["la", "kiu"] and any(two[a].text == "kaj" for a, _ in G.clauses(two))
+    assert G.in_prepositional(two) == {i for i, t in enumerate(two) if t.text == "seĝo"}  # the second noun has a verb of its own
+    assert G.transitive("manĝ") and G.transitive("dormig") and G.transitive("remanĝ") and G.transitive("konstru")
+    assert G.transitive("dorm") is False and G.transitive("romp") and G.transitive("rompiĝ") is False
+    assert G.transitive("xyz") is None and G.transitive("xyz", {"xyz": False}) is False
+
+
+def test_cap_is_taken_before_the_shuffle(spark):
+    from velkora.operators import sampling
+
+    df = sampling.capped(spark.range(1000).withColumn("g", F.col("id") % 2), ["g"], ["id"], 10)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 20

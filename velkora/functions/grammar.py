@@ -64,6 +64,109 @@ def analyse(text: str, base: int = 0) -> list[Token]:
 
 Diagnostic = tuple[str, int, int, str]
 
+# Words that open clauses and words that join like parts.
+SUBORDINATORS = frozenset("ke ĉar kiam se dum kvankam ĝis ol kvazaŭ por kie kial kiel".split())
+RELATIVES = frozenset("kiu kio kies kia".split())
+COORDINATORS = frozenset("kaj aŭ sed nek do tial".split())
+
+
+def finite(t: Token) -> bool:
+    return t.pos == "verb" and t.text.endswith(("as", "is", "os", "us", "u"))
+
+
+def noun_phrases(ts: list[Token]) -> list[tuple[int, int]]:
+    """(first, head) of every noun phrase: from the noun to the left over its adjectives, numbers,
+    determiners and article, and the adverbs of its adjectives; a comma, an article or any
+    other word ends it."""
+    out = []
+    for head, t in enumerate(ts):
+        if t.pos not in ("noun", "pronoun"):
+            continue
+        first = j = head
+        while t.pos == "noun" and j > 0:
+            b = ts[j - 1]
+            if b.comma and b.pos != "adj":
+                break
+            if b.pos == "article":
+                first = j - 1
+                break
+            determiner = b.pos == "particle" and b.text.rstrip("jn") in CORRELATIVES and b.text.rstrip("jn")[-1] in "ua"
+            if b.pos == "adj" or determiner:
+                first = j = j - 1
+            elif b.pos in ("adv", "particle") and ts[j].pos == "adj" and b.text not in COORDINATORS and b.text not in SUBORDINATORS:
+                first = j = j - 1
+            else:
+                break
+        out.append((first, head))
+    return out
+
+
+def in_prepositional(ts: list[Token]) -> set[int]:
+    """Heads of noun phrases that stand behind a preposition, coordinated ones included."""
+    phrases = noun_phrases(ts)
+    inside: set[int] = set()
+    for k, (first, head) in enumerate(phrases):
+        before = ts[first - 1] if first else None
+        if before is not None and before.pos == "prep":
+            inside.add(head)
+        elif before is not None and before.text in ("kaj", "aŭ") and k and phrases[k - 1][1] == first - 2 and phrases[k - 1][1] in inside:
+            # joined to a phrase of the same case, with no verb of its own behind it
+            after = next((x for x in ts[head + 1 :] if x.pos != "adv"), None)
+            if ts[phrases[k - 1][1]].accusative == ts[head].accusative and not (after is not None and finite(after)):
+                inside.add(head)
+    return inside
+
+
+def clauses(ts: list[Token]) -> list[tuple[int, int]]:
+    """(begin, end) of the clauses of a sentence.
+
+    A subordinator or a relative word after a comma opens a clause; a coordinator or a comma
+    does where a finite verb stands on both sides of it.  What holds no finite verb belongs
+    to the clause before it."""
+    cuts = {0}
+    for i, t in enumerate(ts):
+        if not i:
+            continue
+        comma = ts[i - 1].comma
+        verb_before = any(finite(x) for x in ts[max(c for c in cuts if c <= i) : i])
+        stop = next((j for j in range(i + 1, len(ts)) if ts[j].text in SUBORDINATORS | RELATIVES), len(ts))
+        verb_after = any(finite(x) for x in ts[i:stop])
+        if t.text in SUBORDINATORS and t.text not in ("dum", "ĝis", "por", "ol"):
+            cuts.add(i)
+        elif t.text in ("dum", "ĝis", "ol") and verb_before and verb_after:
+            cuts.add(i)
+        elif t.text == "por" and ts[i + 1 : i + 2] and ts[i + 1].text == "ke":
+            cuts.add(i)
+        elif t.text.rstrip("jn") in RELATIVES and comma:
+            cuts.add(i)
+        elif (t.text in COORDINATORS or comma) and verb_before and verb_after:
+            cuts.add(i)
+    marks = sorted(cuts)
+    out: list[tuple[int, int]] = []
+    for a, b in zip(marks, [*marks[1:], len(ts)], strict=True):
+        if out and not any(finite(x) for x in ts[a:b]) and ts[a].text not in SUBORDINATORS:
+            out[-1] = (out[-1][0], b)
+        elif b > a:
+            out.append((a, b))
+    return out
+
+
+def transitive(stem: str, verbs: dict[str, bool] | None = None) -> bool | None:
+    """Does a verb take an object?  The suffixes -ig and -iĝ settle it, then the table of
+    ``verbs`` (a dictionary's), then the common verbs; a prefix changes nothing; None: unknown."""
+    if stem.endswith("ig") and len(stem) > 3:
+        return True
+    if stem.endswith("iĝ") and len(stem) > 3:
+        return False
+    if verbs and stem in verbs:
+        return verbs[stem]
+    if stem in TRANSITIVE:
+        return True
+    if stem in INTRANSITIVE:
+        return False
+    rest = next((stem[len(p) :] for p in ("mal", "dis", "mis", "re", "ek") if stem.startswith(p) and len(stem) > len(p) + 2), None)
+    return transitive(rest, verbs) if rest else None
+
 
 def np_agreement(ts: list[Token]) -> list[Diagnostic]:
     """Adjectives directly before a noun agree with it in number and case."""
@@ -100,15 +203,14 @@ def participle_agreement(ts: list[Token]) -> list[Diagnostic]:
 
 
 def _object(ts: list[Token], i: int) -> Token | None:
-    """The noun that follows a verb as its object, prepositional phrases passed over."""
+    """The noun that follows a verb as its object; what stands behind a preposition is none."""
+    inside = in_prepositional(ts)
     j = i + 1
     while j < len(ts):
         t = ts[j]
         if t.comma and t.pos not in ("noun", "pronoun") or t.pos == "verb" or t.text in ("kaj", "ke", "sed", "ĉar", "kiam", "se", "dum", "ol"):
             return None
-        if t.pos == "prep":
-            return None
-        if t.pos in ("noun", "pronoun"):
+        if t.pos in ("noun", "pronoun") and j not in inside:
             return t
         j += 1
     return None
@@ -117,7 +219,7 @@ def _object(ts: list[Token], i: int) -> Token | None:
 def missing_accusative(ts: list[Token]) -> list[Diagnostic]:
     out = []
     for i, t in enumerate(ts):
-        if t.pos == "verb" and t.stem in TRANSITIVE and any(x.pos in ("noun", "pronoun") and not x.accusative for x in ts[:i]):
+        if t.pos == "verb" and transitive(t.stem) and any(x.pos in ("noun", "pronoun") and not x.accusative for x in ts[:i]):
             o = _object(ts, i)
             if o is not None and not o.accusative:
                 out.append(("missing_accusative", t.start, o.end, f"{t.text} … {o.text}"))
@@ -127,7 +229,7 @@ def missing_accusative(ts: list[Token]) -> list[Diagnostic]:
 def intransitive_accusative(ts: list[Token]) -> list[Diagnostic]:
     out = []
     for i, t in enumerate(ts):
-        if t.pos == "verb" and t.stem in INTRANSITIVE:
+        if t.pos == "verb" and transitive(t.stem) is False:
             o = _object(ts, i)
             if o is not None and o.accusative:
                 out.append(("intransitive_accusative", t.start, o.end, f"{t.text} … {o.text}"))
@@ -175,6 +277,8 @@ def affix_compat(ts: list[Token]) -> list[Diagnostic]:
     return out
 
 
+#: Checks that look at a whole sentence; the others are run on each clause.
+WHOLE = frozenset({np_agreement, affix_compat})
 CHECKS = {"np": np_agreement, "predicate": predicate_agreement, "participle": participle_agreement, "accusative": missing_accusative, "intransitive": intransitive_accusative, "preposition": preposition_case, "endings": wrong_endings, "tautology": tautology, "affix": affix_compat}
 
 
@@ -218,6 +322,25 @@ def claims(ts: list[Token]) -> list[tuple[str, str, str, float]]:
     return list(dict.fromkeys(out))
 
 
+def phrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, sentence, clause, kind, text): noun phrases of every clause, ``pp`` behind a preposition, else ``np``."""
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, text in zip(b[id_col], b[text_col], strict=True):
+                for n, m in enumerate(SENTENCE.finditer(text or "")):
+                    ts = analyse(m.group())
+                    for k, (lo, hi) in enumerate(clauses(ts)):
+                        part = ts[lo:hi]
+                        inside = in_prepositional(part)
+                        rows += [(i, n, k, "pp" if head in inside else "np", " ".join(t.text for t in part[first : head + 1])) for first, head in noun_phrases(part)]
+            yield pd.DataFrame(rows, columns=[id_col, "sentence", "clause", "kind", "text"])
+
+    return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} {kind}, sentence int, clause int, kind string, text string")
+
+
 RESULT = "n_sentences int, n_clean int, diagnostics array<struct<check:string,start:int,end:int,text:string>>, claims array<struct<subject:string,relation:string,object:string,confidence:double>>"
 
 
@@ -236,8 +359,9 @@ def verified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chec
             if not ts:
                 continue
             n += 1
-            bad = [x for c in run_checks for x in c(ts)]
-            got = claims(ts)
+            parts = [ts[a:b] for a, b in clauses(ts)]
+            bad = [x for c in run_checks for p in ([ts] if c in WHOLE else parts) for x in c(p)]
+            got = [x for p in parts for x in claims(p)]
             clean += bool(got) and not bad
             diags += bad
             found += got

@@ -12,7 +12,7 @@ from ..operators.state import Catalog, load_state
 from ..sources import sinks
 from ..streaming import live
 from . import planner, realize
-from .queries import query, table
+from .queries import ORACLE, query, table
 from .trace_queries import EV, LIVE, REL, ROLES, state
 
 TAKE = planner.Action("preni", {"agent": "person", "theme": "artifact", "place": "location"}, pre=(("en", "theme", "place"),), add=(("havas", "agent", "theme"),), delete=(("en", "theme", "place"),))
@@ -105,7 +105,8 @@ def realize_events(spark: SparkSession, d: str) -> DataFrame:
     return realize.events_text(state(spark, d))
 
 
-@query()
+@query(f"""WITH a AS (SELECT trace_id, 0 AS part, 0 AS k, seq, text FROM ({ORACLE['realize_setting']}) UNION ALL SELECT trace_id, 1, island, '', text FROM ({ORACLE['realize_events']}))
+SELECT trace_id, string_agg(text, ' ' ORDER BY part, k, seq, text) AS text FROM a GROUP BY 1""")
 def realize_trace(spark: SparkSession, d: str) -> DataFrame:
     return realize.prose(state(spark, d))
 
@@ -137,6 +138,18 @@ def parseable_rate(spark: SparkSession, d: str) -> DataFrame:
     return v.where("n_sentences > 0").select("doc_id", F.round(F.col("n_clean") / F.col("n_sentences"), 6).alias("rate"))
 
 
+@query()
+def noun_phrases(spark: SparkSession, d: str) -> DataFrame:
+    p = grammar.phrases(table(spark, d, "documents"))
+    return p.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("sentence", "clause").alias("n_clauses"))
+
+
+@query()
+def content_stem_counts(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(letter_words(F.col("text"))).alias("word"))
+    return morphology.content_stems(w, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def claim_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Claims of each prose text of a trace against those of its event sentences alone."""

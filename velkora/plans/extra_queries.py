@@ -142,7 +142,7 @@ def unknown_word_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT e.trace_id, e.event_id, e.action, c.cause FROM (SELECT DISTINCT trace_id, event_id, action, unnest(caused_by) AS cause FROM trace_events) c JOIN (SELECT DISTINCT trace_id, event_id, action FROM trace_events) e USING (trace_id, event_id)),
 n AS (SELECT f.action AS producer, p.action AS consumer, count(*) AS n FROM p JOIN (SELECT DISTINCT trace_id, event_id, action FROM trace_events) f ON f.trace_id = p.trace_id AND f.event_id = p.cause GROUP BY 1, 2) SELECT producer, consumer, n, CAST(rank() OVER (PARTITION BY producer ORDER BY n DESC) AS INTEGER) AS place FROM n""")
-def consumer_index(spark: SparkSession, d: str) -> DataFrame:
+def action_pairs(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     s = state(spark, d)

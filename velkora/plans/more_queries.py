@@ -42,10 +42,10 @@ def inherit_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return catalog.inherited(o, parents)
 
 
-@query(f"WITH {CLASSES} SELECT src, dst FROM par WHERE dst NOT IN (SELECT item_id FROM fact_items)")
+@query("WITH par AS (SELECT item_id AS src, 'E' || (CAST(substr(item_id, 2) AS INTEGER) * 3) AS dst FROM fact_items) SELECT src, dst FROM par WHERE dst NOT IN (SELECT item_id FROM fact_items)")
 def missing_parents(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "fact_items").withColumn("k", F.substring("item_id", 2, 9).cast("int"))
-    parents = i.where("k >= 3").select(F.col("item_id").alias("src"), F.concat(F.lit("E"), F.floor(F.col("k") / 3).cast("string")).alias("dst"))
+    parents = i.select(F.col("item_id").alias("src"), F.concat(F.lit("E"), (F.col("k") * 3).cast("string")).alias("dst"))
     return catalog.missing_parents(parents, i.select(F.col("item_id").alias("name")))
 
 

@@ -17,6 +17,7 @@ from ..operators.validate import RelationSchema, checked_relations, containment_
 from ..sources import sinks
 from ..streaming.live import shared_folder
 from . import planner
+from .agent_queries import TAKE
 from .fact_queries import CL, U, USABLE, claims, ok
 from .queries import ORACLE, QUERIES, query, table
 from .trace_queries import CATALOG, EV, PROPS, REL, ROLES, state
@@ -226,6 +227,13 @@ def derivation_grounding(spark: SparkSession, d: str) -> DataFrame:
     return g.select("trace_id", "action", "binding", F.array_join("pre", " ").alias("pre"), F.array_join("add", " ").alias("eff"))
 
 
+@query(f"""SELECT trace_id, 'en|' || regexp_extract(binding, 'theme=([^,]+)', 1) || '|' || regexp_extract(binding, 'place=([^,]+)', 1) AS fact, action, count(*) AS n FROM ({ORACLE['ground_actions']}) GROUP BY 1, 2, 3""")
+def consumer_index(spark: SparkSession, d: str) -> DataFrame:
+    """Actions that a fact is a precondition of, by the grounded actions of each trace."""
+    g = planner.ground(state(spark, d), [TAKE])
+    return g.select("trace_id", F.explode("pre").alias("fact"), "action").groupBy("trace_id", "fact", "action").agg(F.count("*").alias("n"))
+
+
 def catalog_state(spark: SparkSession, d: str) -> TraceState:
     """The concepts as one scene of their own: rules over it bake properties into the catalog."""
     s = state(spark, d)
