@@ -38,6 +38,8 @@ LANGUAGES = ("eo", "io", "fr", "es", "en", "de", "pl")
 FAMILIES = (("eo", "io"), ("fr", "es"), ("en", "de"), ("pl",))  # the fifth class is no language
 NONE = len(LANGUAGES)
 MIN_WORDS = 8
+#: Margins beyond this one count as this one in a confidence.
+MOST_MARGIN = 3.0
 #: A stretch of fewer words, or of a smaller margin, follows its neighbour.
 SURE_WORDS, SURE_MARGIN = 4, 0.5
 #: A stretch in the related other language of a document needs this margin.
@@ -115,6 +117,12 @@ def model() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return m["word"], m["word_weight"].astype(np.float64), m["tri_weight"].astype(np.float64), m["bias"].astype(np.float64)
 
 
+@functools.lru_cache(maxsize=1)
+def calibration() -> tuple[float, float]:
+    """Slope and intercept that turn a margin into the chance of being right."""
+    return tuple(np.load(MODEL, allow_pickle=False)["calibration"].tolist())
+
+
 def word_scores(w: Words) -> np.ndarray:
     """(distinct words, 8): five family machines, then eo-io, fr-es, en-de."""
     word, ww, tw, _ = model()
@@ -170,8 +178,9 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     new[1:] |= lang[1:] != lang[:-1]
     start = np.flatnonzero(new)
     size = np.add.reduceat(w.seg_size, start)
-    conf = np.add.reduceat(np.minimum(margin, 3.0) * w.seg_size, start) / size
-    return w.seg_row[start], lang[start], size, 1 / (1 + np.exp(-2.0 * conf)), w.seg_start[start]
+    conf = np.add.reduceat(np.minimum(margin, MOST_MARGIN) * w.seg_size, start) / size
+    slope, intercept = calibration()
+    return w.seg_row[start], lang[start], size, 1 / (1 + np.exp(-(slope * conf + intercept))), w.seg_start[start]
 
 
 def _pairs_settled(w: Words, lang: np.ndarray, mean: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Fits the small models stored in ``models/`` (run by hand, not by queries).
 
-    python -m velkora.llm.train profiles|languages|residue FOLDER
+    python -m velkora.llm.train profiles|languages|calibrate|residue FOLDER
 
 FOLDER holds the driver's tables; a bounded number of documents is read (see the
 constants).  Nothing outside this file depends on it.
@@ -319,6 +319,47 @@ def languages(folder: str, epochs: int = 6, reg: float = 1e-5) -> None:
     np.savez_compressed(L.MODEL, word=words, word_weight=W[: len(words)].astype(np.float16), tri_weight=W[len(words) :].astype(np.float16), bias=b.astype(np.float32))
 
 
+def calibrate(folder: str) -> None:
+    """Confidence of the language machines: the chance that a stretch of a margin is right.
+
+    Fitted by logistic regression on stretches of documents outside the fitted ones, where
+    label and common words agree on the language; stored beside the weights."""
+    from . import languages as L
+
+    t = ds.dataset(f"{folder}/documents.parquet").to_table(columns=["text", "lang"]).slice(MAX_DOCUMENTS)
+    texts, labels = t["text"].combine_chunks(), t["lang"].to_pylist()
+    cw = _table(folder, "common_words", "lang", "word").to_pandas()
+    of = {}
+    for lang, g in cw.groupby("lang"):
+        c, o = C.unify(*C.decode(pa.array(g["word"].tolist(), pa.string())))
+        of[L.LANGUAGES.index(lang)] = np.unique(C.word_hashes(C.lower_table()[c], *C.words(c, o)[:2]))
+    margins, right = [], []
+    for lo in range(0, len(texts), 1000):
+        w = L.Words(*prose.clean(texts.slice(lo, 1000)))
+        if not len(w.h):
+            continue
+        votes = np.stack([np.add.reduceat(np.isin(w.h, of[k]).astype(float), w.seg_start) for k in range(7)], axis=1)
+        code = np.array([_code(x) for x in labels[lo : lo + 1000]])[w.seg_row]
+        sure = (votes.max(1) >= 2) & (votes.max(1) > np.sort(votes, axis=1)[:, -2]) & (votes.argmax(1) == code)
+        sc = L.word_scores(w)[w.inv]
+        sc[w.name] = 0.0
+        lang, margin = L.decide(np.add.reduceat(sc, w.seg_start, axis=0) / w.seg_size[:, None] + L.model()[3])
+        margins.append(margin[sure])
+        right.append((lang == code)[sure])
+    m, y = np.minimum(np.concatenate(margins), L.MOST_MARGIN), np.concatenate(right).astype(float)
+    x = np.stack([m, np.ones_like(m)], axis=1)
+    beta = np.zeros(2)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 1e-6 * np.eye(2), x.T @ (y - q))
+    print("stretches outside the fitted documents:", len(y), "right:", round(float(y.mean()), 5), "slope and intercept:", beta)
+    for a_, b_ in ((0, 0.2), (0.2, 0.5), (0.5, 1), (1, 9)):
+        some = (m >= a_) & (m < b_)
+        print(f"margin {a_} to {b_}: {int(some.sum())} stretches, right {y[some].mean():.4f}, said {(1 / (1 + np.exp(-x[some] @ beta))).mean():.4f}")
+    old = dict(np.load(L.MODEL, allow_pickle=False))
+    np.savez_compressed(L.MODEL, **(old | {"calibration": beta}))
+
+
 def _code(label: str | None) -> int:
     """Index of the language a label names, or -1."""
     from . import languages as L
