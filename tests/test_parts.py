@@ -123,7 +123,7 @@ def test_accusative_of_all_words(spark, tmp_path):
 
     text = "La ruĝa kato vidis la grandan hundon dum la du birdoj flugis super la malnova domo"
     spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = dict(Q.accusative_text(spark, str(tmp_path)).collect())
+    got = dict(Q.accusative_phrase(spark, str(tmp_path)).collect())
     assert got == {1: "la ruĝan katon vidis la grandan hundon dum la du birdojn flugis super la malnovan domon", 3: ""}
 
 
