@@ -220,3 +220,20 @@ def test_cap_is_taken_before_the_shuffle(spark):
 
     df = sampling.capped(spark.range(1000).withColumn("g", F.col("id") % 2), ["g"], ["id"], 10)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 20
+
+
+def test_numbers_and_pairs_of_a_hot_part(spark):
+    from velkora.functions import facts
+    from velkora.operators.sampling import uniform
+
+    rows = [("hot" if i % 3 else None, f"k{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "p string, k string")
+    place = F.round(uniform(F.col("k"), "x"), 9)
+    got = {r.k: r.n for r in sequences.numbered(df, ["p"], place, "k", "n", ranges=7).collect()}
+    order = {r.k: r.u for r in df.select("k", place.alias("u")).collect()}
+    for part in ("hot", None):
+        ks = sorted((k for p, k in rows if p == part), key=lambda k: (order[k], k))
+        assert [got[k] for k in ks] == list(range(len(ks)))
+    pairs = facts.neighbours(df, ["p"], "k", "x").collect()
+    assert len(pairs) == sum(p == "hot" for p, _ in rows) // 2 + sum(p is None for p, _ in rows) // 2
+    assert all(got[r.a.k] + 1 == got[r.b.k] and got[r.a.k] % 2 == 0 for r in pairs)

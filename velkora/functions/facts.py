@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sampling import uniform
+from ..operators.sequences import numbered
 from .text import broken_value, capitalise_first, likely_english
 
 CLAIM = T.StructType([T.StructField("property", T.StringType()), T.StructField("property_id", T.StringType()), T.StructField("value", T.StringType()), T.StructField("value_id", T.StringType()), T.StructField("datatype", T.StringType())])
@@ -95,11 +96,15 @@ def entity_type(claims: DataFrame, kinds: list[tuple[str, str]], fallback: list[
 
 
 def neighbours(df: DataFrame, part: list[str], key: str, draw: str) -> DataFrame:
-    """Rows 1 and 2, 3 and 4, … of each part in hash order: (part, a, b) structs."""
+    """Rows 1 and 2, 3 and 4, … of each part in hash order: (part, a, b) structs.
+
+    Numbers are given in two steps (``sequences.numbered``) and the two rows of a pair meet by
+    the pair's number, so a part with a third of all rows is spread over many tasks."""
     cols = [c for c in df.columns if c not in part]
-    w = W.partitionBy(*part).orderBy(F.round(uniform(F.col(key), draw), 9), key)
-    n = df.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_next", F.lead(F.struct(*cols)).over(w))
-    return n.where("_rn % 2 = 0 and _next is not null").select(*part, F.struct(*cols).alias("a"), F.col("_next").alias("b"))
+    n = numbered(df, part, F.round(uniform(F.col(key), draw), 9), key, "_rn")
+    row = F.struct(*cols)
+    both = n.groupBy(*part, F.floor(F.col("_rn") / 2).alias("_pair")).agg(F.first(F.when(F.col("_rn") % 2 == 0, row), ignorenulls=True).alias("a"), F.first(F.when(F.col("_rn") % 2 == 1, row), ignorenulls=True).alias("b"))  # one of each
+    return both.where("b is not null").select(*part, "a", "b")
 
 
 def about_equal(a: Column, b: Column, tolerance: float = 0.05) -> Column:

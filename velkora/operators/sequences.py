@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,24 @@ def running_total(df: DataFrame, part: str, order: str, value: str, total: str,
     return d.join(base, d["_part"].eqNullSafe(base["_part"]) & (d["_range"] == base["_range"])).drop(base["_part"]).drop(base["_range"]).withColumn(total, F.col("_here") + F.col("_base")).drop("_here", "_base", "_range", "_part")
 
 
+def numbered(df: DataFrame, part: list[str], place: Column, key: str, number: str, ranges: int = RANGES) -> DataFrame:
+    """``number``: the row's number from 0 in its part, in order of ``place`` -- a hash in
+    (0, 1) -- and key.
+
+    Equal ranges of a hash hold about as many rows each, so numbers are given inside ranges
+    and the counts of the ranges before, at most ``ranges`` rows a part, are added."""
+    d = df.withColumn("_place", place).withColumn("_range", F.floor(F.col("_place") * ranges))
+    w = W.partitionBy(*part, "_range").orderBy("_place", key)
+    before = W.partitionBy(*[f"_of{i}" for i in range(len(part))]).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    base = d.groupBy(*[F.col(p).alias(f"_of{i}") for i, p in enumerate(part)], F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
+    base = base.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = F.col("_range") == F.col("_at")
+    for i, p in enumerate(part):
+        same = same & F.col(p).eqNullSafe(F.col(f"_of{i}"))
+    d = d.withColumn("_here", F.row_number().over(w) - 1).join(base, same)
+    return d.withColumn(number, F.col("_here") + F.col("_base")).select(*df.columns, number)
+
+
 def block_pack(df: DataFrame, part: str, order: str, tokens: str, size: int) -> DataFrame:
     """(part, block, tokens): token lists of a partition key concatenated in order and cut
     into blocks of ``size``; the incomplete tail is dropped.

@@ -13,40 +13,45 @@ MAX_QUERY_VECTORS, MAX_PATTERNS, BLOCK = 200_000, 500_000, 4096
 def cosine_topk(df: DataFrame, key: str, vector: str, is_query: Column, k: int) -> DataFrame:
     """(a, b, cos): the k rows nearest to each query row, itself left out.
 
-    The stated query rows are sent out in blocks of bounded size; each block meets all
-    rows in Arrow batches by one matrix product, and only k candidates a batch leave.
+    The stated query rows, at most ``MAX_QUERY_VECTORS``, are sent out once; the table is read
+    once, each Arrow batch meets them block by block in a matrix product, and a task keeps the
+    k best of each query so far, so k rows a query and task leave it.  Ties go to the smaller key.
     """
     import numpy as np
     import pandas as pd
 
     spark = df.sparkSession
-    rows = df.where(is_query).select(key, vector).limit(MAX_QUERY_VECTORS + 1).toPandas()
+    rows = df.where(is_query & F.col(vector).isNotNull()).select(key, vector).limit(MAX_QUERY_VECTORS + 1).toPandas()
     if len(rows) > MAX_QUERY_VECTORS:
         raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors")
-    out = None
-    for lo in range(0, max(len(rows), 1), BLOCK):
-        part = rows.iloc[lo : lo + BLOCK]
-        ids = part[key].to_numpy()
-        q = np.stack(part[vector].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        held = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
-
-        def run(batches, held=held):
-            ids, q = held.value
-            for b in batches:
-                if not len(ids) or not len(b):
-                    continue
-                v = np.stack(b[vector].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                c = q @ v.T
-                keys = b[key].to_numpy()
-                c[ids[:, None] == keys[None, :]] = -np.inf
-                top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, : k + 8]
-                a = np.repeat(ids, top.shape[1])
-                yield pd.DataFrame({"a": a, "b": keys[top].ravel(), "cos": np.take_along_axis(c, top, 1).ravel()})
-
-        kind = dict(df.dtypes)[key]
-        got = df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"a {kind}, b {kind}, cos double").where("cos > -1e300")
-        out = got if out is None else out.unionByName(got)
+    q = np.stack(rows[vector].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    held = spark.sparkContext.broadcast((rows[key].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
+
+    def run(batches):
+        ids, q = held.value
+        best = np.full((len(ids), k), -np.inf)
+        who = np.zeros((len(ids), k), ids.dtype)
+        for b in batches:
+            if not len(ids) or not len(b):
+                continue
+            b = b.sort_values(key, kind="stable")
+            v = np.stack(b[vector].to_numpy()).astype(np.float64)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            keys = b[key].to_numpy()
+            for lo in range(0, len(ids), BLOCK):
+                at = slice(lo, lo + BLOCK)
+                c = q[at] @ v.T
+                c[ids[at, None] == keys[None, :]] = -np.inf
+                top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
+                both = np.concatenate([best[at], np.take_along_axis(c, top, 1)], axis=1)
+                names = np.concatenate([who[at], keys[top]], axis=1)
+                order = np.lexsort((names, -np.round(both, 9)), axis=1)[:, :k]
+                best[at], who[at] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        some = np.isfinite(best)
+        yield pd.DataFrame({"a": np.repeat(ids, k).reshape(best.shape)[some], "b": who[some], "cos": best[some]})
+
+    kind = dict(df.dtypes)[key]
+    out = df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"a {kind}, b {kind}, cos double")
     w = W.partitionBy("a").orderBy(F.round("cos", 9).desc(), "b")
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("a", "b", F.round("cos", 6).alias("cos"))
 

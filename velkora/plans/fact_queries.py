@@ -127,11 +127,10 @@ def superlatives(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CL}, {USABLE}, p AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY {U.format('entity_id', 'few')}, entity_id) AS k, count(*) OVER (PARTITION BY property_id) AS n FROM ok)
 SELECT property_id, string_agg(label || ': ' || value, chr(10) ORDER BY k) AS lines FROM p WHERE n >= 4 AND k <= 6 GROUP BY 1""")
 def few_shot_lists(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("property_id").orderBy(F.round(sampling.uniform(F.col("entity_id"), "few"), 9), "entity_id")
-    f = ok(spark, d).withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("property_id")))
-    g = f.where("n >= 4 and k <= 6").groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(": ", "label", "value").alias("l")))).alias("x"))
+    f = ok(spark, d).withColumn("u", F.round(sampling.uniform(F.col("entity_id"), "few"), 9))
+    many = f.groupBy("property_id").agg(F.count("*").alias("n")).where("n >= 4")
+    six = sampling.capped(f, ["property_id"], ["u", "entity_id"], 6).join(many, "property_id")
+    g = six.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct("u", "entity_id", F.concat_ws(": ", "label", "value").alias("l")))).alias("x"))
     return g.select("property_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("lines"))
 
 
