@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,14 +42,15 @@ def running_total(df: DataFrame, part: str, order: str, value: str, total: str,
     at most ``ranges`` rows a part -- are added up first, and each range runs on from there.
     """
     cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
-    place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    # plain comparisons: constraints that Catalyst infers from a lambda lose their columns in the join below
+    place = reduce(lambda a, c: a + (F.lit(float(c)) < F.col(order)).cast("int"), cuts, F.lit(0))
     d = df.withColumn("_range", place)
-    before = W.partitionBy(part).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    base = d.groupBy(part, "_range").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    before = W.partitionBy("_of").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    base = d.groupBy(F.col(part).alias("_of"), F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
+    base = base.select("_of", "_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     w = W.partitionBy(part, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_here", F.sum(value).over(w)).withColumn("_part", F.col(part))
-    base = base.withColumnRenamed(part, "_part")
-    return d.join(base, d["_part"].eqNullSafe(base["_part"]) & (d["_range"] == base["_range"])).drop(base["_part"]).drop(base["_range"]).withColumn(total, F.col("_here") + F.col("_base")).drop("_here", "_base", "_range", "_part")
+    d = d.withColumn("_here", F.sum(value).over(w)).join(base, F.col(part).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+    return d.withColumn(total, F.col("_here") + F.col("_base")).select(*df.columns, total)
 
 
 def numbered(df: DataFrame, part: list[str], place: Column, key: str, number: str, ranges: int = RANGES) -> DataFrame:
