@@ -237,3 +237,40 @@ def test_numbers_and_pairs_of_a_hot_part(spark):
     pairs = facts.neighbours(df, ["p"], "k", "x").collect()
     assert len(pairs) == sum(p == "hot" for p, _ in rows) // 2 + sum(p is None for p, _ in rows) // 2
     assert all(got[r.a.k] + 1 == got[r.b.k] and got[r.a.k] % 2 == 0 for r in pairs)
+
+
+def test_scenes_are_built_placed_and_filled(spark):
+    from velkora.plans import scenes
+
+    b = scenes.Scene().place("kitchen").person("cook", at="kitchen").thing("cupboard", "box", on=("en", "kitchen")).thing("spoon", "thing", hot="yes").scatter("cup", "box", 2, "kitchen").owns("cook", "cup")
+    with pytest.raises(ValueError):
+        b.thing("knife", "thing", on=("en", "attic"))
+    s = b.build(spark, CATALOG)
+    assert {r.eid for r in s.entities.collect()} >= {"cup", "cup1"} and s.relations.count() == 5
+    assert [r.eid for r in scenes.unplaced(s).where("concept = 'spoon'").collect()] == ["spoon"]
+    f = facts_of(spark, [{"relation": "en", "container": {"entity": {"has_suffix": "board"}}, "contained": {"entity": {"hot": "yes"}}}])
+    assert [(r.eid, r.relation, r.container) for r in scenes.placements(s, f).collect()] == [("spoon", "en", "cupboard")]
+    empty = scenes.Scene().thing("spoon", "thing").build(spark, CATALOG)
+    assert [(r.concept, r.eid) for r in scenes.spawned(empty, f).collect()] == [("cupboard", "cupboard_nova")]
+    assert scenes.spawned(empty, f, budget=0).count() == 0
+
+
+def test_ticks_keep_their_memo(spark):
+    from velkora.operators.fixpoint import Part, ticks
+
+    s = empty_state(spark, CATALOG, entities=[(1, "p", "cook", "person", None, None), (1, "b", "bell", "box", None, None)])
+    echo = Rule("echo", Event("ring", {"theme": X}), None, (Emit("sound", {"theme": X}),))
+    act = lambda st, t: st.entities.where("etype = 'person'").select("trace_id", F.lit("ring").alias("action"), F.col("eid").alias("agent"), F.lit("b").alias("theme"))
+    out = ticks(s, act, [echo], 3)
+    assert {r.action: r.n for r in out.events.groupBy("action").agg(F.count("*").alias("n")).collect()} == {"ring": 3, "sound": 3}
+    assert [r.pos for r in out.events.orderBy("pos").collect()] == list(range(6))
+    d = derive(empty_state(spark, CATALOG, relations=[(1, "on", "lid", "pot")]), [Derivation("lid", Rel("on", X, Y), (Part(Y, X),))])
+    assert [(r.a0, r.a1) for r in d.d_rels.collect()] == [("lid", "pot")]
+
+
+def test_a_resolver_brings_entities(spark):
+    take = planner.Action("take", {"agent": "person"})
+    s = empty_state(spark, CATALOG, entities=[(1, "b", "bell", "box", None, None)])
+    more = lambda st: st.with_(entities=st.entities.unionByName(spark.createDataFrame([(1, "p", "cook", "person", None, None)], st.entities.schema)))
+    assert planner.ground(s, [take]).count() == 0 and planner.ground(s, [take], more).count() == 1
+

@@ -14,6 +14,7 @@ new events for each other never end: after ``MAX_ROUNDS`` rounds ``run`` raises.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import count
@@ -60,6 +61,15 @@ class Category:
     category: str
 
 
+#: The relation that says what is a part of what.
+PART_OF = "parto de"
+
+
+def Part(whole: Any, part: Any) -> Relation:  # noqa: N802 (a head like the others)
+    """Head: ``part`` belongs to ``whole``."""
+    return Relation(PART_OF, part, whole)
+
+
 @dataclass(frozen=True)
 class Derivation:
     name: str
@@ -377,15 +387,23 @@ def _with_derived(changed: set | None, derivations: list[Derivation]) -> set | N
 
 
 def run(state: TraceState, rules: list[Rule], derivations: list[Derivation] = (), max_rounds: int | None = None) -> TraceState:
+    """``run_again`` from an empty memo; the state alone."""
+    return run_again(state, None, rules, derivations, max_rounds)[0]
+
+
+def run_again(state: TraceState, fired: DataFrame | None, rules: list[Rule], derivations: list[Derivation] = (), max_rounds: int | None = None) -> tuple[TraceState, DataFrame]:
     """Derive, fire every rule on its new bindings, and repeat until nothing fires.
 
     ``max_rounds`` asks for so many rounds and no more; without it the rules must come to rest.
     A rule is matched again, and the derived layers rebuilt, only where something of a name
-    they read was touched since; effects on lives and stacks may concern any rule.
+    they read was touched since; effects on lives and stacks may concern any rule.  ``fired``
+    is the memo of an earlier run of the same scene: what fired then does not fire again.
+    Gives the state and the memo.
     """
     from .introspect import reads
 
-    fired = state.spark.createDataFrame([], T.StructType([T.StructField("trace_id", T.LongType()), T.StructField("_key", T.StringType())]))
+    if fired is None:
+        fired = state.spark.createDataFrame([], T.StructType([T.StructField("trace_id", T.LongType()), T.StructField("_key", T.StringType())]))
     before: set | None = None  # names touched in the round before; None: any
     for done in count():
         if done == max_rounds:
@@ -409,6 +427,25 @@ def run(state: TraceState, rules: list[Rule], derivations: list[Derivation] = ()
                 names = _touched(effect)
                 here = None if here is None or names is None else here | names
         if quiet:
-            return state
+            return state, fired
         before = here
-    return derive(state, list(derivations)) if derivations else state
+    return (derive(state, list(derivations)) if derivations else state), fired
+
+
+def ticks(state: TraceState, choose: Callable[[TraceState, int], DataFrame], rules: list[Rule], n: int, derivations: list[Derivation] = ()) -> TraceState:
+    """``n`` ticks in which agents act and the rules answer.
+
+    ``choose`` gives the acts of a tick as (trace_id, action, agent, theme), worked out on
+    the state so far for all scenes at once; the memo of fired bindings lasts over the ticks."""
+    fired = None
+    for t in range(n):
+        acts = choose(state, t).select("trace_id", "action", "agent", "theme").dropDuplicates()
+        roles = F.array_compact(F.array(F.concat(F.lit("agent="), "agent"), F.concat(F.lit("theme="), "theme")))
+        top = state.events.groupBy("trace_id").agg(F.max("pos").alias("top"))
+        new = acts.withColumn("event_id", event_hash(F.col("action"), roles, F.array(F.lit(f"tick {t}")), F.lit(None).cast("int"))).join(top, "trace_id", "left")
+        new = saved(new.withColumn("pos", (F.coalesce("top", F.lit(-1)) + F.row_number().over(_by_trace("event_id"))).cast("int")))
+        events = state.events.unionByName(new.select("trace_id", "pos", "event_id", "action", F.lit(1).alias("quantity")))
+        given = [new.where(F.col(r).isNotNull()).select("trace_id", "event_id", F.lit(r).alias("role"), F.lit(0).alias("ord"), F.col(r).alias("value")) for r in ("agent", "theme")]
+        state = state.with_(events=saved(events), roles=saved(state.roles.unionByName(given[0]).unionByName(given[1])))
+        state, fired = run_again(state, fired, rules, derivations)
+    return state

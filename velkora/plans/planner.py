@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -35,13 +36,14 @@ def fact(rel: str, a, b):
     return F.concat_ws("|", F.lit(rel), a, b)
 
 
-def ground(state: TraceState, actions: list[Action]) -> DataFrame:
+def ground(state: TraceState, actions: list[Action], resolver: Callable[[TraceState], TraceState] | None = None) -> DataFrame:
     """(trace_id, action, binding, pre, add, del, cost): actions whose roles can be filled.
 
     Evidence first: relation preconditions are joined before role types, so roles are
-    enumerated freely only where nothing ties them to the scene.
+    enumerated freely only where nothing ties them to the scene.  A ``resolver`` may bring
+    further entities into the scenes before.
     """
-    m = Matcher(state)
+    m = Matcher(resolver(state) if resolver else state)
     out = None
     for a in actions:
         parts: list = [Rel(r, Var(x), Var(y)) for r, x, y in a.pre] + [Entity(Var(r), type=t) for r, t in a.roles.items()]

@@ -16,7 +16,7 @@ from ..operators.state import TraceState
 from ..operators.validate import RelationSchema, checked_relations, containment_facts, reachable_concepts
 from ..sources import sinks
 from ..streaming.live import shared_folder
-from . import planner
+from . import planner, scenes
 from .agent_queries import TAKE
 from .fact_queries import CL, U, USABLE, claims, ok
 from .queries import ORACLE, QUERIES, query, table
@@ -334,3 +334,34 @@ SELECT g.trace_id, 'at|' || g.b AS goal, m.k IS NOT NULL AS found, coalesce(m.k,
 def plan_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Shortest plans: the lengths that the search finds, without the plans themselves."""
     return QUERIES["plan_search"](spark, d).select("trace_id", "goal", "found", "n_steps")
+
+
+# ---------------------------------------------------------------- scenes
+
+_PLACED = f"""{PROPS}, {_CONCEPTS}, {REL}, un AS (SELECT trace_id, eid, concept FROM trace_entities e WHERE entity_type IS DISTINCT FROM 'location' AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.trace_id = e.trace_id AND r.a0 = e.eid AND r.relation IN ('en', 'sur'))),
+pl AS (SELECT u.trace_id, u.eid, min((f.ord, b.eid, f.relation)) AS m FROM un u JOIN f1 f ON f.contained = u.concept JOIN trace_entities b ON b.trace_id = u.trace_id AND b.concept = f.container WHERE b.eid <> u.eid GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PLACED} SELECT trace_id, eid, m[3] AS relation, m[2] AS container FROM pl")
+def placement(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.placements(state(spark, d), containment_facts(_concepts(spark, d), FACTS[:2], CATALOG))
+
+
+@query(f"""WITH {_PLACED}, w AS (SELECT contained AS concept, min((ord, container)) AS m FROM f1 GROUP BY 1), n AS (SELECT u.trace_id, w.m[2] AS want, count(*) AS n FROM un u JOIN w USING (concept) WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.trace_id = u.trace_id AND pl.eid = u.eid) GROUP BY 1, 2)
+SELECT trace_id, want AS concept, want || '_nova' AS eid FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY n DESC, want) AS rn FROM n) WHERE rn <= 6""")
+def spawner(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.spawned(state(spark, d), containment_facts(_concepts(spark, d), FACTS[:2], CATALOG))
+
+
+@query(f"""WITH {EV}, {ROLES}, n AS (SELECT e.action, r.role, coalesce(t.entity_type, '?') AS type, count(*) AS n FROM ev e JOIN roles r ON r.trace_id = e.trace_id AND r.event_id = e.event_id JOIN trace_entities t ON t.trace_id = e.trace_id AND t.eid = r.value GROUP BY 1, 2, 3)
+SELECT action, role, max_by(type, (n, type)) AS type, max(n) AS n FROM n GROUP BY 1, 2""")
+def recipe_generation(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.recipes(state(spark, d))
+
+
+@query(f"""WITH {EV}, {ROLES}, {REL}, deg AS (SELECT trace_id, x AS a0, count(*) AS degree FROM (SELECT trace_id, unnest([a0, a1]) AS x FROM rel) GROUP BY 1, 2), th AS (SELECT DISTINCT trace_id, value AS a0 FROM roles WHERE role = 'theme'),
+m AS (SELECT r.trace_id, r.trace_id || '|' || relation || '|' || r.a0 || '|' || r.a1 AS move, 2.0 * coalesce((e.entity_type = 'person')::INTEGER, 0) + 0.5 * d.degree + CASE WHEN th.a0 IS NOT NULL THEN 1.0 ELSE 0.0 END AS score FROM rel r JOIN deg d ON d.trace_id = r.trace_id AND d.a0 = r.a0 JOIN trace_entities e ON e.trace_id = r.trace_id AND e.eid = r.a0 LEFT JOIN th ON th.trace_id = r.trace_id AND th.a0 = r.a0)
+SELECT trace_id, max_by(move, (round(score / 0.7 - ln(-ln((('0x' || left(md5(move || 'move'), 8))::BIGINT + 0.5) / 4294967296.0)), 9), move)) AS move FROM m GROUP BY 1""")
+def forward_moves(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.moves(state(spark, d), {"person": 2.0, "degree": 0.5, "told": 1.0}, 0.7, "move")
+
