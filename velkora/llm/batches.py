@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.checkpoints import saved  # noqa: F401  (the operators here take it from this module)
+from ..operators.parallel import spread
+
 #: Bytes of text that are worked on at once (bounds a Python worker's memory; one longer
 #: text is still taken whole).
 SLICE_BYTES = 1 << 20
@@ -53,39 +56,6 @@ def lists_of(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder all executors share (``spark.checkpoint.dir``).
-
-    The folder set on the session is used as it is; a folder of our own is made only where
-    none is set and Spark runs on this machine alone (tests); a cluster must name one.
-    """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="velkora-checkpoint-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a plain scan has fewer splits than there are cores.
-
-    Inputs of many splits (any large table) come back unchanged, without a shuffle; so do
-    plans that shuffle already (asking those for their partitions would run them).
-    """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Exchange", "Limit")):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
