@@ -169,6 +169,16 @@ def test_the_quick_look_loses_nothing(spark, monkeypatch):
     assert [garble.spans(t) for t in texts] == quick
 
 
+def test_the_quick_look_over_batches_loses_nothing(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    texts += ["", "ŝĈ", "a?b", "?", "aĈ", "Ã©", "Å", None, "x", "ŭ"]
+    quick = garble.suspicious_rows(pa.array(texts, pa.string()))
+    assert all(q or not t or not garble._suspicious(t) for q, t in zip(quick, texts, strict=True))
+    assert quick.mean() < 0.5
+    sliced = garble.suspicious_rows(pa.array(texts, pa.string()).slice(5000))
+    assert all(a or not b for a, b in zip(sliced, [bool(garble.spans(t)) for t in texts[5000:]], strict=True))
+
+
 def jaccard_pairs(texts, k, s, least):
     sets = {}
     for i, t in texts.items():

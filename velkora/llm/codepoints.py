@@ -286,6 +286,23 @@ def _fractions(cps: np.ndarray, off: np.ndarray, t: Tables) -> tuple[np.ndarray,
 # ---------------------------------------------------------------- classes and folds
 
 
+@functools.lru_cache(maxsize=64)
+def one_of(chars: str) -> np.ndarray:
+    """True for the characters of a string."""
+    s = np.zeros(N_CP, bool)
+    s[[ord(x) for x in chars]] = True
+    return s
+
+
+def among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Is each value one of the sorted ones?"""
+    if len(sorted_values) == 0 or len(x) == 0:
+        return np.zeros(len(x), bool)
+    p = np.searchsorted(sorted_values, x)
+    p[p == len(sorted_values)] = 0
+    return sorted_values[p] == x
+
+
 @functools.lru_cache(maxsize=1)
 def alnum_table() -> np.ndarray:
     """True for letters and digits (a word is a run of these)."""
@@ -333,10 +350,8 @@ def fold_spelling(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     f, off = _keep(f, off, f != 0)
     if len(f) == 0:
         return f, off
-    supersign = np.zeros(0x110000, bool)
-    supersign[[ord(c) for c in "cghjsu"]] = True
     x = np.zeros(len(f), bool)
-    x[1:] = (f[1:] == ord("x")) & supersign[f[:-1]]
+    x[1:] = (f[1:] == ord("x")) & one_of("cghjsu")[f[:-1]]
     x &= ~_row_starts(off, len(f))
     return _keep(f, off, ~x)
 

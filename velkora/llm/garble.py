@@ -179,6 +179,38 @@ def _suspicious(text: str) -> bool:
     return not openers.isdisjoint(text) and look.search(text) is not None
 
 
+@functools.lru_cache(maxsize=1)
+def _suspect_tables() -> tuple[np.ndarray, ...]:
+    """``_suspects`` as tables over code points: telling, before a capital, accented capital,
+    A to Z, accented small letter, first of a pair; and the pairs as sorted keys."""
+    telling, _, _, _ = _suspects()
+    small = [c for c in LETTERS if c.islower()]
+    pairs = [k[:2] for k in patterns()[0] if telling.isdisjoint(k[:2])]
+    table = lambda chars: C.one_of("".join(sorted(chars)))
+    latin = [chr(x) for x in range(ord("A"), ord("Z") + 1)]
+    keys = np.unique(np.array([(ord(k[0]) << 21) | ord(k[1]) for k in pairs], np.int64))
+    return table(telling), table([c.lower() for c in latin] + small), table([c for c in LETTERS if c.isupper()]), table(latin), table(small), table([k[0] for k in pairs]), keys
+
+
+def suspicious_rows(arr: pa.Array) -> np.ndarray:
+    """The quick look over a whole batch at once: rows it leaves out hold no garbled span.
+
+    Neighbours are compared across the ends of rows too, which may let a row too many in."""
+    c, o = C.decode(arr)
+    telling, before, caps, latin, small, first, keys = _suspect_tables()
+    hit = telling[c]
+    if len(c) > 2:
+        hit[:-1] |= before[c[:-1]] & caps[c[1:]]
+        hit[:-2] |= latin[c[:-2]] & small[c[1:-1]] & latin[c[2:]]
+        hit[:-1] |= (c[:-1] == ord("?")) & C.alnum_table()[c[1:]]
+        at = np.flatnonzero(first[c[:-1]])
+        pair = (c[at].astype(np.int64) << 21) | c[at + 1]
+        hit[at] |= keys[np.minimum(np.searchsorted(keys, pair), len(keys) - 1)] == pair
+    n = np.concatenate([[0], np.cumsum(hit)])
+    # a text of one or two characters is looked at by itself
+    return (n[o[1:]] > n[o[:-1]]) | (np.diff(o) < 3) & (np.diff(o) > 0)
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """Garbled spans (start, end, original or '' where not known from the span alone)."""
     if not text or not _suspicious(text):
@@ -240,21 +272,23 @@ def _capital_words(text: str) -> list[tuple[int, int, str]]:
             words.setdefault(m.group(), []).append(m.start())
     if not words:
         return []
-    pairs = []
-    for name, m in patterns()[1].items():
-        back = {w: "".join(m.get(c, c) if c in known else c for c in w) for w in words if all(c not in known or m.get(c, " ").isalpha() for c in w)}
-        if back and _known_words(list(back.values())):
-            pairs.append(frozenset(back))
-    return [(at + i, at + i + 1, "") for w in set().union(*pairs) for at in words[w] for i, c in enumerate(w) if c in known] if pairs else []
+    backs = [{w: "".join(m.get(c, c) if c in known else c for c in w).lower() for w in words if all(c not in known or m.get(c, " ").isalpha() for c in w)} for m in patterns()[1].values()]
+    sound = _known_words(sorted({x for back in backs for x in back.values()}))
+    garbled = set().union(*[back for back in backs if not sound.isdisjoint(back.values())])
+    return [(at + i, at + i + 1, "") for w in garbled for at in words[w] for i, c in enumerate(w) if c in known]
 
 
-def _known_words(words: list[str]) -> bool:
-    """Does one of the words stand in the vocabulary of the language model?"""
+def _known_words(words: list[str]) -> set[str]:
+    """Those of the words that stand in the vocabulary of the language model."""
     from . import languages
 
-    c, o = C.unify(*C.decode(pa.array([w.lower() for w in words], pa.string())))
-    h = C.word_hashes(c, *C.words(c, o)[:2])
-    return bool(np.isin(h, languages.model()[0]).any())
+    c, o = C.unify(*C.decode(pa.array(words, pa.string())))
+    s, e, woff = C.words(c, o)
+    h = C.word_hashes(c, s, e)
+    whole = np.diff(woff) == 1  # other words would be judged by a part of them
+    ok = np.zeros(len(words), bool)
+    ok[whole] = C.among(h[woff[:-1][whole]], languages.model()[0])
+    return {w for w, x in zip(words, ok, strict=True) if x}
 
 
 @functools.lru_cache(maxsize=1)
@@ -338,6 +372,7 @@ def restored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, text, n_garbled, n_left) of the affected records, text restored where possible."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        b = b.filter(pa.array(suspicious_rows(b.column(1))))
         rows = [(i, *restore(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         rows = [r for r in rows if r[2]]
         if not rows:
@@ -354,6 +389,7 @@ def garbled_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id) of every document with at least one garbled span; nothing is shuffled but ids."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        b = b.filter(pa.array(suspicious_rows(b.column(1))))
         hit = np.fromiter((bool(spans(t)) for t in b.column(1).to_pylist()), bool, b.num_rows)
         return batch_of(id=b.column(0).filter(pa.array(hit))) if hit.any() else None
 

@@ -59,9 +59,9 @@ class Words:
         low = C.lower_table()[c]
         s, e, _ = C.words(low, o)
         if len(s):  # addresses and assignments are no words of a language
-            token = np.cumsum(np.isin(c, np.array([9, 10, 32], np.uint32)) | C._row_starts(o, len(c)))
+            token = np.cumsum(C.one_of("\t\n ")[c] | C._row_starts(o, len(c)))
             odd = np.zeros(token[-1] + 1, bool)
-            odd[token[np.isin(c, np.array([ord(x) for x in "/=@\\\\"], np.uint32))]] = True
+            odd[token[C.one_of("/=@\\")[c]]] = True
             keep = ~odd[token[s]]
             s, e = s[keep], e[keep]
         woff = np.searchsorted(s, o)
@@ -85,7 +85,7 @@ class Words:
             self.tri, self.tri_word = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.tri_weight = 1.0 / np.sqrt(np.maximum(size - 2, 1))
         # stretches: cut after a sentence end or a line break
-        cut = np.isin(c, np.array([ord(x) for x in ".!?…\n"], np.uint32))
+        cut = C.one_of(".!?…\n")[c]
         if len(c) > 1:  # a mark inside a word (a lost letter, a number) ends nothing
             letter = C.alnum_table()[c]
             inner = np.zeros(len(c), bool)
@@ -107,7 +107,7 @@ class Words:
             self.name = up[s] & ~up[np.minimum(s + 1, e - 1)] & (e - s > 1)
             self.name[self.seg_start] = False
         # stretches with a letter that Ido does not write
-        hat = np.concatenate([[0], np.cumsum(np.isin(low, np.array([ord(x) for x in "ĉĝĥĵŝŭ"], np.uint32)))])
+        hat = np.concatenate([[0], np.cumsum(C.one_of("ĉĝĥĵŝŭ")[low])])
         self.hatted = np.bincount(self.seg, weights=(hat[e] > hat[s]) & ~self.name, minlength=len(self.seg_start)) > 0
 
 

@@ -57,7 +57,7 @@ def _folded_words(arr: pa.Array):
     caps = caps[keep]
     f, o = C._keep(f, o, keep)
     if len(f):
-        sign = np.isin(f, np.array([ord(x) for x in "cghjsu"], np.uint32))
+        sign = C.one_of("cghjsu")[f]
         x = np.zeros(len(f), bool)
         x[1:] = (f[1:] == ord("x")) & sign[:-1]
         x &= ~C._row_starts(o, len(f))
@@ -81,11 +81,11 @@ class Typed:
         """Typed placeholder or the word itself; known words are typed alike in any case
         (``bold``: possible names are names)."""
         t = h.copy()
-        name = _among(h, self.names) | (cap & ~_among(h, self.plain))
+        name = C.among(h, self.names) | (cap & ~C.among(h, self.plain))
         if bold:
-            name |= _among(h, self.maybe)
+            name |= C.among(h, self.maybe)
         t[name] = NAME
-        t[_among(h, self.units)] = UNIT
+        t[C.among(h, self.units)] = UNIT
         t[number] = NUM
         return t
 
@@ -96,7 +96,7 @@ class Typed:
             t = self.templates(h, cap, number, bold)
             at = pos
             if bold:
-                held = np.concatenate([[0], np.cumsum(_among(h, self.maybe))])
+                held = np.concatenate([[0], np.cumsum(C.among(h, self.maybe))])
                 some = held[pos + k] > held[pos]
                 at, row = pos[some], row[some]
             if len(at):
@@ -149,20 +149,12 @@ def _slots_and_template(tw: np.ndarray, xw: np.ndarray) -> np.ndarray:
 
 def _ranges(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which key, which place) of every equal pair."""
-    some = np.flatnonzero(_among(keys, sorted_keys))
+    some = np.flatnonzero(C.among(keys, sorted_keys))
     lo, hi = np.searchsorted(sorted_keys, keys[some]), np.searchsorted(sorted_keys, keys[some], side="right")
     n = hi - lo
     return np.repeat(some, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
-    if len(sorted_values) == 0 or len(x) == 0:
-        return np.zeros(len(x), bool)
-    p = np.searchsorted(sorted_values, x)
-    p[p == len(sorted_values)] = 0
-    return sorted_values[p] == x
-
-
 def _matches(items: Items, arr: pa.Array, exact: bool):
     """(row of the batch, item id) of every window that passes template and slot check."""
     h, cap, number, woff = _folded_words(arr)

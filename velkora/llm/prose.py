@@ -22,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +53,12 @@ def char_class() -> np.ndarray:
 
 def clean(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, garbled spans restored, in the one consistent form."""
-    texts = arr.to_pylist()
-    fixed = [garble.restore(t)[0] if t and not t.isascii() else t for t in texts]
-    return C.unify(*C.decode(pa.array(fixed, pa.string())))
+    arr = arr.cast(pa.string())
+    some = garble.suspicious_rows(arr)
+    if some.any():
+        fixed = [garble.restore(t)[0] if t and not t.isascii() else t for t in arr.filter(pa.array(some)).to_pylist()]
+        arr = pa.compute.replace_with_mask(arr, pa.array(some), pa.array(fixed, pa.string()))
+    return C.unify(*C.decode(arr))
 
 
 class Lines:
@@ -86,7 +90,7 @@ class Lines:
         digits = np.concatenate([[0], np.cumsum(cls == 1)])
         letters = np.concatenate([[0], np.cumsum(cls == 0)])
         nd, na = digits[e] - digits[s], letters[e] - letters[s]
-        common = np.isin(self.h, function_words)
+        common = C.among(self.h, function_words)
         upper = low != c
         ups = np.concatenate([[0], np.cumsum(upper)])
         nu = ups[e] - ups[s]
@@ -96,7 +100,7 @@ class Lines:
         kind[common] = 0
         kind[(nd > 0) & (na > 0)] = 4
         kind[(nd > 0) & (na == 0)] = 3
-        vowel = np.isin(C.base_table()[c], np.array([ord(x) for x in "aeiouy"], np.uint32)) if n else np.zeros(0, bool)
+        vowel = C.one_of("aeiouy")[C.base_table()[c]] if n else np.zeros(0, bool)
         vs = np.concatenate([[0], np.cumsum(vowel)])
         nv = vs[e] - vs[s]
         kind[((size > 24) | ((nd == 0) & (size > 3) & (nv * 6 < size))) & (kind != 0)] = 5
@@ -120,7 +124,7 @@ class Lines:
         if len(alnum):
             inside = (at < n) & (line[np.minimum(at, n - 1)] == line[f])
         at = np.where(inside, at, f)
-        bullet = (at > f) & (cls[f] != 5) | (at > f) & np.isin(c[f], np.array([0x2D, 0x2013, 0x2014], np.uint32))
+        bullet = (at > f) & (cls[f] != 5) | (at > f) & C.one_of("-–—")[c[f]]
         # 0 capital, 1 small, 2 digit, 3 bullet then capital, 4 bullet then small, 5 other
         hk = np.where(cls[at] == 1, 2, np.where(cls[at] != 0, 5, np.where(upper[at], np.where(bullet, 3, 0), np.where(bullet, 4, 1))))
         head[np.flatnonzero(some), hk] = 1
@@ -129,7 +133,7 @@ class Lines:
         prev = np.maximum(la - 1, 0)
         lc = np.where((lc == 5) & (cls[prev] == 3), 3, lc)
         # 0 sentence end, 1 comma or semicolon, 2 letter, 3 digit, 4 bracket, 5 other
-        tk = np.select([lc == 3, (lc == 4) | np.isin(c[la], np.array([0x3A, 0x3B], np.uint32)), lc == 0, lc == 1, lc == 6], [0, 1, 2, 3, 4], 5)
+        tk = np.select([lc == 3, (lc == 4) | C.one_of(":;")[c[la]], lc == 0, lc == 1, lc == 6], [0, 1, 2, 3, 4], 5)
         tail[np.flatnonzero(some), tk] = 1
         ck = np.digitize(self.words, [1, 3, 5, 8, 15])
         count[np.arange(n_lines), ck] = 1
