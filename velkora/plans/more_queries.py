@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat
 from ..operators import catalog
-from ..operators import sampling
+from ..operators import sampling, sequences
 from .queries import query, table
 from .trace_queries import PROPS
 
@@ -194,6 +194,6 @@ def set_algebra(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, min(rn) AS first_kept, count(*) AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round((('0x' || left(md5(CAST(doc_id AS VARCHAR) || 'taxon'), 8))::BIGINT + 0.5) / 4294967296.0, 9), doc_id) AS rn, (('0x' || left(md5(CAST(doc_id AS VARCHAR) || 'taxon'), 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM documents) WHERE u < CASE WHEN source = 'wiki' THEN 0.3 ELSE 1.0 END GROUP BY 1")
 def taxon_downsampling(spark: SparkSession, d: str) -> DataFrame:
     u = sampling.uniform(F.col("doc_id"), "taxon")
-    w = W.partitionBy("source").orderBy(F.round(u, 9), "doc_id")
-    t = table(spark, d, "documents").select("source", "doc_id", u.alias("u"), F.row_number().over(w).cast("long").alias("rn"))
+    t = table(spark, d, "documents").select("source", "doc_id", u.alias("u"))
+    t = sequences.numbered(t, ["source"], F.round("u", 9), "doc_id", "at").withColumn("rn", F.col("at") + 1)
     return t.where(F.col("u") < F.when(F.col("source") == "wiki", 0.3).otherwise(1.0)).groupBy("source").agg(F.min("rn").alias("first_kept"), F.count("*").alias("n"))
