@@ -34,23 +34,35 @@ def set_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 RANGES = 64
 
 
-def running_total(df: DataFrame, part: str, order: str, value: str, total: str, ranges: int = RANGES) -> DataFrame:
+def cuts_of(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
+    """Approximate quantiles of a numeric column, at which ``running_total`` cuts."""
+    return sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
+
+
+def running_total(df: DataFrame, part: str, order: str, value: str, total: str, ranges: int = RANGES, cuts: list[float] | None = None) -> DataFrame:
     """``total``: the sum of ``value`` up to each row of its part, in order.
 
     Two steps, so that a part with a third of all rows is no single task: rows are cut into
     ranges of the (numeric) order column at approximate quantiles, the sums of the ranges --
     at most ``ranges`` rows a part -- are added up first, and each range runs on from there.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
-    # plain comparisons: constraints that Catalyst infers from a lambda lose their columns in the join below
+    cuts = cuts_of(df, order, ranges) if cuts is None else cuts
     place = reduce(lambda a, c: a + (F.lit(float(c)) < F.col(order)).cast("int"), cuts, F.lit(0))
-    d = df.withColumn("_range", place)
-    before = W.partitionBy("_of").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    base = d.groupBy(F.col(part).alias("_of"), F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
-    base = base.select("_of", "_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    w = W.partitionBy(part, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_here", F.sum(value).over(w)).join(base, F.col(part).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
-    return d.withColumn(total, F.col("_here") + F.col("_base")).select(*df.columns, total)
+    return _over_ranges(df.withColumn("_range", place), [part], [order], F.col(value), total)
+
+
+def _over_ranges(d: DataFrame, part: list[str], order: list[str], value: Column, total: str) -> DataFrame:
+    """Running sum of ``value`` in each part, over rows that have their ``_range``.
+
+    A range gets the sum of the ranges before it as a row that stands first, so what the rows
+    carry is shuffled once and nothing is joined back."""
+    d = d.withColumn("_v", value.cast("long")).withColumn("_head", F.lit(1))
+    before = W.partitionBy(*part).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = d.groupBy(*part, "_range").agg(F.sum("_v").alias("_s"))
+    heads = sums.select(*part, "_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_v"), F.lit(0).alias("_head"))
+    w = W.partitionBy(*part, "_range").orderBy("_head", *order).rowsBetween(W.unboundedPreceding, 0)
+    out = d.unionByName(heads, allowMissingColumns=True).withColumn(total, F.sum("_v").over(w))
+    return out.where("_head = 1").drop("_v", "_head", "_range")
 
 
 def numbered(df: DataFrame, part: list[str], place: Column, key: str, number: str, ranges: int = RANGES) -> DataFrame:
@@ -60,15 +72,8 @@ def numbered(df: DataFrame, part: list[str], place: Column, key: str, number: st
     Equal ranges of a hash hold about as many rows each, so numbers are given inside ranges
     and the counts of the ranges before, at most ``ranges`` rows a part, are added."""
     d = df.withColumn("_place", place).withColumn("_range", F.floor(F.col("_place") * ranges))
-    w = W.partitionBy(*part, "_range").orderBy("_place", key)
-    before = W.partitionBy(*[f"_of{i}" for i in range(len(part))]).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    base = d.groupBy(*[F.col(p).alias(f"_of{i}") for i, p in enumerate(part)], F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
-    base = base.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    same = F.col("_range") == F.col("_at")
-    for i, p in enumerate(part):
-        same = same & F.col(p).eqNullSafe(F.col(f"_of{i}"))
-    d = d.withColumn("_here", F.row_number().over(w) - 1).join(base, same)
-    return d.withColumn(number, F.col("_here") + F.col("_base")).select(*df.columns, number)
+    out = _over_ranges(d, part, ["_place", key], F.lit(1), number)
+    return out.withColumn(number, F.col(number) - 1).drop("_place")
 
 
 def block_pack(df: DataFrame, part: str, order: str, tokens: str, size: int) -> DataFrame:
@@ -78,8 +83,9 @@ def block_pack(df: DataFrame, part: str, order: str, tokens: str, size: int) ->
     Offsets come from a running sum over lengths (``running_total``); each document is then cut into the few
     pieces that fall into different blocks, so no list longer than a block is built.
     """
-    n = df.select(part, order, tokens).withColumn("_n", F.size(tokens)).where("_n > 0")
-    n = running_total(n, part, order, "_n", "_to").withColumn("_from", F.col("_to") - F.col("_n"))
+    # the lists may be costly to work out: a generator keeps the optimizer from repeating them in every use
+    n = df.select(part, order, F.explode(F.array(tokens)).alias(tokens)).withColumn("_n", F.size(tokens)).where("_n > 0")
+    n = running_total(n, part, order, "_n", "_to", cuts=cuts_of(df.select(order), order)).withColumn("_from", F.col("_to") - F.col("_n"))
     b0, b1 = F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size)
     cut = n.withColumn("block", F.explode(F.sequence(b0, b1)))
     lo = F.greatest(F.col("_from"), F.col("block") * size)
