@@ -123,28 +123,32 @@ def clauses(ts: list[Token]) -> list[tuple[int, int]]:
     A subordinator or a relative word after a comma opens a clause; a coordinator or a comma
     does where a finite verb stands on both sides of it.  What holds no finite verb belongs
     to the clause before it."""
-    cuts = {0}
+    verbs = [0]
+    for t in ts:
+        verbs.append(verbs[-1] + finite(t))
+    stops = [len(ts)] * (len(ts) + 1)  # where the next clause word stands
+    for i in range(len(ts) - 1, -1, -1):
+        stops[i] = i if ts[i].text in SUBORDINATORS or ts[i].text in RELATIVES else stops[i + 1]
+    cuts = [0]
     for i, t in enumerate(ts):
         if not i:
             continue
         comma = ts[i - 1].comma
-        verb_before = any(finite(x) for x in ts[max(c for c in cuts if c <= i) : i])
-        stop = next((j for j in range(i + 1, len(ts)) if ts[j].text in SUBORDINATORS | RELATIVES), len(ts))
-        verb_after = any(finite(x) for x in ts[i:stop])
+        verb_before = verbs[i] > verbs[cuts[-1]]
+        verb_after = verbs[stops[i + 1]] > verbs[i]
         if t.text in SUBORDINATORS and t.text not in ("dum", "ĝis", "por", "ol"):
-            cuts.add(i)
+            cuts.append(i)
         elif t.text in ("dum", "ĝis", "ol") and verb_before and verb_after:
-            cuts.add(i)
+            cuts.append(i)
         elif t.text == "por" and ts[i + 1 : i + 2] and ts[i + 1].text == "ke":
-            cuts.add(i)
+            cuts.append(i)
         elif t.text.rstrip("jn") in RELATIVES and comma:
-            cuts.add(i)
+            cuts.append(i)
         elif (t.text in COORDINATORS or comma) and verb_before and verb_after:
-            cuts.add(i)
-    marks = sorted(cuts)
+            cuts.append(i)
     out: list[tuple[int, int]] = []
-    for a, b in zip(marks, [*marks[1:], len(ts)], strict=True):
-        if out and not any(finite(x) for x in ts[a:b]) and ts[a].text not in SUBORDINATORS:
+    for a, b in zip(cuts, [*cuts[1:], len(ts)], strict=True):
+        if out and verbs[b] == verbs[a] and ts[a].text not in SUBORDINATORS:
             out[-1] = (out[-1][0], b)
         elif b > a:
             out.append((a, b))
@@ -202,9 +206,8 @@ def participle_agreement(ts: list[Token]) -> list[Diagnostic]:
     return out
 
 
-def _object(ts: list[Token], i: int) -> Token | None:
-    """The noun that follows a verb as its object; what stands behind a preposition is none."""
-    inside = in_prepositional(ts)
+def _object(ts: list[Token], i: int, inside: set[int]) -> Token | None:
+    """The noun that follows a verb as its object; what stands behind a preposition (``inside``) is none."""
     j = i + 1
     while j < len(ts):
         t = ts[j]
@@ -217,20 +220,23 @@ def _object(ts: list[Token], i: int) -> Token | None:
 
 
 def missing_accusative(ts: list[Token]) -> list[Diagnostic]:
-    out = []
+    out, inside, subject = [], None, False
     for i, t in enumerate(ts):
-        if t.pos == "verb" and transitive(t.stem) and any(x.pos in ("noun", "pronoun") and not x.accusative for x in ts[:i]):
-            o = _object(ts, i)
+        if t.pos == "verb" and subject and transitive(t.stem):
+            inside = in_prepositional(ts) if inside is None else inside
+            o = _object(ts, i, inside)
             if o is not None and not o.accusative:
                 out.append(("missing_accusative", t.start, o.end, f"{t.text} … {o.text}"))
+        subject = subject or t.pos in ("noun", "pronoun") and not t.accusative
     return out
 
 
 def intransitive_accusative(ts: list[Token]) -> list[Diagnostic]:
-    out = []
+    out, inside = [], None
     for i, t in enumerate(ts):
         if t.pos == "verb" and transitive(t.stem) is False:
-            o = _object(ts, i)
+            inside = in_prepositional(ts) if inside is None else inside
+            o = _object(ts, i, inside)
             if o is not None and o.accusative:
                 out.append(("intransitive_accusative", t.start, o.end, f"{t.text} … {o.text}"))
     return out

@@ -118,11 +118,15 @@ def split_stem(stem: str, d: Dictionary) -> tuple[str, ...] | None:
 
 def decompose(word: str, d: Dictionary = Dictionary()) -> list[str]:
     """Morphemes of one word; a word that cannot be split keeps its stem whole."""
-    w = word.lower()
+    return list(_cut(word.lower(), d))
+
+
+@functools.lru_cache(maxsize=1 << 17)
+def _cut(w: str, d: Dictionary) -> tuple[str, ...]:
     if closed_class(w) or not w.isalpha():
-        return [w]
+        return (w,)
     stem, end = endings(w)
-    return [*(split_in_order(stem, d) or (stem,)), *end]
+    return (*(split_in_order(stem, d) or (stem,)), *end)
 
 
 def kind(m: str, d: Dictionary = Dictionary()) -> str:
